@@ -10,17 +10,27 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it inside array functions, whose
+    bodies would otherwise compute it again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def centered_unit(values: Column) -> Column:
     """Centre and scale an array so that a correlation is one dot product.
 
     Constant or empty arrays become NULL.
     """
-    doubles = values.cast("array<double>")
-    size = F.size(doubles)
-    mean = F.when(size > 0, _sum(doubles) / size)
-    centered = F.transform(doubles, lambda x: x - mean)
-    norm = F.sqrt(_sum(F.transform(centered, lambda x: x * x)))
-    return F.when(norm > 0, F.transform(centered, lambda x: x / norm))
+
+    def centered(v: Column) -> Column:
+        mean = F.when(F.size(v) > 0, _sum(v) / F.size(v))
+        return bind(mean, lambda m: F.transform(v, lambda x: x - m))
+
+    def scaled(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
+        return bind(norm, lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)))
+
+    return bind(bind(values.cast("array<double>"), centered), scaled)
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -45,11 +55,17 @@ def pack64(block: Column) -> Column:
     of values 1..63 (the first, constant term is left out of the median)."""
     doubles = block.cast("array<double>")
     median = F.element_at(F.array_sort(F.slice(doubles, 2, 63)), 32)
-    return F.aggregate(
-        F.transform(doubles, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        F.lit(0).cast("bigint"),
-        lambda acc, item: F.when(
-            item["x"] > median,
-            acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), item["i"])),
-        ).otherwise(acc),
-    )
+
+    def pack(m: Column) -> Column:
+        return F.aggregate(
+            F.transform(
+                doubles,
+                lambda x, i: F.when(
+                    x > m, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+                ).otherwise(F.lit(0).cast("bigint")),
+            ),
+            F.lit(0).cast("bigint"),
+            lambda acc, bit: acc.bitwiseOR(bit),
+        )
+
+    return bind(median, pack)

@@ -6,15 +6,14 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgraph import config
 from reelgraph.functions import vectors
 from reelgraph.operators.folds import chunked_fold
-from reelgraph.operators.skew import rank_in_key
 
 SECTION = ("video_id", "section_index")
 
@@ -62,59 +61,56 @@ def duplicate_pairs(
     )
 
 
-def _grouping_fold(limits: config.DedupLimits):
+class _Grouping:
     """Fold over one section's frames in time order.
 
-    State: live groups in order of creation, each with its first frame and its
-    representative. A frame joins the newest live group whose representative it
-    duplicates; a strictly better frame becomes the representative.
+    State: how many groups were made, and the live ones in order of creation,
+    each with its representative. A frame joins the newest live group whose
+    representative it duplicates; a strictly better frame then represents it.
     """
-    window, min_corr, max_bits = limits.window_ms, limits.min_correlation, limits.max_hamming
 
-    def fold(pdf: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        pdf = pdf.sort_values(["timestamp_ms", "frame_id"], kind="stable")
-        live: list[dict] = json.loads(state) if state else []
-        first_frame, first_time, position = [], [], []
+    def __init__(self, limits: config.DedupLimits):
+        self.limits = limits
+
+    def load(self, text: str) -> dict:
+        return json.loads(text) if text else {"made": 0, "live": []}
+
+    def dump(self, state: dict) -> str:
+        return json.dumps(state, default=np.ndarray.tolist)
+
+    def visit(self, rows: pa.RecordBatch, state: dict) -> tuple[list[int], dict[str, list]]:
+        number, position = [], []
+        lists = rows.column("unit_histogram")
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        present = lists.is_valid().to_pylist()
         columns = zip(
-            pdf["frame_id"], pdf["timestamp_ms"], pdf["quality_score"],
-            pdf["unit_histogram"], pdf["phash"],
+            rows.column("timestamp_ms").to_pylist(),
+            rows.column("quality_score").to_pylist(),
+            rows.column("phash").to_pylist(),
         )
-        time = None
-        for frame, time, quality, unit, bits in columns:
-            time, quality, bits = int(time), float(quality), int(bits)
-            live = [g for g in live if time - g["time"] <= window]
-            home = next(
-                (g for g in reversed(live) if _alike(g, unit, bits, min_corr, max_bits)), None
-            )
+        for i, (time, quality, bits) in enumerate(columns):
+            unit = values[offsets[i] : offsets[i + 1]] if present[i] else None
+            horizon = time - self.limits.window_ms
+            state["live"] = [g for g in state["live"] if g["time"] >= horizon]
+            home = next((g for g in reversed(state["live"]) if self._alike(g, unit, bits)), None)
             if home is None:
-                home = {"frame": frame, "first_time": time, "size": 0, "quality": None}
-                live.append(home)
+                state["made"] += 1
+                home = {"no": state["made"], "size": 0, "quality": None}
+                state["live"].append(home)
             home["size"] += 1
             if home["quality"] is None or quality > home["quality"]:
                 home.update(time=time, quality=quality, unit=unit, bits=bits)
-            first_frame.append(home["frame"])
-            first_time.append(home["first_time"])
+            number.append(home["no"])
             position.append(home["size"])
-        out = pdf.drop(columns=["unit_histogram", "phash"])
-        out["group_frame_id"], out["group_time_ms"] = first_frame, first_time
-        out["member_no"] = position
-        kept = [g for g in live if time is None or time - g["time"] <= window]
-        return out, json.dumps(kept, default=_plain) if kept else ""
-
-    return fold
-
-
-def _alike(group: dict, unit, bits: int, min_corr: float, max_bits: int) -> bool:
-    if ((group["bits"] ^ bits) & 0xFFFFFFFFFFFFFFFF).bit_count() > max_bits:
-        return False
-    if unit is None or group["unit"] is None or len(unit) != len(group["unit"]):
-        return 0.0 >= min_corr
-    value = float(np.dot(np.asarray(group["unit"]), np.asarray(unit)))
-    return max(-1.0, min(1.0, value)) >= min_corr
+        return list(range(rows.num_rows)), {"group_no": number, "member_no": position}
 
-
-def _plain(value):
-    return value.tolist() if isinstance(value, np.ndarray) else value.item()
+    def _alike(self, group: dict, unit, bits: int) -> bool:
+        differing = (group["bits"] ^ bits) & 0xFFFFFFFFFFFFFFFF
+        if differing.bit_count() > self.limits.max_hamming:
+            return False
+        if unit is None or group["unit"] is None or len(unit) != len(group["unit"]):
+            return 0.0 >= self.limits.min_correlation
+        return float(np.dot(group["unit"], unit)) >= self.limits.min_correlation
 
 
 def near_duplicate_groups(
@@ -122,6 +118,7 @@ def near_duplicate_groups(
     limits: config.DedupLimits = config.DEDUP,
     keys: Sequence[str] = SECTION,
     chunk_ms: int = 6 * 3_600_000,
+    extent: DataFrame | None = None,
 ) -> DataFrame:
     """One row per frame with its duplicate group, and whether it represents it.
 
@@ -129,33 +126,28 @@ def near_duplicate_groups(
     unit_histogram and phash. Groups depend on time order and on changing
     representatives, hence a fold; see ``folds`` for how it is distributed. The
     final representative is the best member, the earliest among equals.
+
+    The closing window is per group: copies of one picture never replace their
+    representative, so a group of them ends one time window after it began.
     """
     chunk_ms = max(chunk_ms, limits.window_ms)
     columns = [*keys, "frame_id", "timestamp_ms", "quality_score", "unit_histogram", "phash"]
     rows = frames.select(*columns)
     out = T.StructType(
         [rows.schema[c] for c in columns[:-2]]
-        + [
-            T.StructField("group_frame_id", rows.schema["frame_id"].dataType),
-            T.StructField("group_time_ms", T.LongType()),
-            T.StructField("member_no", T.LongType()),
-        ]
+        + [T.StructField("group_no", T.LongType()), T.StructField("member_no", T.LongType())]
+    )
+    members = chunked_fold(
+        rows, keys, ["timestamp_ms", "frame_id"], chunk_ms, _Grouping(limits), out, extent
     )
-    members = chunked_fold(rows, keys, "timestamp_ms", chunk_ms, _grouping_fold(limits), out)
-    group = [*keys, "group_frame_id", "group_time_ms"]
+    group = Window.partitionBy(*keys, "group_no")
     best = F.min_by(
         "frame_id", F.struct(-F.col("quality_score"), F.col("timestamp_ms"), F.col("frame_id"))
     )
-    groups = members.groupBy(*group).agg(
-        best.alias("representative_frame_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    numbered = rank_in_key(
-        groups, keys, [F.col("group_time_ms"), F.col("group_frame_id")], "group_no"
-    )
     return (
-        members.join(numbered, group)
+        members.withColumn("representative_frame_id", best.over(group))
+        .withColumn("group_size", F.count(F.lit(1)).over(group))
         .withColumn("is_representative", F.col("frame_id") == F.col("representative_frame_id"))
-        .drop("group_frame_id", "group_time_ms")
     )
 
 

@@ -98,3 +98,21 @@ def top_matches(
     )
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("first_position"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def find_frame(
+    frames: DataFrame, targets: DataFrame, scope: Sequence[str] = SECTION
+) -> DataFrame:
+    """First listed frame sharing the target's id, else key, else url.
+
+    ``frames`` has frame_id, object_key, url and ``position`` (list order);
+    ``targets`` has the same three per scope. Three equi joins replace the OR
+    condition; the earliest hit wins whichever of the three matched.
+    """
+    hits = None
+    for name in ("frame_id", "object_key", "url"):
+        found = frames.where(F.col(name).isNotNull()).join(
+            targets.select(*scope, name), [*scope, name], "left_semi"
+        )
+        hits = found if hits is None else hits.unionByName(found)
+    return first_row(hits, scope, F.col("position"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,21 +68,25 @@ def scene_changes(scores: DataFrame, threshold: float = config.SCENE_THRESHOLD)
     )
 
 
-def _spacing_fold(spacing_ms: int):
-    """Keep the first time, then always the next one at least ``spacing_ms`` later."""
+class _Spacing:
+    """Keep the first time, then always the next one at least ``spacing`` later."""
 
-    def fold(pdf: pd.DataFrame, state: str) -> tuple[pd.DataFrame, str]:
-        pdf = pdf.sort_values("timestamp_ms")
-        times = pdf["timestamp_ms"].to_numpy()
-        at = int(times.searchsorted(int(state) + spacing_ms)) if state else 0
-        kept = []
-        while at < len(times):
-            kept.append(at)
-            at = max(at + 1, int(times.searchsorted(times[at] + spacing_ms)))
-        out = pdf.iloc[kept]
-        return out, str(int(times[kept[-1]])) if kept else state
+    def __init__(self, spacing: int):
+        self.spacing = spacing
+
+    def load(self, text: str) -> dict:
+        return {"last": int(text) if text else None}
 
-    return fold
+    def dump(self, state: dict) -> str:
+        return "" if state["last"] is None else str(state["last"])
+
+    def visit(self, rows: pa.RecordBatch, state: dict) -> tuple[list[int], dict[str, list]]:
+        kept = []
+        for i, time in enumerate(rows.column("timestamp_ms").to_pylist()):
+            if state["last"] is None or time - state["last"] >= self.spacing:
+                kept.append(i)
+                state["last"] = time
+        return kept, {}
 
 
 def min_spacing_filter(
@@ -101,8 +105,8 @@ def min_spacing_filter(
     ).distinct()
     schema = T.StructType([distinct.schema["video_id"], T.StructField("timestamp_ms", T.LongType())])
     return chunked_fold(
-        distinct, ["video_id"], "timestamp_ms", max(chunk_ms, spacing + 1), _spacing_fold(spacing),
-        schema,
+        distinct, ["video_id"], ["timestamp_ms"], max(chunk_ms, spacing + 1), _Spacing(spacing),
+        schema, points,
     )
 
 

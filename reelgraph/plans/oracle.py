@@ -16,3 +16,240 @@ FROM (SELECT i.video_id, i.section_index, i.frame_id, i.timestamp_ms, g.quality_
 """,
     "in_window", "gated",
 )
+
+SQL["frames_in_sections"] = with_ctes(
+    "SELECT video_id, section_index, frame_id, window_start_ms, window_end_ms FROM in_window",
+    "in_window",
+)
+SQL["frames_in_sections_strict"] = with_ctes(
+    """
+SELECT f.video_id, s.section_index, f.frame_id FROM frames f JOIN sections s
+  ON f.video_id = s.video_id AND f.timestamp_ms BETWEEN s.start_ms AND s.end_ms
+""",
+    "sections",
+)
+SQL["relevant_frames"] = with_ctes(
+    "SELECT DISTINCT video_id, frame_id, timestamp_ms FROM in_window", "in_window"
+)
+SQL["quality_gate"] = with_ctes(
+    """
+SELECT video_id, frame_id, failures, passed, round(quality_score, 6) AS quality_score,
+       CASE WHEN passed THEN 'Passed local quality checks.'
+            ELSE 'Rejected by local quality filter: ' || failures || '.' END AS quality_reason
+FROM gated
+""",
+    "gated",
+)
+SQL["duplicate_pairs"] = with_ctes(
+    """
+SELECT l.video_id, l.section_index, l.frame_id AS left_frame_id, r.frame_id AS right_frame_id,
+       CAST(a.bits AS BIGINT) AS hash_distance, round(a.corr, 6) AS correlation
+FROM usable l JOIN usable r
+  ON l.video_id = r.video_id AND l.section_index = r.section_index
+ AND (l.timestamp_ms < r.timestamp_ms
+      OR (l.timestamp_ms = r.timestamp_ms AND l.frame_id < r.frame_id))
+ AND r.timestamp_ms - l.timestamp_ms <= 86400000
+JOIN alike a ON a.a = l.vec_id AND a.b = r.vec_id
+""",
+    "usable", "alike",
+)
+SQL["near_duplicate_groups"] = with_ctes(
+    """
+SELECT video_id, section_index, frame_id, group_no, member_no, group_size,
+       representative_frame_id, frame_id = representative_frame_id AS is_representative
+FROM members
+""",
+    "members",
+)
+SQL["dedup_frame_report"] = with_ctes(
+    """
+SELECT video_id, section_index, frame_id,
+       CASE WHEN frame_id = representative_frame_id THEN 'kept' ELSE 'duplicate_rejected' END
+         AS dedup_status,
+       format('section_{}_query_graph_dedup_group_{:04d}', section_index, group_no)
+         AS dedup_group_id,
+       CASE WHEN frame_id <> representative_frame_id THEN representative_frame_id END
+         AS duplicate_of_frame_id,
+       round(quality_score, 6) AS quality_score
+FROM members
+""",
+    "members",
+)
+SQL["dedup_group_report"] = with_ctes(
+    """
+SELECT video_id, section_index,
+       format('section_{}_query_graph_dedup_group_{:04d}', section_index, group_no)
+         AS dedup_group_id,
+       any_value(representative_frame_id) AS representative_frame_id,
+       any_value(group_size) AS group_size, 0::BIGINT AS part_no,
+       string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY member_no) AS frame_ids
+FROM members GROUP BY video_id, section_index, group_no
+""",
+    "members",
+)
+SQL["rank_frames"] = with_ctes(
+    """
+SELECT video_id, section_index, frame_id, score,
+       row_number() OVER (PARTITION BY video_id, section_index
+                          ORDER BY score DESC, timestamp_ms, frame_id) AS rank
+FROM scored
+""",
+    "scored",
+)
+SQL["best_section_per_frame"] = with_ctes(
+    """
+SELECT video_id, frame_id, section_index, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY video_id, frame_id
+                                       ORDER BY score DESC, section_index) = 1
+""",
+    "scored",
+)
+SQL["best_frame_per_section"] = with_ctes(
+    """
+SELECT video_id, section_index, position, frame_id, object_key, url, score, source_priority
+FROM candidates QUALIFY row_number() OVER (PARTITION BY video_id, section_index
+  ORDER BY source_priority, score DESC NULLS LAST, position) = 1
+""",
+    "candidates",
+)
+SQL["distinct_keep_first"] = with_ctes(
+    """
+SELECT video_id, section_index, identity, position, frame_id, object_key, url
+FROM (SELECT *, coalesce(CAST(frame_id AS VARCHAR), object_key, url) AS identity FROM candidates)
+WHERE identity IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY video_id, section_index, identity ORDER BY position) = 1
+""",
+    "candidates",
+)
+SQL["top_n_display"] = with_ctes(
+    """
+SELECT video_id, section_index, frame_id, score, rank, frames_total
+FROM (SELECT *, count(*) OVER (PARTITION BY video_id, section_index) AS frames_total,
+             row_number() OVER (PARTITION BY video_id, section_index
+                                ORDER BY score DESC, timestamp_ms, frame_id) AS rank
+      FROM scored) WHERE rank <= 5
+""",
+    "scored",
+)
+SQL["top_matches"] = with_ctes(
+    """
+SELECT *, row_number() OVER (PARTITION BY video_id, section_index
+                             ORDER BY score DESC, first_position) AS rank
+FROM (SELECT video_id, section_index, coalesce(CAST(frame_id AS VARCHAR), object_key, url)
+               AS identity, max(coalesce(score, 0)) AS score, min(position) AS first_position
+      FROM candidates GROUP BY 1, 2, 3)
+WHERE identity IS NOT NULL QUALIFY rank <= 5
+""",
+    "candidates",
+)
+SQL["find_frame"] = with_ctes(
+    """
+SELECT t.video_id, t.section_index, min(c.position) AS found_position
+FROM (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY video_id, section_index
+        ORDER BY position DESC) = 1) t
+JOIN candidates c ON c.video_id = t.video_id AND c.section_index = t.section_index
+ AND (c.frame_id = t.frame_id OR c.object_key = t.object_key OR c.url = t.url)
+GROUP BY 1, 2
+""",
+    "candidates",
+)
+SQL["resolve_selection"] = with_ctes(
+    """
+SELECT f.video_id, f.frame_id,
+       CASE WHEN m.candidate THEN 'selected' ELSE 'rejected' END AS selection_status,
+       CASE WHEN m.candidate THEN 'graph_index_matching'
+            WHEN r.frame_id IS NULL THEN 'section_window'
+            WHEN NOT g.passed THEN 'quality_filter'
+            WHEN m.dups > 0 THEN 'section_dedup' ELSE 'section_window' END AS selection_stage,
+       CASE WHEN m.candidate THEN 'Semantic frame candidate scored by graph index matching.'
+            WHEN r.frame_id IS NULL THEN 'Frame is outside all transcript section windows.'
+            WHEN NOT g.passed THEN 'Rejected by local quality filter: ' || g.failures || '.'
+            WHEN m.dups > 0 THEN 'Rejected as a duplicate frame in transcript section windows.'
+            ELSE 'Frame is outside all transcript section windows.' END AS selection_reason,
+       CASE WHEN m.candidate THEN b.score ELSE 0.0 END AS selection_score,
+       CASE WHEN m.candidate THEN b.section_index END AS matched_section_index,
+       CASE WHEN m.candidate OR r.frame_id IS NULL OR NOT g.passed THEN 0
+            ELSE coalesce(m.dups, 0) END AS duplicate_sections,
+       CASE WHEN NOT m.candidate THEN m.first_dup END AS first_duplicate_section
+FROM frames f JOIN gated g USING (frame_id)
+LEFT JOIN (SELECT DISTINCT frame_id FROM in_window) r USING (frame_id)
+LEFT JOIN (SELECT frame_id, bool_or(frame_id = representative_frame_id) AS candidate,
+                  count(*) FILTER (frame_id <> representative_frame_id) AS dups,
+                  min(section_index) FILTER (frame_id <> representative_frame_id) AS first_dup
+           FROM members GROUP BY 1) m USING (frame_id)
+LEFT JOIN (SELECT s.frame_id, s.section_index, s.score FROM scored s
+           JOIN members k ON k.frame_id = s.frame_id AND k.section_index = s.section_index
+            AND k.frame_id = k.representative_frame_id
+           QUALIFY row_number() OVER (PARTITION BY s.frame_id
+                                      ORDER BY s.score DESC, s.section_index) = 1) b
+  USING (frame_id)
+""",
+    "gated", "in_window", "members", "scored",
+)
+SQL["dense_grid"] = with_ctes("SELECT * FROM even_grid", "even_grid")
+SQL["timeline_grid"] = with_ctes(
+    """
+SELECT video_id, unnest(CASE WHEN last - p[-1] > step // 2
+                             THEN CASE WHEN len(p) < 3 THEN list_append(p, last)
+                                       ELSE list_append(p[1:2], last) END
+                             ELSE p END) AS timestamp_ms
+FROM (SELECT *, greatest(0, duration_ms - 1000) AS last, range(0, duration_ms, step)[1:3] AS p
+      FROM (SELECT *, greatest(30000, (duration_ms + 2) // 3) AS step FROM durations
+            WHERE duration_ms > 0))
+UNION ALL SELECT video_id, 0 FROM durations WHERE duration_ms <= 0
+""",
+    "durations",
+)
+SQL["scene_changes"] = """
+SELECT l_orderkey AS video_id,
+       CAST(round_even(l_extendedprice / 100 * 1000, 0) AS BIGINT) AS timestamp_ms
+FROM lineitem WHERE l_discount * 4 > 0.25
+"""
+SCENE_POINTS = """
+SELECT DISTINCT o_custkey AS video_id, greatest(0, (o_orderkey * 37) % 110000 - 500) AS timestamp_ms
+FROM orders
+"""
+
+
+def _spaced(points: str, spacing: int, tail: str = "") -> str:
+    """Minimum spacing as a jump to the next far enough time of the video."""
+    body = with_ctes("", "even_grid").rstrip()
+    return f"""{body},
+points AS ({points}),
+kept AS (
+  SELECT video_id, min(timestamp_ms) AS timestamp_ms FROM points GROUP BY 1
+  UNION ALL
+  SELECT video_id, nxt FROM (
+    SELECT k.video_id, (SELECT min(p.timestamp_ms) FROM points p
+       WHERE p.video_id = k.video_id AND p.timestamp_ms >= k.timestamp_ms + {spacing}) AS nxt
+    FROM kept k) WHERE nxt IS NOT NULL)
+SELECT video_id, timestamp_ms FROM kept {tail}
+"""
+
+
+SQL["min_spacing_filter"] = _spaced(SCENE_POINTS, 5000)
+SQL["candidate_timestamps"] = _spaced(
+    """
+SELECT video_id, timestamp_ms FROM even_grid
+UNION
+SELECT o_custkey, (o_orderkey * 37) % 110000 - 500 FROM orders JOIN durations
+  ON o_custkey = video_id
+WHERE (o_orderkey * 37) % 110000 >= 500
+  AND (duration_ms <= 0 OR (o_orderkey * 37) % 110000 - 500 < duration_ms)
+""",
+    500,
+)
+SQL["spacing_with_cap"] = _spaced(
+    SCENE_POINTS,
+    5001,
+    "QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY timestamp_ms) <= 4",
+)
+SQL["bucket_top_k"] = """
+SELECT video_id, timestamp_ms FROM (
+  SELECT video_id, timestamp_ms FROM (
+    SELECT DISTINCT o_custkey AS video_id, CAST(floor(o_totalprice) AS BIGINT) AS timestamp_ms
+    FROM orders WHERE o_custkey % 4 = 0 OR floor(o_totalprice) < o_custkey % 4 * 120000)
+  QUALIFY row_number() OVER (PARTITION BY video_id, timestamp_ms // 60000
+                             ORDER BY timestamp_ms) <= 2)
+QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY timestamp_ms) <= 5
+"""

@@ -9,24 +9,20 @@ def cte(name: str, body: str, *needs: str) -> None:
     CTES[name] = (body.strip(), needs)
 
 
-def with_ctes(query: str, *names: str, recursive: str = "") -> str:
+def with_ctes(query: str, *names: str) -> str:
     """``query`` behind the named CTEs and everything they need, in order."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
-        if name in ordered:
-            return
         for need in CTES[name][1]:
             visit(need)
-        ordered.append(name)
+        if name not in ordered:
+            ordered.append(name)
 
     for name in names:
         visit(name)
     parts = [f"{n} AS (\n{CTES[n][0]}\n)" for n in ordered]
-    head = "WITH RECURSIVE " if recursive else "WITH "
-    if recursive:
-        parts.append(recursive)
-    return head + ",\n".join(parts) + "\n" + query.strip()
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + query.strip()
 
 
 cte(
@@ -112,20 +108,135 @@ SELECT vec_id, h, list_transform(h, lambda x: x - list_sum(h) / len(h)) AS c FRO
     "vec",
 )
 cte(
-    "vec_bits",
+    "vec_hash",
     """
-SELECT v.vec_id, u.i AS bit, v.h[u.i + 1] > list_sort(v.h[2:64])[32] AS is_set
-FROM vec v, (SELECT unnest(range(64)) AS i) u
+SELECT vec_id, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616::HUGEINT
+                         ELSE s END AS BIGINT) AS phash
+FROM (SELECT v.vec_id,
+             sum(CASE WHEN v.h[u.i + 1] > list_sort(v.h[2:64])[32]
+                      THEN 1::HUGEINT << CAST(u.i AS INTEGER) ELSE 0::HUGEINT END) AS s
+      FROM vec v, (SELECT unnest(range(64)) AS i) u GROUP BY v.vec_id)
 """,
     "vec",
 )
 cte(
     "vec_pairs",
     """
-SELECT l.vec_id AS a, r.vec_id AS b,
+SELECT l.vec_id AS a, r.vec_id AS b, bit_count(xor(lh.phash, rh.phash)) AS bits,
        list_dot_product(l.c, r.c)
          / (sqrt(list_dot_product(l.c, l.c)) * sqrt(list_dot_product(r.c, r.c))) AS corr
-FROM vec_unit l, vec_unit r
+FROM vec_unit l, vec_unit r, vec_hash lh, vec_hash rh
+WHERE lh.vec_id = l.vec_id AND rh.vec_id = r.vec_id
 """,
     "vec_unit",
+    "vec_hash",
+)
+cte(
+    "alike",
+    """
+SELECT a, b, bits, corr FROM vec_pairs WHERE corr >= 0.92 AND bits <= 6
+""",
+    "vec_pairs",
+)
+cte(
+    "fold_items",
+    """
+SELECT u.*, s.others,
+       row_number() OVER (PARTITION BY video_id, section_index
+                          ORDER BY timestamp_ms, frame_id) AS n
+FROM usable u JOIN (SELECT a, list(b) AS others FROM alike GROUP BY a) s ON s.a = u.vec_id
+""",
+    "usable",
+    "alike",
+)
+cte(
+    "fold_steps",
+    """
+SELECT DISTINCT video_id, section_index, 0::BIGINT AS n, NULL::BIGINT AS frame_id,
+       NULL::BIGINT AS timestamp_ms, NULL::DOUBLE AS quality_score, NULL::BIGINT AS home,
+       []::STRUCT(gno BIGINT, t BIGINT, q DOUBLE, vec BIGINT)[] AS live, 0::BIGINT AS made
+FROM fold_items
+UNION ALL
+SELECT video_id, section_index, n, frame_id, timestamp_ms, quality_score,
+       coalesce(hit, made + 1),
+       CASE WHEN hit IS NULL
+            THEN list_append(live, {'gno': made + 1, 't': timestamp_ms, 'q': quality_score,
+                                    'vec': vec_id})
+            ELSE list_transform(live, lambda g: CASE WHEN g.gno = hit AND quality_score > g.q
+                   THEN {'gno': g.gno, 't': timestamp_ms, 'q': quality_score, 'vec': vec_id}
+                   ELSE g END) END,
+       made + CASE WHEN hit IS NULL THEN 1 ELSE 0 END
+FROM (SELECT i.video_id, i.section_index, i.n, i.frame_id, i.timestamp_ms, i.quality_score,
+             i.vec_id, s.live, s.made,
+             list_max(list_transform(list_filter(s.live, lambda g:
+               i.timestamp_ms - g.t <= 86400000 AND list_contains(i.others, g.vec)),
+               lambda g: g.gno)) AS hit
+      FROM fold_steps s JOIN fold_items i
+        ON i.video_id = s.video_id AND i.section_index = s.section_index AND i.n = s.n + 1)
+""",
+    "fold_items",
+)
+cte(
+    "members",
+    """
+SELECT video_id, section_index, frame_id, timestamp_ms, quality_score, home AS group_no,
+       row_number() OVER (PARTITION BY video_id, section_index, home ORDER BY n) AS member_no,
+       count(*) OVER (PARTITION BY video_id, section_index, home) AS group_size,
+       first_value(frame_id) OVER (PARTITION BY video_id, section_index, home
+         ORDER BY quality_score DESC, timestamp_ms, frame_id) AS representative_frame_id
+FROM fold_steps WHERE n > 0
+""",
+    "fold_steps",
+)
+cte(
+    "scored",
+    """
+SELECT video_id, section_index, frame_id, timestamp_ms,
+       ((frame_id * 31 + section_index * 17) % 1000) / 1000.0::DOUBLE AS score
+FROM in_window
+""",
+    "in_window",
+)
+cte(
+    "candidates",
+    """
+SELECT video_id, section_index, frame_id AS position,
+       CASE WHEN frame_id % 5 > 0 THEN frame_id END AS frame_id,
+       CASE WHEN frame_id % 10 > 0 THEN 'k' || CAST(frame_id % 50 AS VARCHAR) END AS object_key,
+       CASE WHEN frame_id % 3 > 0 THEN 'u' || CAST(frame_id % 20 AS VARCHAR) END AS url,
+       CASE WHEN frame_id % 11 > 0
+            THEN ((frame_id * 31 + section_index * 17) % 100) / 100.0::DOUBLE END AS score,
+       CASE WHEN section_index % 2 = 0 THEN 1 + (frame_id * 7 + video_id) % 3
+            ELSE 2 + (frame_id * 7 + video_id) % 2 END AS source_priority
+FROM in_window
+""",
+    "in_window",
+)
+cte(
+    "durations",
+    """
+SELECT c_custkey AS video_id, CAST(floor(c_acctbal * 10) AS BIGINT) AS duration_ms FROM customer
+""",
+)
+cte(
+    "catalogue",
+    """
+SELECT o_orderkey AS id, o_orderpriority AS title,
+       'clip_' || CAST(o_orderkey AS VARCHAR) || '.mp4' AS filename,
+       CASE o_orderstatus WHEN 'O' THEN 'processing' WHEN 'F' THEN 'failed'
+                          WHEN 'P' THEN 'completed' END AS status,
+       epoch_us(o_orderdate) // 1000 AS created_at, o_totalprice AS size_bytes, o_custkey AS owner
+FROM orders
+""",
+)
+cte(
+    "even_grid",
+    """
+SELECT video_id, unnest(CASE WHEN duration_ms <= 0 THEN [0]
+   WHEN duration_ms > 1000 AND duration_ms - 1000 - (duration_ms - 1) // 2000 * 2000 > 1000
+   THEN list_append(range(0, duration_ms, 2000), duration_ms - 1000)
+   ELSE range(0, duration_ms, 2000) END) AS timestamp_ms
+FROM durations
+""",
+    "durations",
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.operators import intervals, quality, ranking
+from reelgraph.operators import dedup, intervals, quality, ranking, selection, timestamps
 from reelgraph.plans import bindings as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,201 @@ def best_usable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         "video_id", "section_index", "frame_id", "timestamp_ms",
         F.round("score", 6).alias("score"), "rank",
     )
+
+
+@query
+def frames_in_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed(spark, sf_dir).select(
+        "video_id", "section_index", "frame_id", "window_start_ms", "window_end_ms"
+    )
+
+
+@query
+def frames_in_sections_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.frames_in_sections_strict(
+        b.frames(spark, sf_dir), b.sections(spark, sf_dir), b.BUCKET_MS
+    ).select("video_id", "section_index", "frame_id")
+
+
+@query
+def relevant_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = b.frames(spark, sf_dir).select("video_id", "frame_id", "timestamp_ms")
+    return intervals.relevant_frames(
+        frames, b.sections(spark, sf_dir), b.PAD_MS, bucket_ms=b.BUCKET_MS
+    )
+
+
+@query
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gated = quality.with_quality_score(quality.quality_gate(b.frames(spark, sf_dir)))
+    return gated.select(
+        "video_id", "frame_id", F.array_join("failures", ", ").alias("failures"), "passed",
+        F.round("quality_score", 6).alias("quality_score"), "quality_reason",
+    )
+
+
+def usable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passed frames per section with the features duplicates are judged by."""
+    passed = quality.with_quality_score(
+        quality.quality_gate(b.frames(spark, sf_dir)).where("passed")
+    ).select("video_id", "frame_id", "timestamp_ms", "quality_score", "event_type")
+    return b.features(spark, sf_dir, windowed(spark, sf_dir, passed))
+
+
+@query
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = dedup.duplicate_pairs(usable_features(spark, sf_dir), b.DEDUP)
+    return pairs.withColumn("hash_distance", F.col("hash_distance").cast("bigint")).withColumn(
+        "correlation", F.round("correlation", 6)
+    )
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicate_groups(
+        usable_features(spark, sf_dir),
+        b.DEDUP,
+        chunk_ms=b.CHUNK_MS,
+        extent=b.frames(spark, sf_dir).select("video_id", "timestamp_ms"),
+    )
+
+
+@query
+def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return members(spark, sf_dir).drop("timestamp_ms", "quality_score")
+
+
+@query
+def dedup_frame_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_frame_report(members(spark, sf_dir)).withColumn(
+        "quality_score", F.round("quality_score", 6)
+    )
+
+
+@query
+def dedup_group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.dedup_group_report(members(spark, sf_dir)).withColumn(
+        "frame_ids", F.array_join(F.col("frame_ids").cast("array<string>"), ",")
+    )
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = ((F.col("frame_id") * 31 + F.col("section_index") * 17) % 1000) / 1000.0
+    return windowed(spark, sf_dir).select(
+        "video_id", "section_index", "frame_id", "timestamp_ms", score.alias("score")
+    )
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, s, v = F.col("frame_id"), F.col("section_index"), F.col("video_id")
+    return windowed(spark, sf_dir).select(
+        "video_id",
+        "section_index",
+        f.alias("position"),
+        F.when(f % 5 > 0, f).alias("frame_id"),
+        F.when(f % 10 > 0, F.concat(F.lit("k"), (f % 50).cast("string"))).alias("object_key"),
+        F.when(f % 3 > 0, F.concat(F.lit("u"), (f % 20).cast("string"))).alias("url"),
+        F.when(f % 11 > 0, ((f * 31 + s * 17) % 100) / 100.0).alias("score"),
+        F.when(s % 2 == 0, (f * 7 + v) % 3 + 1).otherwise((f * 7 + v) % 2 + 2).alias(
+            "source_priority"
+        ),
+    )
+
+
+@query
+def rank_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_frames(scored(spark, sf_dir)).drop("timestamp_ms")
+
+
+@query
+def best_section_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.best_section_per_frame(scored(spark, sf_dir)).drop("timestamp_ms")
+
+
+@query
+def best_frame_per_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.best_frame_per_section(candidates(spark, sf_dir))
+
+
+@query
+def distinct_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.distinct_keep_first(
+        candidates(spark, sf_dir), ranking.SECTION, "position"
+    ).drop("score", "source_priority")
+
+
+@query
+def top_n_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        ranking.top_n_display(scored(spark, sf_dir))
+        .drop("timestamp_ms")
+        .withColumn("rank", F.col("rank").cast("bigint"))
+    )
+
+
+@query
+def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_matches(candidates(spark, sf_dir)).withColumn(
+        "rank", F.col("rank").cast("bigint")
+    )
+
+
+@query
+def find_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = candidates(spark, sf_dir)
+    target = ranking.first_row(listed, ranking.SECTION, -F.col("position"))
+    found = ranking.find_frame(listed, target.drop("position", "score", "source_priority"))
+    return found.select("video_id", "section_index", F.col("position").alias("found_position"))
+
+
+@query
+def resolve_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = b.frames(spark, sf_dir)
+    evaluated = intervals.relevant_frames(
+        quality.quality_gate(frames), b.sections(spark, sf_dir), b.PAD_MS, bucket_ms=b.BUCKET_MS
+    )
+    report = dedup.dedup_frame_report(members(spark, sf_dir))
+    kept = report.where(F.col("dedup_status") == "kept").select(
+        "video_id", "section_index", "frame_id"
+    )
+    score = ((F.col("frame_id") * 31 + F.col("section_index") * 17) % 1000) / 1000.0
+    best = ranking.best_section_per_frame(kept.withColumn("score", score))
+    return selection.resolve_selection(
+        frames.select("video_id", "frame_id"), evaluated, report, best
+    ).withColumn("duplicate_sections", F.col("duplicate_sections").cast("bigint"))
+
+
+@query
+def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.dense_grid(b.videos_with_duration(spark, sf_dir))
+
+
+@query
+def timeline_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.timeline_grid(b.videos_with_duration(spark, sf_dir), 3)
+
+
+@query
+def scene_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.scene_changes(b.scene_scores(spark, sf_dir))
+
+
+@query
+def min_spacing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.min_spacing_filter(b.scene_points(spark, sf_dir), 5_000)
+
+
+@query
+def candidate_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.candidate_timestamps(
+        b.videos_with_duration(spark, sf_dir), b.scene_points(spark, sf_dir)
+    )
+
+
+@query
+def spacing_with_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.spacing_with_cap(b.scene_points(spark, sf_dir), 4)
+
+
+@query
+def bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.bucket_top_k(b.long_scene_points(spark, sf_dir), 5)

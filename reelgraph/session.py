@@ -26,6 +26,7 @@ def local_session(cpus: int | str = "*", app: str = "reelgraph", **extra: str) -
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", extra.pop("driver_memory", "8g"))
         .config("spark.sql.shuffle.partitions", extra.pop("shuffle_partitions", "8"))
     )
