@@ -86,10 +86,11 @@ def parse_seconds(value: Column | str, is_number: Column | bool = False) -> Colu
 
 def format_timestamp(seconds: Column | str) -> Column:
     """``mm:ss`` or ``hh:mm:ss``, rounding half to even."""
-    total = F.greatest(F.lit(0), F.bround(_col(seconds).cast("double"), 0).cast("bigint"))
+    rounded = F.bround(_col(seconds).cast("double"), 0).cast("bigint")
+    total = F.when(rounded.isNotNull(), F.greatest(F.lit(0), rounded))
     hours, minutes, secs = F.floor(total / 3600), F.floor(total % 3600 / 60), total % 60
-    return F.when(hours > 0, F.format_string("%02d:%02d:%02d", hours, minutes, secs)).otherwise(
-        F.format_string("%02d:%02d", minutes, secs)
+    return F.when(hours > 0, F.format_string("%02d:%02d:%02d", hours, minutes, secs)).when(
+        hours == 0, F.format_string("%02d:%02d", minutes, secs)
     )
 
 
@@ -99,7 +100,9 @@ def format_duration(duration_ms: Column | str) -> Column:
 
 
 def clamp(value: Column | str, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), _col(value)))
+    value = _col(value)
+    # greatest and least skip NULL, so a missing value would come back as a bound.
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def clamp_unit(value: Column | str) -> Column:
@@ -109,9 +112,10 @@ def clamp_unit(value: Column | str) -> Column:
 def clamp_seconds(value: Column | str, duration: Column | str) -> Column:
     """Clamp to [0, duration]; no upper bound where the duration is unknown."""
     value, duration = _col(value), _col(duration)
-    return F.when(duration <= 0, F.greatest(F.lit(0.0), value)).otherwise(
+    bounded = F.when(duration <= 0, F.greatest(F.lit(0.0), value)).otherwise(
         F.greatest(F.lit(0.0), F.least(duration, value))
     )
+    return F.when(value.isNotNull(), bounded)
 
 
 def clip_text(value: Column | str, max_chars: int, marker: str = config.CLIP_MARKER) -> Column:

@@ -115,6 +115,36 @@ def previous_and_running_max(
     )
 
 
+def offset_and_total(
+    df: DataFrame, keys: Sequence[str], position: str, value: Column, block_rows: int
+) -> DataFrame:
+    """Add ``offset`` (sum of ``value`` before the row) and ``total`` per key,
+    by the same two levels as ``previous_and_running_max``."""
+    rows = df.withColumn("_value", value).withColumn(
+        "_block", F.floor(F.col(position) / block_rows)
+    )
+    before = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(*before)
+    per_key = Window.partitionBy(*keys)
+    blocks = (
+        rows.groupBy(*keys, "_block")
+        .agg(F.sum("_value").alias("_sum"))
+        .withColumn(
+            "_carry",
+            F.coalesce(F.sum("_sum").over(per_key.orderBy("_block").rowsBetween(*before)), F.lit(0)),
+        )
+        .withColumn("total", F.sum("_sum").over(per_key))
+        .drop("_sum")
+    )
+    local = F.coalesce(F.sum("_value").over(inside), F.lit(0))
+    return (
+        rows.withColumn("_local", local)
+        .join(blocks, [*keys, "_block"])
+        .withColumn("offset", F.col("_local") + F.col("_carry"))
+        .drop("_value", "_block", "_local", "_carry")
+    )
+
+
 def ordered_parts(
     df: DataFrame,
     keys: Sequence[str],

@@ -124,3 +124,266 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("size_bytes"),
         F.col("o_custkey").alias("owner"),
     )
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as job-status updates; some carry no time."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"),
+        F.col("event_type").alias("status"),
+        F.when(F.col("event_id") % 50 > 0, F.floor(millis("ts") / DAY_MS)).alias("updated_at"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+EVENT_TERMINAL = ("purchase", "error")
+
+
+def field_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as partial job updates: each type sets other fields."""
+    kind, value = F.col("event_type"), F.col("value")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"),
+        F.col("event_id").alias("seq"),
+        F.when(kind != "view", kind).alias("status"),
+        F.when(kind.isin("view", "click"), F.floor(value * 3 - 20)).alias("progress_percent"),
+        F.when(kind == "click", F.floor(value) - 30).alias("stage_processed"),
+        F.when(kind == "signup", F.repeat(F.concat(kind, F.lit(" ")), 60)).alias("stage_message"),
+        millis("ts").alias("updated_at"),
+    )
+
+
+def customer_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.lower("c_mktsegment").alias("status"),
+        F.lit(10).cast("bigint").alias("progress_percent"),
+        F.lit(0).cast("bigint").alias("stage_processed"),
+        F.lit("waiting").alias("stage_message"),
+        F.lit(ORIGIN_MS).cast("bigint").alias("updated_at"),
+    )
+
+
+STATUS_BY_CODE = {"O": "processing", "F": "failed", "P": "completed"}
+
+
+def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as frame rows of the order catalogue, with object keys."""
+    key = F.concat(
+        F.lit("videos/"), F.col("l_orderkey").cast("string"), F.lit("/frames/"),
+        F.lpad(F.floor("l_extendedprice").cast("string"), 9, "0"), F.lit(".jpg"),
+    )
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("video_id"),
+        F.col("l_partkey").alias("frame_id"),
+        F.floor("l_extendedprice").alias("timestamp_ms"),
+        key.alias("object_key"),
+        F.element_at(
+            F.create_map(F.lit("A"), F.lit("selected"), F.lit("R"), F.lit("rejected")),
+            F.col("l_returnflag"),
+        ).alias("selection_status"),
+        F.col("l_discount").alias("selection_score"),
+        F.col("l_linenumber").cast("bigint").alias("matched_section_index"),
+        F.concat(F.lit("bucket-"), F.col("l_linestatus")).alias("bucket"),
+    )
+
+
+def usage_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as ledger calls: a sign-up starts a parse, a purchase is a model
+    call of the parse its ``props`` name; the response carries token counts
+    under changing names."""
+    kind, event_id = F.col("event_type"), F.col("event_id")
+    parent = kind == "signup"
+    mode = F.element_at(
+        F.array(*[F.lit(m) for m in ("transcript", "keyframes", "markdown", "full")]),
+        (event_id % 4 + 1).cast("int"),
+    )
+    tokens = F.floor(F.col("value")).cast("string")
+    number = (event_id % 5).cast("int")
+    names = ("prompt_tokens", "input_tokens", "promptTokens", "inputTokens", "none")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), number + 1)
+    usage = F.concat(
+        F.lit('{"model":"'), F.when(event_id % 3 == 0, F.lit("m1")).otherwise(F.lit("")),
+        F.lit('","usage":{"'), name, F.lit('":"'), tokens,
+        F.lit('","completion_tokens":'), number.cast("string"), F.lit("}}"),
+    )
+    return (
+        table(spark, sf_dir, "events")
+        .where(kind.isin("signup", "purchase"))
+        .select(
+            event_id.cast("string").alias("id"),
+            F.col("user_id").alias("video_id"),
+            F.when(parent, F.lit("background")).otherwise(F.lit("model")).alias("interface_type"),
+            F.when(parent, F.lit(config.PARSE_ENDPOINT))
+            .otherwise(F.lit(config.TRANSCRIPT_MODEL_CALLS[1]))
+            .alias("tool_or_endpoint"),
+            F.when(parent, mode).alias("mode"),
+            F.lit("").alias("request_model"),
+            F.when(parent & (event_id % 2 == 0), F.lit("{}")).otherwise(usage).alias("response"),
+            F.when(~parent, F.col("user_id").cast("string")).alias("_asked_by"),
+            F.when(F.col("value") > 60, F.lit("failed")).otherwise(F.lit("completed")).alias(
+                "status"
+            ),
+            millis("ts").alias("created_at"),
+        )
+    )
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"), F.split("text", "\n").alias("lines")
+    )
+
+
+def speech_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as speech answers: one sentence per line, in six field styles."""
+    style = F.col("video_id") % 6
+
+    def styled(build) -> Column:
+        return F.to_json(F.struct(F.transform("lines", build).alias("sentences")))
+
+    def clock(i: Column) -> Column:
+        return F.concat(
+            F.floor(i / 24).cast("string"), F.lit(":"), ((i % 24) * 2.5).cast("string")
+        )
+
+    def number(i: Column, shift: float = 0.0) -> Column:
+        return i * 2.5 + shift
+
+    answer = (
+        F.when(style == 0, styled(lambda t, i: F.struct(
+            t.alias("text"), number(i).alias("start"), number(i, 2.5).alias("end"))))
+        .when(style == 1, styled(lambda t, i: F.struct(
+            t.alias("transcript"), clock(i).alias("start_seconds"),
+            clock(i + 1).alias("end_seconds"))))
+        .when(style == 2, styled(lambda t, i: F.struct(
+            t.alias("sentence"),
+            F.array(i * 2500 + 200_000, i * 2500 + 202_500).alias("timestamp"))))
+        .when(style == 3, styled(lambda t, i: F.struct(
+            t.alias("text"), number(i).alias("begin"),
+            F.when(i % 5 < 4, number(i, 1.0)).alias("finish"))))
+        .when(style == 4, styled(lambda t, i: F.struct(
+            t.alias("text"), number(i).cast("string").alias("start"),
+            number(i, 1.5).cast("string").alias("end"))))
+        .otherwise(F.to_json(F.struct(F.col("lines").alias("segments"))))
+    )
+    duration = F.when(F.col("video_id") % 12 == 6, F.lit(10_000)).otherwise(F.lit(0))
+    return document_lines(spark, sf_dir).select(
+        "video_id", answer.alias("response"), duration.alias("duration_ms")
+    )
+
+
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wrapped as model answers: plain, fenced, embedded, cut, no object."""
+    body = F.to_json(F.struct(F.col("lang").alias("title"), F.col("text").alias("text")))
+    style = F.col("doc_id") % 5
+    content = (
+        F.when(style == 0, body)
+        .when(style == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(style == 2, F.concat(F.lit("Here it is: "), body, F.lit(" done.")))
+        .when(style == 3, F.concat(F.lit("{"), body))
+        .otherwise(F.to_json(F.array("lang", "source")))
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"), F.length("text").alias("chars"),
+        content.alias("content"),
+    )
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("turn") * 10.0
+    return table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("video_id"),
+        F.col("turn").alias("sentence_index"),
+        start.alias("start_seconds"),
+        (start + F.length("text") / 15.0).alias("end_seconds"),
+        "text",
+    )
+
+
+def raw_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three turns per section; faults follow the conversation number."""
+    block = F.floor(F.col("turn") / 3)
+    style = F.col("video_id") % 7
+    grouped = (
+        table(spark, sf_dir, "conversations")
+        .groupBy(F.col("conv_id").alias("video_id"), (block + 1).alias("section_index"))
+        .agg(
+            F.min("turn").alias("_lo"), F.max("turn").alias("_hi"),
+            F.min_by("role", "turn").alias("title"),
+        )
+    )
+    whole = F.sequence("_lo", "_hi")
+    indices = (
+        F.when(style == 1, F.filter(whole, lambda x: x != F.col("_lo") + 1))
+        .when((style == 2) & (F.col("_lo") > 0), F.sequence(F.col("_lo") - 1, F.col("_hi")))
+        .when((style == 3) & (F.col("_hi") > F.col("_lo")),
+              F.sequence(F.col("_lo"), F.col("_hi") - 1))
+        .when(style == 6, F.slice(whole, 1, 0))
+        .otherwise(whole)
+    )
+    return grouped.select(
+        "video_id", "section_index", "title", indices.alias("source_indices"),
+        F.when(style == 4, F.lit("  ")).otherwise(F.lit("clear words")).alias("polished_text"),
+        F.when(style == 5, F.lit("")).otherwise(F.lit("a still picture")).alias(
+            "business_frame_text"
+        ),
+    )
+
+
+def graph_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as query-graph answers; the key decides which rule is broken."""
+    k = F.col("p_partkey") % 14
+
+    def pick(cases: dict[int, str], default: str) -> Column:
+        chain = F
+        for case, value in cases.items():
+            chain = chain.when(k == case, F.lit(value))
+        return chain.otherwise(F.lit(default))
+
+    first = F.concat(
+        F.lit('{"id":"A","label":"'), F.col("p_name"), F.lit('","role":"'),
+        F.when(k == 1, F.lit("")).otherwise(F.col("p_type")),
+        F.lit('","required":'), pick({2: "1"}, "true"),
+        F.lit(',"weight":'), pick({3: '"0.5"', 4: "-1"}, "0.5"), F.lit("}"),
+    )
+    second = F.concat(
+        F.lit('{"id":"'), pick({5: "a"}, "B part"), F.lit('","label":"'), F.col("p_brand"),
+        F.lit('","role":"part","required":false,"weight":'), F.col("p_size").cast("string"),
+        F.lit("}"),
+    )
+    edge = F.concat(
+        F.lit('{"from":"a","relation":"'), pick({6: ""}, "Next To"), F.lit('","'),
+        pick({7: "target"}, "to"), F.lit('":"'), pick({8: "c"}, "b_part"),
+        F.lit('","required":'), pick({9: "null"}, "false"), F.lit(',"weight":1}'),
+    )
+    graph = (
+        F.when(k == 10, F.lit("[1]"))
+        .when(k == 11, F.lit('{"nodes":[],"edges":[]}'))
+        .when(k == 12, F.concat(F.lit('{"nodes":['), first, F.lit("]}")))
+        .when(k == 13, F.concat(F.lit('{"nodes":['), first, F.lit(',7],"edges":[]}')))
+        .otherwise(F.concat(
+            F.lit('{"nodes":['), first, F.lit(","), second, F.lit('],"edges":['), edge,
+            F.lit("]}"),
+        ))
+    )
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("graph_id"), (F.col("p_size") % 2 + 1).alias("attempt"),
+        graph.alias("graph"),
+    )
+
+
+def titled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as titled sections; line item terms come from the whole text."""
+    words = F.array(*[F.lit(w) for w in ("接线完成", "安装工具", "测试结果", "孔位对齐", "展示组件", "其他")])
+    title = F.element_at(words, (F.col("doc_id") % 6 + 1).cast("int"))
+    node = F.struct(F.concat(F.col("lang"), F.lit("-Part")).alias("label"))
+    other = F.struct(F.col("source").alias("label"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"), title.alias("title"), F.lit("").alias("text"),
+        F.col("text").alias("polished_text"),
+        F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("画面 "), F.col("lang"))).alias(
+            "business_frame_text"
+        ),
+        F.array(node, other, node).alias("nodes"),
+    )

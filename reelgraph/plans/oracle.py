@@ -253,3 +253,337 @@ SELECT video_id, timestamp_ms FROM (
                              ORDER BY timestamp_ms) <= 2)
 QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY timestamp_ms) <= 5
 """
+
+SQL["segments_overlapping"] = with_ctes(
+    """
+SELECT s.video_id, w.sentence_index AS section_index, s.sentence_index
+FROM sentences s JOIN sentences w ON s.video_id = w.video_id AND w.sentence_index % 2 = 0
+ AND s.end_seconds >= w.start_seconds - 5 AND s.start_seconds <= w.end_seconds + 12
+""",
+    "sentences",
+)
+SQL["catalogue_filter"] = with_ctes(
+    """
+SELECT id, title, filename, status FROM catalogue
+WHERE (contains(lower(title), 'p_1') OR contains(lower(filename), 'p_1')) AND status = 'completed'
+""",
+    "catalogue",
+)
+SQL["page_info"] = """
+SELECT count(*) AS total, greatest(1, (count(*) + 19) // 20) AS total_pages,
+       least(1000000, greatest(1, (count(*) + 19) // 20)) AS page FROM orders
+"""
+SQL["catalogue_page"] = with_ctes(
+    """
+SELECT * FROM catalogue WHERE contains(lower(title), 'low') OR contains(lower(filename), 'low')
+ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40
+""",
+    "catalogue",
+)
+SQL["catalogue_page_deep"] = with_ctes(
+    """
+SELECT * EXCLUDE (n, total) FROM (
+  SELECT *, row_number() OVER (ORDER BY created_at, id) AS n, count(*) OVER () AS total
+  FROM catalogue WHERE status = 'failed')
+WHERE n > (total - 1) // 7 * 7
+""",
+    "catalogue",
+)
+SQL["recent"] = with_ctes(
+    "SELECT * FROM catalogue ORDER BY created_at DESC, id DESC LIMIT 30", "catalogue"
+)
+SQL["public_job_view"] = with_ctes(
+    """
+SELECT *, CASE WHEN status = 'failed' THEN '视频解析失败'
+               WHEN id % 2 = 0 THEN 'trace ' || title ELSE '' END AS error_message,
+       CASE status WHEN 'processing' THEN '处理中' WHEN 'failed' THEN '失败' ELSE '已完成' END
+         AS status_label
+FROM catalogue
+""",
+    "catalogue",
+)
+SQL["frame_view"] = with_ctes(
+    """
+SELECT video_id, frame_id, timestamp_ms, round(timestamp_ms / 1000.0::DOUBLE, 3) AS timestamp_seconds,
+       format('{:02d}:{:02d}', CAST(round_even(timestamp_ms / 1000.0::DOUBLE, 0) AS BIGINT) // 60,
+              CAST(round_even(timestamp_ms / 1000.0::DOUBLE, 0) AS BIGINT) % 60) AS timestamp_time,
+       object_key, '/api/videos/' || CAST(video_id AS VARCHAR) || '/frames/'
+         || string_split(object_key, '/')[-1] AS url,
+       coalesce(selection_status, 'pending') AS selection_status, selection_score,
+       matched_section_index
+FROM stored_frames
+""",
+    "stored_frames",
+)
+SQL["latest_state"] = """
+SELECT id, status, updated_at, seq FROM (
+  SELECT user_id AS id, event_type AS status, epoch_us(ts) // 86400000000 AS updated_at,
+         event_id AS seq
+  FROM events WHERE event_id % 50 > 0
+    AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0))
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC,
+  CASE WHEN status IN ('purchase', 'error') THEN 1 ELSE 0 END DESC, seq DESC) = 1
+"""
+SQL["apply_job_updates"] = """
+SELECT c_custkey AS id,
+       coalesce(arg_max(event_type, event_id) FILTER (event_type <> 'view'),
+                lower(any_value(c_mktsegment))) AS status,
+       greatest(0, least(100, coalesce(arg_max(CAST(floor(value * 3 - 20) AS BIGINT), event_id)
+         FILTER (event_type IN ('view', 'click')), 10))) AS progress_percent,
+       greatest(0, coalesce(arg_max(CAST(floor(value) AS BIGINT) - 30, event_id)
+         FILTER (event_type = 'click'), 0)) AS stage_processed,
+       coalesce(arg_max(left(repeat('signup ', 60), 255), event_id)
+         FILTER (event_type = 'signup'), 'waiting') AS stage_message,
+       coalesce(max(epoch_us(ts) // 1000), 1704067200000) AS updated_at
+FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey
+"""
+SQL["fail_interrupted"] = with_ctes(
+    """
+SELECT * REPLACE (CASE WHEN status = 'processing' THEN 'failed' ELSE status END AS status),
+       CASE WHEN status = 'processing' THEN 'failed' END AS current_stage,
+       CASE WHEN status = 'processing' THEN 100 END::BIGINT AS progress_percent,
+       CASE WHEN status = 'processing'
+            THEN 'Background job was interrupted by service restart.' END AS error_message,
+       CASE WHEN status = 'processing' THEN 1704067200000 END AS completed_at,
+       CASE WHEN status = 'processing' THEN 1704067200000 END AS updated_at
+FROM catalogue
+""",
+    "catalogue",
+)
+SQL["purge_videos"] = with_ctes(
+    """
+SELECT c.id, c.status, (SELECT count(*) FROM lineitem WHERE l_orderkey = c.id) AS frames
+FROM catalogue c WHERE c.status = 'processing'
+  OR c.id NOT IN (SELECT c_custkey * 12 FROM customer WHERE c_custkey % 10 <> 0)
+""",
+    "catalogue",
+)
+SQL["purge_refusals"] = with_ctes(
+    """
+SELECT r.id, CASE WHEN r.id LIKE '../%' THEN 'invalid_id' WHEN c.id IS NULL THEN 'not_found'
+                  ELSE 'active' END AS reason
+FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN '../' || CAST(c_custkey AS VARCHAR)
+                  ELSE CAST(c_custkey * 12 AS VARCHAR) END AS id FROM customer) r
+LEFT JOIN catalogue c ON CAST(c.id AS VARCHAR) = r.id
+WHERE c.id IS NULL OR c.status = 'processing'
+""",
+    "catalogue",
+)
+SQL["buckets_to_clean"] = with_ctes(
+    """
+SELECT id AS video_id, 'main' AS bucket FROM catalogue
+UNION SELECT id, 'src-' || title FROM catalogue
+UNION SELECT f.video_id, f.bucket FROM stored_frames f JOIN catalogue c ON c.id = f.video_id
+""",
+    "catalogue", "stored_frames",
+)
+SQL["usage_tokens"] = with_ctes(
+    """
+SELECT id, prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens
+FROM calls
+""",
+    "calls",
+)
+SQL["classify_calls"] = with_ctes(
+    """
+SELECT l.id, l.feature_name, l.model, k.parent_call_id
+FROM ledger l JOIN linked k ON k.id = l.id
+""",
+    "linked",
+)
+SQL["usage_rollup"] = with_ctes(
+    """
+SELECT id, video_id, feature_name, prompt_tokens, completion_tokens, total_tokens FROM rolled
+""",
+    "rolled",
+)
+SQL["usage_summary"] = with_ctes(
+    """
+SELECT id, video_id, feature_name, model, total_tokens, status,
+       CASE status WHEN 'failed' THEN '失败' ELSE '已完成' END AS status_label FROM rolled
+""",
+    "rolled",
+)
+SQL["usage_total"] = with_ctes(
+    """
+SELECT count(*) AS calls, coalesce(sum(total_tokens), 0)::BIGINT AS total_tokens FROM rolled
+WHERE contains(lower(model), 'sam2') AND status = 'completed'
+""",
+    "rolled",
+)
+SQL["extract_sentences"] = with_ctes(
+    """
+SELECT s.video_id, s.sentence_index, s.start_seconds, s.end_seconds, s.text
+FROM spoken s JOIN rejected r USING (video_id) WHERE r.reason IS NULL
+""",
+    "rejected", "spoken",
+)
+SQL["rejected_responses"] = with_ctes("SELECT * FROM rejected WHERE reason IS NOT NULL", "rejected")
+SQL["asr_text"] = with_ctes(
+    """
+SELECT d.doc_id AS video_id, md5(coalesce(t, '')) AS text_md5, length(coalesce(t, '')) AS chars
+FROM documents d LEFT JOIN (SELECT video_id, string_agg(text, '' ORDER BY i) AS t FROM doc_lines
+  WHERE video_id % 6 < 5 GROUP BY 1) s ON s.video_id = d.doc_id
+""",
+    "doc_lines",
+)
+SQL["model_json"] = """
+SELECT doc_id AS video_id,
+       CASE WHEN doc_id % 5 < 3 THEN 'ok' WHEN doc_id % 5 = 3 THEN 'malformed_json'
+            ELSE 'not_an_object' END AS outcome,
+       CASE WHEN doc_id % 5 < 3 THEN lang END AS title,
+       CASE WHEN doc_id % 5 < 3 THEN length(text) END AS chars
+FROM documents
+"""
+SQL["validate_sections"] = with_ctes("SELECT * FROM violations", "violations")
+SQL["valid_section_ranges"] = with_ctes(
+    """
+SELECT u.video_id, u.section_index, round(min(s.start_seconds), 6) AS start_seconds,
+       round(max(s.end_seconds), 6) AS end_seconds
+FROM used u JOIN sentences s USING (video_id, sentence_index)
+WHERE u.video_id NOT IN (SELECT video_id FROM violations) GROUP BY 1, 2
+""",
+    "violations",
+)
+SQL["section_texts"] = with_ctes(
+    r"""
+SELECT u.video_id, u.section_index, 0::BIGINT AS part_no,
+       string_agg(trim(regexp_replace(s.text, '\s+', ' ', 'g')), ' ' ORDER BY sentence_index)
+         AS text
+FROM used u JOIN sentences s USING (video_id, sentence_index) GROUP BY 1, 2
+""",
+    "used", "sentences",
+)
+SQL["repair_section_ranges"] = """
+WITH RECURSIVE s AS (
+  SELECT conv_id AS video_id, turn AS section_index, turn * 7.0::DOUBLE AS a,
+         turn * 7.0::DOUBLE + length(text) % 40 - 5 AS z,
+         CASE WHEN conv_id % 3 = 0 THEN 1e12::DOUBLE ELSE conv_id % 3 * 30.0::DOUBLE END AS lim,
+         conv_id % 3 * 30.0::DOUBLE AS duration_seconds,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (
+  SELECT *, greatest(0, least(lim, a)) AS start_seconds,
+         greatest(0, least(lim, greatest(a, z))) AS end_seconds FROM s WHERE n = 1
+  UNION ALL
+  SELECT s.*, greatest(0, least(s.lim, greatest(s.a, f.end_seconds))),
+         greatest(0, least(s.lim, greatest(s.a, s.z, f.end_seconds)))
+  FROM f JOIN s ON s.video_id = f.video_id AND s.n = f.n + 1)
+SELECT video_id, section_index, duration_seconds, start_seconds, end_seconds,
+       format('{:02d}:{:02d}', CAST(start_seconds AS BIGINT) // 60, CAST(start_seconds AS BIGINT) % 60)
+         AS start_time,
+       format('{:02d}:{:02d}', CAST(end_seconds AS BIGINT) // 60, CAST(end_seconds AS BIGINT) % 60)
+         AS end_time
+FROM f
+"""
+SQL["model_context"] = with_ctes(
+    r"""
+SELECT video_id, md5(c) AS context_md5, length(c) AS chars, whole_chars
+FROM (SELECT video_id, length(t) AS whole_chars,
+             CASE WHEN length(t) > 2000
+                  THEN regexp_replace(left(t, 2000), '\s+$', '') || chr(10) || chr(10)
+                       || '[内容过长，已截断。]' ELSE t END AS c
+      FROM (SELECT s.video_id, string_agg(format('[{}] {:02d}:{:02d}-{:02d}:{:02d} {}',
+              s.sentence_index, CAST(round_even(s.start_seconds, 0) AS BIGINT) // 60,
+              CAST(round_even(s.start_seconds, 0) AS BIGINT) % 60,
+              CAST(round_even(s.end_seconds, 0) AS BIGINT) // 60,
+              CAST(round_even(s.end_seconds, 0) AS BIGINT) % 60, s.text), chr(10)
+              ORDER BY s.sentence_index) AS t
+            FROM spoken s JOIN rejected r USING (video_id) WHERE r.reason IS NULL GROUP BY 1))
+""",
+    "rejected", "spoken",
+)
+SQL["validate_query_graph"] = with_ctes(
+    """
+SELECT graph_id, reason, CASE WHEN reason IS NULL THEN label1 || '|' || label2 END AS terms
+FROM graphs
+""",
+    "graphs",
+)
+SQL["graph_nodes"] = with_ctes(
+    """
+SELECT graph_id, 0::BIGINT AS node_no, 'a' AS id, label1 AS label, role1 AS role,
+       true AS required, 0.5::DOUBLE AS weight FROM graphs WHERE reason IS NULL
+UNION ALL
+SELECT graph_id, 1, 'b_part', label2, 'part', false, p_size FROM graphs WHERE reason IS NULL
+""",
+    "graphs",
+)
+SQL["graph_edges"] = with_ctes(
+    """
+SELECT graph_id, 0::BIGINT AS edge_no, 'a' AS "from", 'next_to' AS relation, 'b_part' AS "to",
+       false AS required, 1.0::DOUBLE AS weight FROM graphs WHERE reason IS NULL
+""",
+    "graphs",
+)
+SQL["retry_set"] = with_ctes(
+    """
+SELECT graph_id, attempt + 1 AS attempt, reason, 'validation error: ' || reason AS feedback
+FROM graphs WHERE reason IS NOT NULL AND attempt < 2
+""",
+    "graphs",
+)
+SQL["query_spec"] = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, text,
+         ['接线完成', '安装工具', '测试结果', '孔位对齐', '展示组件', '其他'][doc_id % 6 + 1] AS title,
+         CASE WHEN doc_id % 4 > 0 THEN '画面 ' || lang ELSE '' END AS business
+  FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS word
+  FROM (SELECT doc_id, string_split(trim(regexp_replace(
+          business || ' ' || text || ' ' || title || ' ' || title,
+          '[\s\x{00a0}\x{2000}-\x{200a}\x{3000},，。.!?；;:：、/\\()（）\[\]【】"''“”‘’]+', ' ', 'g')), ' ') AS words FROM d)),
+k AS (
+  SELECT doc_id, i, CASE WHEN word IN ('s', 'S') THEN 'signal' WHEN word = '+' THEN 'positive terminal'
+                         WHEN word = '-' THEN 'negative terminal'
+                         WHEN length(word) > 2 THEN lower(word) END AS term FROM w),
+t AS (SELECT doc_id, string_agg(term, '|' ORDER BY i) AS terms, count(*) AS n
+      FROM (SELECT doc_id, term, min(i) AS i FROM k WHERE term IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT d.doc_id AS video_id,
+       CASE doc_id % 6 WHEN 0 THEN 'wiring_frame' WHEN 1 THEN 'operation_frame'
+            WHEN 2 THEN 'completion_frame' WHEN 3 THEN 'alignment_frame' ELSE 'overview_frame' END
+         AS frame_type,
+       CASE WHEN business <> '' THEN business ELSE title END AS target,
+       lang || ' part|' || source AS graph_terms, md5(t.terms) AS query_terms_md5,
+       t.n AS query_terms,
+       CASE doc_id % 6 WHEN 0 THEN 'clear_key_region|detail_rich' WHEN 1 THEN 'clear_key_region|detail_rich'
+            WHEN 2 THEN 'clear_key_region|sharp' WHEN 3 THEN 'clear_key_region|close_up'
+            ELSE 'close_up|detail_rich' END AS expected_signals
+FROM d JOIN t USING (doc_id)
+"""
+SQL["label_forms"] = """
+SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) AS label,
+       CASE WHEN p_name = 'red plate' THEN 'hand' ELSE p_name END AS synonym,
+       replace(lower(p_name), ' ', '_') || '_' || lower(p_type) AS graph_id,
+       p_type || '.png' AS file_name
+FROM part
+"""
+SQL["time_forms"] = """
+SELECT o_orderkey, round(s, 6) AS seconds,
+       CASE WHEN t IS NULL THEN NULL WHEN t >= 3600 THEN format('{:02d}:{:02d}:{:02d}', t // 3600, t % 3600 // 60, t % 60)
+            ELSE format('{:02d}:{:02d}', t // 60, t % 60) END AS clock,
+       CASE WHEN u IS NULL THEN NULL WHEN u <= 0 THEN '未知'
+            WHEN u >= 3600 THEN format('{:02d}:{:02d}:{:02d}', u // 3600, u % 3600 // 60, u % 60)
+            ELSE format('{:02d}:{:02d}', u // 60, u % 60) END AS duration,
+       CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 0 END AS frame_ms
+FROM (SELECT *, CAST(round_even(floor(s) + 0.5::DOUBLE, 0) AS BIGINT) AS t,
+             CAST(floor(s) AS BIGINT) - 5 AS u
+      FROM (SELECT *, CASE o_orderkey % 4
+                WHEN 0 THEN CASE WHEN o_orderkey % 8 = 0 AND o_totalprice > 100000
+                                 THEN o_totalprice / 1000 ELSE o_totalprice END
+                WHEN 1 THEN (o_orderkey % 3 * 3600 + o_custkey % 60 * 60 + o_orderkey % 50)::DOUBLE
+                WHEN 3 THEN (o_orderkey % 100)::DOUBLE END AS s FROM orders))
+"""
+SQL["clipped_texts"] = r"""
+SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed_md5,
+       md5(CASE WHEN length(text) > 500 THEN regexp_replace(left(text, 500), '\s+$', '')
+             || chr(10) || chr(10) || '[内容过长，已截断。]' ELSE text END) AS clipped_md5,
+       CASE WHEN length(text) > 100 THEN length(regexp_replace(left(text, 100), '\s+$', '')) + 3
+            ELSE length(text) END AS summary_chars,
+       md5(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"')) AS escaped_md5
+FROM documents
+"""
+SQL["object_inventory"] = """
+SELECT url AS object_key, 'application/octet-stream' AS media_type,
+       octet_length(encode(html)) AS size_bytes, sha256(html) AS checksum FROM pages
+"""

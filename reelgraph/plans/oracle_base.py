@@ -240,3 +240,186 @@ FROM durations
 """,
     "durations",
 )
+cte(
+    "stored_frames",
+    """
+SELECT l_orderkey AS video_id, l_partkey AS frame_id,
+       CAST(floor(l_extendedprice) AS BIGINT) AS timestamp_ms,
+       'videos/' || CAST(l_orderkey AS VARCHAR) || '/frames/'
+         || lpad(CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR), 9, '0') || '.jpg'
+         AS object_key,
+       CASE l_returnflag WHEN 'A' THEN 'selected' WHEN 'R' THEN 'rejected' END AS selection_status,
+       l_discount AS selection_score, CAST(l_linenumber AS BIGINT) AS matched_section_index,
+       'bucket-' || l_linestatus AS bucket
+FROM lineitem
+""",
+)
+cte(
+    "calls",
+    """
+SELECT CAST(event_id AS VARCHAR) AS id, user_id AS video_id, event_id,
+       event_type = 'signup' AS is_parent, epoch_us(ts) // 1000 AS created_at,
+       CASE WHEN value > 60 THEN 'failed' ELSE 'completed' END AS status,
+       NOT (event_type = 'signup' AND event_id % 2 = 0) AS has_usage,
+       CASE event_id % 4 WHEN 0 THEN 'transcript' WHEN 1 THEN 'keyframes'
+                         WHEN 2 THEN 'markdown' ELSE 'full' END AS mode,
+       CASE WHEN NOT (event_type = 'signup' AND event_id % 2 = 0) AND event_id % 5 < 4
+            THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS prompt_tokens,
+       CASE WHEN NOT (event_type = 'signup' AND event_id % 2 = 0)
+            THEN event_id % 5 ELSE 0 END AS completion_tokens
+FROM events WHERE event_type IN ('signup', 'purchase')
+""",
+)
+cte(
+    "ledger",
+    """
+SELECT *, prompt_tokens + completion_tokens AS total_tokens,
+       CASE WHEN NOT is_parent OR mode = 'transcript' THEN '转写文本'
+            WHEN mode = 'keyframes' THEN '筛选业务帧' ELSE '生成 Markdown' END AS feature_name,
+       CASE WHEN has_usage AND event_id % 3 = 0 THEN 'm1'
+            WHEN NOT is_parent THEN '本地流程'
+            WHEN mode = 'transcript' THEN 'Qwen/Qwen3-ASR-1.7B + qwen3.7-plus'
+            WHEN mode = 'keyframes' THEN '本地 yolov8s-world + sam2.1_b.pt'
+            ELSE '本地 Markdown 生成' END AS model
+FROM calls WHERE NOT is_parent OR mode <> 'full'
+""",
+    "calls",
+)
+cte(
+    "linked",
+    """
+SELECT l.*, CASE WHEN NOT l.is_parent THEN f.id END AS parent_call_id
+FROM ledger l LEFT JOIN (SELECT video_id, arg_min(id, created_at) AS id FROM ledger
+                         WHERE is_parent GROUP BY 1) f ON f.video_id = l.video_id
+""",
+    "ledger",
+)
+cte(
+    "rolled",
+    """
+SELECT p.id, p.video_id, p.feature_name, p.model, p.status, p.created_at,
+       CASE WHEN p.total_tokens > 0 THEN p.prompt_tokens ELSE coalesce(c.pt, 0) END
+         AS prompt_tokens,
+       CASE WHEN p.total_tokens > 0 THEN p.completion_tokens ELSE coalesce(c.ct, 0) END
+         AS completion_tokens,
+       CASE WHEN p.total_tokens > 0 THEN p.total_tokens ELSE coalesce(c.tt, 0) END AS total_tokens
+FROM linked p LEFT JOIN (
+  SELECT p.id, sum(c.prompt_tokens)::BIGINT AS pt, sum(c.completion_tokens)::BIGINT AS ct,
+         sum(c.total_tokens)::BIGINT AS tt
+  FROM linked p JOIN linked c ON c.parent_call_id = p.id AND c.video_id = p.video_id
+   AND c.feature_name = p.feature_name AND c.created_at >= p.created_at AND NOT c.is_parent
+  WHERE p.is_parent GROUP BY 1) c ON c.id = p.id
+WHERE p.is_parent
+""",
+    "linked",
+)
+cte(
+    "doc_lines",
+    """
+SELECT doc_id AS video_id, unnest(range(len(lines))) AS i,
+       trim(unnest(lines), ' ' || chr(9) || chr(10) || chr(13)) AS text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
+""",
+)
+cte(
+    "spoken",
+    """
+SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY i) - 1 AS sentence_index
+FROM (SELECT video_id, i, text,
+        least(CASE WHEN video_id % 12 = 6 THEN 10.0 ELSE 1e12 END,
+          CASE video_id % 6 WHEN 2 THEN 200 ELSE 0 END + i * 2.5)::DOUBLE AS start_seconds,
+        least(CASE WHEN video_id % 12 = 6 THEN 10.0 ELSE 1e12 END,
+          CASE video_id % 6 WHEN 3 THEN CASE WHEN i % 5 < 4 THEN i * 2.5 + 1.0 END
+               WHEN 4 THEN i * 2.5 + 1.5 WHEN 2 THEN i * 2.5 + 202.5
+               ELSE i * 2.5 + 2.5 END)::DOUBLE AS end_seconds,
+        CASE WHEN video_id % 6 = 3 AND i % 5 = 4 THEN true ELSE false END AS untimed
+      FROM doc_lines WHERE text <> '')
+""",
+    "doc_lines",
+)
+cte(
+    "rejected",
+    """
+SELECT d.doc_id AS video_id,
+       CASE WHEN d.doc_id % 6 = 5 THEN 'no_sentence_timestamps'
+            WHEN coalesce(s.untimed, false) THEN 'missing_timestamps'
+            WHEN s.video_id IS NULL THEN 'no_usable_sentences'
+            WHEN s.flat THEN 'end_not_after_start' END AS reason
+FROM documents d LEFT JOIN (SELECT video_id, bool_or(untimed) AS untimed,
+       bool_or(end_seconds <= start_seconds) AS flat FROM spoken GROUP BY 1) s
+  ON s.video_id = d.doc_id
+""",
+    "spoken",
+)
+cte(
+    "sentences",
+    """
+SELECT conv_id AS video_id, turn AS sentence_index, turn * 10.0::DOUBLE AS start_seconds,
+       turn * 10.0::DOUBLE + length(text) / 15.0::DOUBLE AS end_seconds, text
+FROM conversations
+""",
+)
+cte(
+    "blocks",
+    """
+SELECT *, CASE WHEN video_id % 7 = 1 THEN list_filter(range(lo, hi + 1), lambda x: x <> lo + 1)
+               WHEN video_id % 7 = 2 AND lo > 0 THEN range(lo - 1, hi + 1)
+               WHEN video_id % 7 = 3 AND hi > lo THEN range(lo, hi)
+               WHEN video_id % 7 = 6 THEN []::BIGINT[] ELSE range(lo, hi + 1) END AS idx
+FROM (SELECT conv_id AS video_id, turn // 3 + 1 AS section_index, min(turn) AS lo, max(turn) AS hi,
+             arg_min(role, turn) AS title
+      FROM conversations GROUP BY 1, 2)
+""",
+)
+cte(
+    "used",
+    "SELECT video_id, section_index, unnest(idx) AS sentence_index FROM blocks",
+    "blocks",
+)
+cte(
+    "violations",
+    """
+SELECT DISTINCT * FROM (
+  SELECT video_id, section_index, 'no_source_indices' AS reason FROM blocks WHERE len(idx) = 0
+  UNION ALL
+  SELECT video_id, section_index, 'indices_not_contiguous' FROM blocks
+  WHERE list_max(idx) - list_min(idx) + 1 <> len(idx)
+  UNION ALL
+  SELECT video_id, section_index, 'no_polished_text' FROM blocks WHERE video_id % 7 = 4
+  UNION ALL
+  SELECT video_id, section_index, 'no_business_frame_text' FROM blocks WHERE video_id % 7 = 5
+  UNION ALL
+  SELECT video_id, max(section_index), 'sentence_reused' FROM used
+  GROUP BY video_id, sentence_index HAVING min(section_index) < max(section_index)
+  UNION ALL
+  SELECT video_id, NULL, 'sentences_not_covered' FROM sentences
+  WHERE (video_id, sentence_index) NOT IN (SELECT (video_id, sentence_index) FROM used)
+  UNION ALL
+  SELECT video_id, NULL, 'sentences_not_covered' FROM used
+  WHERE (video_id, sentence_index) NOT IN (SELECT (video_id, sentence_index) FROM sentences)
+  UNION ALL
+  SELECT video_id, section_index, 'timestamps_missing' FROM blocks b
+  WHERE len(idx) > 0 AND NOT EXISTS (SELECT 1 FROM sentences s
+    WHERE s.video_id = b.video_id AND list_contains(b.idx, s.sentence_index)))
+""",
+    "blocks",
+    "used",
+    "sentences",
+)
+cte(
+    "graphs",
+    """
+SELECT p_partkey AS graph_id, p_partkey % 14 AS k, p_size % 2 + 1 AS attempt, p_size,
+       regexp_replace(trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')), ' +', ' ', 'g')
+         AS label1,
+       trim(regexp_replace(lower(p_brand), '[^0-9a-z]+', ' ', 'g')) AS label2,
+       lower(p_type) AS role1,
+       [NULL, 'query_graph_node_incomplete', 'query_graph_node_required_not_boolean',
+        'query_graph_node_weight_not_numeric', 'query_graph_node_weight_negative',
+        'query_graph_node_duplicated', 'query_graph_edge_incomplete', NULL,
+        'query_graph_edge_endpoint_unknown', 'query_graph_edge_required_not_boolean',
+        'query_graph_missing', 'query_graph_nodes_empty', 'query_graph_edges_not_list',
+        'query_graph_node_not_object'][p_partkey % 14 + 1] AS reason
+FROM part
+""",
+)

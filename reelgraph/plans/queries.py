@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.operators import dedup, intervals, quality, ranking, selection, timestamps
+from reelgraph.functions import responses, text
+from reelgraph.operators import (
+    catalogue,
+    dedup,
+    intervals,
+    quality,
+    querygraph,
+    ranking,
+    selection,
+    timestamps,
+    transcript,
+    usage,
+)
 from reelgraph.plans import bindings as b
+from reelgraph.sources import inventory
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -234,3 +247,342 @@ def spacing_with_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timestamps.bucket_top_k(b.long_scene_points(spark, sf_dir), 5)
+
+
+@query
+def segments_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = b.sentences(spark, sf_dir)
+    windows = sentences.where(F.col("sentence_index") % 2 == 0).select(
+        "video_id",
+        F.col("sentence_index").alias("section_index"),
+        (F.col("start_seconds") - 5).alias("start_seconds"),
+        (F.col("end_seconds") + 12).alias("end_seconds"),
+    )
+    return intervals.segments_overlapping(
+        sentences, windows.where(F.col("end_seconds") >= F.col("start_seconds")), 30.0
+    ).select("video_id", "section_index", "sentence_index")
+
+
+@query
+def catalogue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = catalogue.catalogue_filter(b.catalogue(spark, sf_dir), " P_1", "completed")
+    return found.select("id", "title", "filename", "status")
+
+
+@query
+def page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.page_info(b.catalogue(spark, sf_dir), 10**6, 20)
+
+
+@query
+def catalogue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.catalogue_page(b.catalogue(spark, sf_dir), 3, 20, "low")[0]
+
+
+@query
+def catalogue_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page, found through day counts."""
+    return catalogue.catalogue_page(
+        b.catalogue(spark, sf_dir), 10**6, 7, status="failed", sort="asc", shallow_rows=100
+    )[0]
+
+
+@query
+def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.recent(b.catalogue(spark, sf_dir))
+
+
+@query
+def public_job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = b.catalogue(spark, sf_dir).withColumn(
+        "error_message", F.when(F.col("id") % 2 == 0, F.concat(F.lit("trace "), F.col("title")))
+    )
+    return catalogue.public_job_view(jobs)
+
+
+@query
+def frame_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.frame_view(b.stored_frames(spark, sf_dir)).withColumn(
+        "timestamp_seconds", F.round("timestamp_seconds", 3)
+    )
+
+
+@query
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = b.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 9 == 0)
+    return catalogue.latest_state(
+        b.job_events(spark, sf_dir), gone.select(F.col("c_custkey").alias("id")), b.EVENT_TERMINAL
+    )[0]
+
+
+@query
+def apply_job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.apply_job_updates(
+        b.customer_jobs(spark, sf_dir), b.field_updates(spark, sf_dir)
+    )
+
+
+@query
+def fail_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit(b.ORIGIN_MS).cast("bigint")
+    return catalogue.fail_interrupted(b.catalogue(spark, sf_dir), now)
+
+
+def _purge_inputs(spark: SparkSession, sf_dir: str):
+    requested = b.table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("../"), F.col("c_custkey")))
+        .otherwise((F.col("c_custkey") * 12).cast("string"))
+        .alias("id")
+    )
+    return b.catalogue(spark, sf_dir), b.stored_frames(spark, sf_dir), requested
+
+
+@query
+def purge_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos, frames, _ = catalogue.purge_videos(*_purge_inputs(spark, sf_dir))
+    kept = frames.groupBy(F.col("video_id").alias("id")).agg(F.count("*").alias("frames"))
+    return videos.join(kept, "id", "left").select(
+        "id", "status", F.coalesce("frames", F.lit(0)).cast("bigint").alias("frames")
+    )
+
+
+@query
+def purge_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue.purge_videos(*_purge_inputs(spark, sf_dir))[2]
+
+
+@query
+def buckets_to_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = b.catalogue(spark, sf_dir).select(
+        "id",
+        F.concat(F.lit("src-"), F.col("title")).alias("source_bucket"),
+        F.when(F.col("id") % 2 == 0, F.lit("main")).otherwise(F.lit("")).alias(
+            "analysis_video_bucket"
+        ),
+    )
+    return catalogue.buckets_to_clean(videos, b.stored_frames(spark, sf_dir), "main")
+
+
+@query
+def usage_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.usage_calls(spark, sf_dir).select("id", *[
+        c.alias(n) for n, c in usage.usage_tokens("response").items()
+    ])
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = b.usage_calls(spark, sf_dir).withColumn(
+        "response_model", F.coalesce(F.get_json_object("response", "$.model"), F.lit(""))
+    )
+    named = usage.classify_calls(calls).withColumns(usage.usage_tokens("response"))
+    # A model call names the first parse of its own video as its parent.
+    first = (
+        named.where(F.col("interface_type") == "background")
+        .groupBy(F.col("video_id").cast("string").alias("_asked_by"))
+        .agg(F.min_by("id", "created_at").alias("parent_call_id"))
+    )
+    return named.join(first, "_asked_by", "left").drop("_asked_by", "response", "mode")
+
+
+@query
+def classify_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).select("id", "feature_name", "model", "parent_call_id")
+
+
+@query
+def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.usage_rollup(ledger(spark, sf_dir)).select(
+        "id", "video_id", "feature_name", "prompt_tokens", "completion_tokens", "total_tokens"
+    )
+
+
+@query
+def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = usage.usage_summary(usage.usage_rollup(ledger(spark, sf_dir)))
+    return summary.select(
+        "id", "video_id", "feature_name", "model", "total_tokens", "status", "status_label"
+    )
+
+
+@query
+def usage_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = usage.usage_summary(usage.usage_rollup(ledger(spark, sf_dir)))
+    return usage.usage_total(usage.usage_search(summary, model="SAM2", status="completed"))
+
+
+@query
+def extract_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.extract_sentences(b.speech_responses(spark, sf_dir))[0]
+
+
+@query
+def rejected_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.extract_sentences(b.speech_responses(spark, sf_dir))[1]
+
+
+@query
+def asr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoken = responses.asr_text("response")
+    return b.speech_responses(spark, sf_dir).select(
+        "video_id", F.md5(spoken).alias("text_md5"), F.length(spoken).cast("bigint").alias("chars")
+    )
+
+
+@query
+def model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = responses.model_json(b.chat_answers(spark, sf_dir), "content")
+    read = good.select(
+        "video_id",
+        F.lit("ok").alias("outcome"),
+        F.get_json_object("json", "$.title").alias("title"),
+        F.length(F.get_json_object("json", "$.text")).cast("bigint").alias("chars"),
+    )
+    return read.unionByName(
+        bad.select(
+            "video_id", F.col("reason").alias("outcome"), F.lit(None).cast("string").alias("title"),
+            F.lit(None).cast("bigint").alias("chars"),
+        )
+    )
+
+
+@query
+def validate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.validate_sections(b.raw_sections(spark, sf_dir), b.sentences(spark, sf_dir))[1]
+
+
+@query
+def valid_section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sentences = b.sentences(spark, sf_dir)
+    good, _ = transcript.validate_sections(b.raw_sections(spark, sf_dir), sentences)
+    ranges = transcript.section_ranges(good, sentences)
+    return ranges.select(
+        "video_id", "section_index", F.round("start_seconds", 6).alias("start_seconds"),
+        F.round("end_seconds", 6).alias("end_seconds"),
+    )
+
+
+@query
+def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.section_texts(b.raw_sections(spark, sf_dir), b.sentences(spark, sf_dir))
+
+
+@query
+def repair_section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = b.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("video_id"), F.col("turn").alias("section_index"),
+        (F.col("turn") * 7.0).alias("start_seconds"),
+        (F.col("turn") * 7.0 + F.length("text") % 40 - 5).alias("end_seconds"),
+        (F.col("conv_id") % 3 * 30.0).alias("duration_seconds"),
+    )
+    return transcript.repair_section_ranges(sections)
+
+
+@query
+def model_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = transcript.extract_sentences(b.speech_responses(spark, sf_dir))[0]
+    context = transcript.model_context(lines, 2_000)
+    return context.select(
+        "video_id", F.md5("context").alias("context_md5"),
+        F.length("context").cast("bigint").alias("chars"), "whole_chars",
+    )
+
+
+def checked_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return querygraph.validate_query_graphs(b.graph_answers(spark, sf_dir), "graph")
+
+
+@query
+def validate_query_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked_graphs(spark, sf_dir).select(
+        "graph_id", "reason", F.array_join(querygraph.graph_terms("nodes"), "|").alias("terms")
+    )
+
+
+@query
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return querygraph.graph_nodes(checked_graphs(spark, sf_dir), "graph_id").withColumn(
+        "node_no", F.col("node_no").cast("bigint")
+    )
+
+
+@query
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return querygraph.graph_edges(checked_graphs(spark, sf_dir), "graph_id").withColumn(
+        "edge_no", F.col("edge_no").cast("bigint")
+    )
+
+
+@query
+def retry_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = checked_graphs(spark, sf_dir).where(F.col("reason").isNotNull())
+    return transcript.retry_set(bad.select("graph_id", "attempt", "reason")).withColumn(
+        "attempt", F.col("attempt").cast("bigint")
+    )
+
+
+@query
+def query_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = querygraph.query_spec(b.titled_sections(spark, sf_dir))
+    return spec.select(
+        "video_id", "frame_type", "target",
+        F.array_join("graph_terms", "|").alias("graph_terms"),
+        F.md5(F.array_join("query_terms", "|")).alias("query_terms_md5"),
+        F.size("query_terms").cast("bigint").alias("query_terms"),
+        F.array_join("expected_signals", "|").alias("expected_signals"),
+    )
+
+
+@query
+def label_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label and id normalisers over part names joined with their types."""
+    raw = F.concat(F.lit("  "), F.upper("p_name"), F.lit("--/"), F.col("p_type"), F.lit("_  "))
+    return b.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        text.normalize_label_plain(raw).alias("label"),
+        text.normalize_label("p_name", b.SYNONYMS).alias("synonym"),
+        text.normalize_id(raw).alias("graph_id"),
+        text.safe_filename(F.concat(raw, F.lit(".PNG")), F.col("p_partkey")).alias("file_name"),
+    )
+
+
+@query
+def time_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds read from numbers, clocks and text, and written back."""
+    raw = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.col("o_totalprice").cast("string"))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat_ws(
+            ":", (F.col("o_orderkey") % 3).cast("string"), (F.col("o_custkey") % 60).cast("string"),
+            (F.col("o_orderkey") % 50).cast("string")))
+        .when(F.col("o_orderkey") % 4 == 2, F.lit("n/a"))
+        .otherwise(F.concat(F.lit(" "), (F.col("o_orderkey") % 100).cast("string")))
+    )
+    seconds = text.parse_seconds(raw, F.col("o_orderkey") % 8 == 0)
+    name = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.when(
+        F.col("o_orderkey") % 2 == 0, F.lit(".jpg")).otherwise(F.lit("x.jpg")))
+    return b.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.round(seconds, 6).alias("seconds"),
+        text.format_timestamp(F.floor(seconds) + 0.5).alias("clock"),
+        text.format_duration(F.floor(seconds) * 1000 - 5000).alias("duration"),
+        text.frame_timestamp_from_name(name).alias("frame_ms"),
+    )
+
+
+@query
+def clipped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents: whitespace collapsed, clipped, summarised, escaped."""
+    return b.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.md5(text.collapse_ws("text")).alias("collapsed_md5"),
+        F.md5(text.clip_text("text", 500)).alias("clipped_md5"),
+        F.length(text.summarize("text", 100)).cast("bigint").alias("summary_chars"),
+        F.md5(text.yaml_escape("text")).alias("escaped_md5"),
+    )
+
+
+@query
+def object_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = b.table(spark, sf_dir, "pages").select(
+        F.col("url").alias("object_key"), F.encode("html", "UTF-8").alias("content")
+    )
+    return inventory.object_inventory(pages)
