@@ -6,11 +6,12 @@ row by row where possible, so that the binding itself adds no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgraph import config
 from reelgraph.functions import text, vectors
+from reelgraph.operators import scenes
 from reelgraph.session import configure
 
 HOUR_MS = 3_600_000
@@ -387,3 +388,114 @@ def titled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.array(node, other, node).alias("nodes"),
     )
+
+
+def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as detections of the order's frame, numbered within it."""
+    order = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
+    )
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    x1, y1 = (F.col("l_suppkey") % 50) * 12.0, (F.col("l_partkey") % 40) * 9.0
+    items = table(spark, sf_dir, "lineitem").join(
+        names, F.col("l_partkey") == F.col("p_partkey")
+    )
+    return items.select(
+        F.col("l_orderkey").alias("frame_id"),
+        F.row_number().over(order).alias("det_no"),
+        F.col("p_name").alias("label"),
+        (F.lit(1.0) - F.col("l_discount") * 5).alias("confidence"),
+        x1.alias("x1"), y1.alias("y1"),
+        (x1 + F.col("l_quantity") * 6).alias("x2"), (y1 + F.col("l_quantity") * 5).alias("y2"),
+        F.lit(IMAGE_WIDTH).alias("width"), F.lit(IMAGE_HEIGHT).alias("height"),
+    )
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenes.normalize_detections(raw_detections(spark, sf_dir), SYNONYMS)
+
+
+def masked_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw detections with a 32 x 18 mask on two of three."""
+    has_mask = F.col("det_no") % 3 > 0
+    return raw_detections(spark, sf_dir).select(
+        "*", has_mask.alias("has_mask"), F.lit(32).alias("mask_width"),
+        F.lit(18).alias("mask_height"),
+    )
+
+
+def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set pixels: a short diagonal per masked detection, none on narrow boxes."""
+    length = F.floor((F.col("x2") - F.col("x1")) / 60).cast("int")
+    steps = F.explode(F.sequence(F.lit(0), length - 1))
+    masked = masked_detections(spark, sf_dir).where(F.col("has_mask") & (length > 0))
+    return masked.withColumn("i", steps).select(
+        "frame_id", "det_no",
+        (F.floor(F.col("x1") / 30) + F.col("i")).alias("x"),
+        (F.floor(F.col("y1") / 30) + F.col("i") % 3).alias("y"),
+    )
+
+
+def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as detector-analysed frames; every twentieth has no result."""
+    return (
+        table(spark, sf_dir, "orders")
+        .where(F.col("o_orderkey") % 20 > 0)
+        .select(
+            F.col("o_orderkey").alias("frame_id"),
+            (F.floor("o_totalprice") % 100).cast("double").alias("blur_score"),
+        )
+    )
+
+
+FRAME_TYPES = (
+    "wiring_frame", "operation_frame", "completion_frame", "alignment_frame", "overview_frame",
+    "other",
+)
+
+
+def scoring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as (section, frame) pairs; the customer names the query graph."""
+    cust, key = F.col("o_custkey"), F.col("o_orderkey")
+    kinds = F.array(*[F.lit(t) for t in FRAME_TYPES])
+    return table(spark, sf_dir, "orders").select(
+        (cust % 150).alias("video_id"),
+        (cust % 5).alias("section_index"),
+        key.alias("frame_id"),
+        F.concat(F.lit("Brand#"), (cust % 25 + 1).cast("string")).alias("graph_id"),
+        F.element_at(kinds, (key % 6 + 1).cast("int")).alias("frame_type"),
+        (F.floor("o_totalprice") % 101 / 100.0).alias("quality_score"),
+    )
+
+
+def brand_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per brand a graph of its two smallest part names and one relation."""
+    first = Window.partitionBy("p_brand").orderBy("p_name")
+    names = (
+        table(spark, sf_dir, "part")
+        .select("p_brand", "p_name")
+        .distinct()
+        .withColumn("n", F.row_number().over(first))
+        .where(F.col("n") <= 2)
+    )
+    number = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
+    relation = F.element_at(
+        F.array(*[F.lit(x) for x in ("near", "fixed_to", "behind")]), F.col("k") % 3 + 1
+    )
+    node = F.struct(
+        F.concat(F.lit("n"), F.col("n").cast("string")).alias("id"),
+        F.col("p_name").alias("label"),
+        F.lit("part").alias("role"),
+        (F.col("n") == 1).alias("required"),
+        F.when(F.col("n") == 1, F.lit(0.6)).otherwise(F.lit(0.4)).alias("weight"),
+    )
+    edge = F.struct(
+        F.lit("n1").alias("from"), relation.alias("relation"), F.lit("n2").alias("to"),
+        (F.col("k") % 2 == 0).alias("required"), F.lit(0.0).alias("weight"),
+    )
+    grouped = names.groupBy("p_brand").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    return grouped.withColumn("k", number).select(
+        F.col("p_brand").alias("graph_id"),
+        "nodes",
+        F.filter(F.array(edge), lambda e: F.size("nodes") > 1).alias("edges"),
+    )

@@ -587,3 +587,92 @@ SQL["object_inventory"] = """
 SELECT url AS object_key, 'application/octet-stream' AS media_type,
        octet_length(encode(html)) AS size_bytes, sha256(html) AS checksum FROM pages
 """
+
+SQL["normalize_detections"] = with_ctes(
+    """
+SELECT frame_id, det_no, label, round(confidence, 6) AS confidence, x1, y1, x2, y2,
+       x1 AS mx1, y1 AS my1, x2 AS mx2, y2 AS my2, round(area, 6) AS bbox_area_ratio,
+       round(area, 6) AS area, round(cx, 6) AS centroid_x, round(cy, 6) AS centroid_y,
+       border AS touches_border
+FROM det
+""",
+    "det",
+)
+SQL["mask_metrics"] = with_ctes(
+    """
+, m AS (SELECT *, det_no % 3 > 0 AS has_mask,
+               CAST(floor((x2 - x1) / 60) AS BIGINT) AS k,
+               floor(x1 / 30) AS px, floor(y1 / 30) AS py FROM det)
+SELECT frame_id, det_no, label,
+       CASE WHEN NOT has_mask THEN x1 WHEN k = 0 THEN 0 ELSE px * 30 END AS mx1,
+       CASE WHEN NOT has_mask THEN y1 WHEN k = 0 THEN 0 ELSE py * 30 END AS my1,
+       CASE WHEN NOT has_mask THEN x2 WHEN k = 0 THEN 0 ELSE (px + k) * 30 END AS mx2,
+       CASE WHEN NOT has_mask THEN y2 WHEN k = 0 THEN 0 ELSE (py + least(k, 3)) * 30 END AS my2,
+       round(CASE WHEN NOT has_mask OR k = 0 THEN area ELSE k / 576.0::DOUBLE END, 6) AS area,
+       round(CASE WHEN NOT has_mask THEN cx WHEN k = 0 THEN 480
+                  ELSE (px + (k - 1) / 2.0::DOUBLE) * 30 END, 6) AS centroid_x,
+       round(CASE WHEN NOT has_mask THEN cy WHEN k = 0 THEN 270
+                  ELSE (py + list_sum(list_transform(range(k), lambda i: i % 3)) / k::DOUBLE) * 30
+             END, 6) AS centroid_y,
+       CASE WHEN NOT has_mask THEN border WHEN k = 0 THEN false
+            ELSE px <= 0 OR py <= 0 OR (px + k) * 30 >= 960 OR (py + least(k, 3)) * 30 >= 540 END
+         AS touches_border
+FROM m
+""",
+    "det",
+).replace("\n, m AS", ",\nm AS")
+SQL["object_quality"] = with_ctes(
+    """
+SELECT frame_id, det_no, round(any_value(center_distance), 9) AS center_distance,
+       round(any_value(quality) FILTER (ideal = 0.08), 9) AS quality_operation_frame,
+       round(any_value(quality) FILTER (ideal = 0.05), 9) AS quality_alignment_frame,
+       round(any_value(quality) FILTER (ideal = 0.06), 9) AS quality_other
+FROM det_quality GROUP BY 1, 2
+""",
+    "det_quality",
+)
+SQL["scene_relations"] = with_ctes("SELECT * FROM rel", "rel")
+SQL["frame_signals"] = with_ctes(
+    """
+SELECT frame_id, array_to_string(list_sort(list_filter(list_concat([
+         CASE WHEN sharp THEN 'sharp' END, CASE WHEN sharp THEN 'not_blurry' END,
+         CASE WHEN occluded THEN 'occluded' END,
+         CASE WHEN n >= 2 OR total >= 0.08 THEN 'detail_rich' END,
+         CASE WHEN largest >= 0.10 THEN 'close_up' END,
+         CASE WHEN largest >= 0.03 AND dist <= 0.42 AND NOT occluded THEN 'clear_key_region' END,
+         CASE WHEN sharp AND NOT occluded THEN 'stable_frame' END,
+         CASE WHEN largest >= 0.08 THEN 'main_subject_large' END,
+         CASE WHEN (largest > 0 AND largest < 0.02) OR total < 0.01 THEN 'tiny_subject' END],
+         list_transform(labels, lambda x: 'has_' || replace(x, ' ', '_'))),
+         lambda x: x IS NOT NULL)), '|') AS signals,
+       11 + len(list_filter(labels, lambda x: x <> 'hand')) AS known
+FROM scene
+""",
+    "scene",
+)
+SQL["match_nodes"] = with_ctes(
+    """
+SELECT video_id, section_index, frame_id, n - 1 AS node_no, node_label, label AS object_label,
+       det_no, round(node_score, 6) AS node_score FROM node_match
+""",
+    "node_match",
+)
+SQL["match_score"] = with_ctes(
+    """
+SELECT video_id, section_index, frame_id, graph_id, frame_type, round(score, 5) AS score,
+       round(node_score, 5) AS node_score, round(edge_score, 5) AS edge_score,
+       round(visibility, 5) AS visibility, round(quality_score, 5) AS quality_score,
+       signal_score, round(spatial_score, 5) AS spatial_score, matched, missing, negative_hits
+FROM matches
+""",
+    "matches",
+)
+SQL["default_match"] = with_ctes(
+    """
+SELECT p.video_id, p.section_index, p.frame_id, p.graph_id, p.frame_type, 0.0::DOUBLE AS score,
+       '' AS matched, string_agg(n.term, '|' ORDER BY n.n) AS missing, '' AS negative_hits
+FROM pairs p JOIN nodes n ON n.graph_id = p.graph_id WHERE p.frame_id % 20 = 0
+GROUP BY ALL
+""",
+    "pairs", "nodes",
+)

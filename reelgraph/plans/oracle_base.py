@@ -423,3 +423,255 @@ SELECT p_partkey AS graph_id, p_partkey % 14 AS k, p_size % 2 + 1 AS attempt, p_
 FROM part
 """,
 )
+cte(
+    "det",
+    """
+SELECT *, sqrt(((cx - 480) / 960) * ((cx - 480) / 960) + ((cy - 270) / 540) * ((cy - 270) / 540))
+         AS center_distance
+FROM (SELECT *, greatest(0, least(1, (x2 - x1) * (y2 - y1) / 518400.0::DOUBLE)) AS area,
+             (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy,
+             x1 <= 0 OR y1 <= 0 OR x2 >= 960 OR y2 >= 540 AS border
+      FROM (SELECT l_orderkey AS frame_id,
+                   row_number() OVER (PARTITION BY l_orderkey
+                     ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS det_no,
+                   CASE WHEN p_name = 'red plate' THEN 'hand' ELSE p_name END AS label,
+                   1.0::DOUBLE - l_discount * 5 AS confidence,
+                   (l_suppkey % 50) * 12.0::DOUBLE AS x1, (l_partkey % 40) * 9.0::DOUBLE AS y1,
+                   (l_suppkey % 50) * 12.0::DOUBLE + l_quantity * 6 AS x2,
+                   (l_partkey % 40) * 9.0::DOUBLE + l_quantity * 5 AS y2
+            FROM lineitem JOIN part ON p_partkey = l_partkey))
+""",
+)
+cte(
+    "ideals",
+    "SELECT unnest([0.04, 0.05, 0.06, 0.08, 0.10]::DOUBLE[]) AS ideal",
+)
+cte(
+    "det_quality",
+    """
+SELECT d.*, i.ideal,
+       greatest(0, least(1, 0.45::DOUBLE * greatest(0, least(1, confidence))
+         + 0.30::DOUBLE * greatest(0, least(1, 1 - abs(area - ideal) / ideal))
+         + 0.15::DOUBLE * greatest(0, least(1, 1 - center_distance / 0.75::DOUBLE))
+         + 0.10::DOUBLE * CASE WHEN border THEN 0.75::DOUBLE ELSE 1 END)) AS quality,
+       greatest(0, least(1, 0.45::DOUBLE * greatest(0, least(1, confidence))
+         + 0.30::DOUBLE * greatest(0, least(1, 1 - abs(area - 0.08::DOUBLE) / 0.08::DOUBLE))
+         + 0.15::DOUBLE * greatest(0, least(1, 1 - center_distance / 0.75::DOUBLE))
+         + 0.10::DOUBLE * CASE WHEN border THEN 0.75::DOUBLE ELSE 1 END)) AS op_quality,
+       min(det_no) OVER (PARTITION BY frame_id, label) AS label_place
+FROM det d, ideals i
+""",
+    "det",
+    "ideals",
+)
+cte(
+    "all_relations",
+    """
+SELECT frame_id, a AS "from", relation, b AS "to", arg_min(score, l * 1000 + r) AS score,
+       min(l * 1000 + r) AS place
+FROM (SELECT *, greatest(overlap, 1 - distance, 0) AS score,
+             CASE WHEN a = 'hand' AND overlap >= 0.03 THEN 'occludes'
+                  WHEN a = 'hand' AND distance <= 0.28 THEN 'near'
+                  WHEN overlap >= 0.10 THEN 'overlaps'
+                  WHEN distance <= 0.22 THEN 'near' END AS relation
+      FROM (SELECT l.frame_id, l.label AS a, r.label AS b, l.det_no AS l, r.det_no AS r,
+                   greatest(0, least(1, greatest(0, least(l.x2, r.x2) - greatest(l.x1, r.x1))
+                     * greatest(0, least(l.y2, r.y2) - greatest(l.y1, r.y1))
+                     / greatest(1, least((l.x2 - l.x1) * (l.y2 - l.y1),
+                                         (r.x2 - r.x1) * (r.y2 - r.y1))))) AS overlap,
+                   sqrt(((l.cx - r.cx) / 960) * ((l.cx - r.cx) / 960)
+                     + ((l.cy - r.cy) / 540) * ((l.cy - r.cy) / 540)) AS distance
+            FROM det l JOIN det r ON l.frame_id = r.frame_id AND l.det_no <> r.det_no))
+WHERE relation IS NOT NULL GROUP BY 1, 2, 3, 4
+""",
+    "det",
+)
+cte(
+    "rel",
+    """
+SELECT frame_id, "from", relation, "to", round(score, 4) AS score,
+       row_number() OVER (PARTITION BY frame_id ORDER BY place) AS relation_no
+FROM all_relations QUALIFY relation_no <= 20
+""",
+    "all_relations",
+)
+cte(
+    "scene",
+    """
+SELECT f.frame_id, f.blur_score >= 25 AS sharp, coalesce(d.n, 0) AS n,
+       coalesce(r.occludes, false) OR coalesce(d.hand, 0) >= 0.12 AS occluded,
+       coalesce(d.total, 0) AS total, coalesce(d.largest, 0) AS largest,
+       coalesce(d.dist, 1) AS dist, coalesce(d.labels, []) AS labels
+FROM (SELECT o_orderkey AS frame_id, CAST(floor(o_totalprice) AS BIGINT) % 100 AS blur_score
+      FROM orders WHERE o_orderkey % 20 > 0) f
+LEFT JOIN (SELECT frame_id, count(*) AS n, sum(area) AS total, max(area) AS largest,
+                  sum(area) FILTER (label = 'hand') AS hand, list(DISTINCT label) AS labels,
+                  arg_max(center_distance, (area, det_no)) AS dist
+           FROM det GROUP BY 1) d USING (frame_id)
+LEFT JOIN (SELECT frame_id, bool_or(relation = 'occludes') AS occludes FROM rel GROUP BY 1) r
+  USING (frame_id)
+""",
+    "det",
+    "rel",
+)
+cte(
+    "pairs",
+    """
+SELECT o_custkey % 150 AS video_id, o_custkey % 5 AS section_index, o_orderkey AS frame_id,
+       'Brand#' || CAST(o_custkey % 25 + 1 AS VARCHAR) AS graph_id,
+       ['wiring_frame', 'operation_frame', 'completion_frame', 'alignment_frame',
+        'overview_frame', 'other'][o_orderkey % 6 + 1] AS frame_type,
+       ([0.08, 0.08, 0.10, 0.05, 0.04, 0.06]::DOUBLE[])[o_orderkey % 6 + 1] AS ideal,
+       CAST(floor(o_totalprice) AS BIGINT) % 101 / 100.0::DOUBLE AS quality_score
+FROM orders
+""",
+)
+cte(
+    "nodes",
+    """
+SELECT p_brand AS graph_id, n, p_name AS term,
+       CASE WHEN p_name = 'red plate' THEN 'hand' ELSE p_name END AS label,
+       n = 1 AS required, CASE WHEN n = 1 THEN 0.6 ELSE 0.4 END::DOUBLE AS weight
+FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_name) AS n
+      FROM (SELECT DISTINCT p_brand, p_name FROM part)) WHERE n <= 2
+""",
+)
+cte(
+    "edges",
+    """
+SELECT graph_id, k % 2 = 0 AS required, ['near', 'fixed_to', 'behind'][k % 3 + 1] AS relation
+FROM (SELECT graph_id, CAST(regexp_extract(graph_id, '([0-9]+)$', 1) AS BIGINT) AS k
+      FROM nodes WHERE n = 2)
+""",
+    "nodes",
+)
+cte(
+    "node_match",
+    """
+SELECT *, CASE WHEN det_no IS NULL THEN 0 ELSE greatest(0, least(1, 0.50::DOUBLE * quality
+         + 0.30::DOUBLE * greatest(0, least(1, confidence)) + 0.20::DOUBLE * bonus)) END
+         AS node_score
+FROM (SELECT p.video_id, p.section_index, p.frame_id, n.n, n.label AS node_label, n.required,
+             n.weight, q.* EXCLUDE (frame_id),
+             CASE WHEN n.label = q.label THEN 1 ELSE 0.85 END::DOUBLE AS bonus
+      FROM pairs p JOIN nodes n ON n.graph_id = p.graph_id
+      LEFT JOIN det_quality q ON q.frame_id = p.frame_id AND q.ideal = p.ideal
+       AND (q.label = n.label OR contains(q.label, n.label) OR contains(n.label, q.label)
+            OR list_has_any(string_split(q.label, ' '), string_split(n.label, ' '))))
+QUALIFY row_number() OVER (PARTITION BY frame_id, n ORDER BY bonus DESC, quality DESC,
+  greatest(0, least(1, confidence)) DESC, border, label_place, det_no) = 1
+""",
+    "pairs",
+    "nodes",
+    "det_quality",
+)
+cte(
+    "pair_match",
+    """
+SELECT p.*, a.det_no AS d1, b.det_no AS d2, a.node_label AS l1, b.node_label AS l2,
+       a.label AS o1, b.label AS o2, a.required AS r1, coalesce(b.required, false) AS r2,
+       a.quality AS q1, b.quality AS q2, a.border AS b1, b.border AS b2,
+       a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2,
+       b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
+       (a.weight * a.node_score + coalesce(b.weight * b.node_score, 0))
+         / (a.weight + coalesce(b.weight, 0)) AS node_score,
+       e.relation, coalesce(e.required, false) AS edge_required, e.graph_id IS NOT NULL AS has_edge,
+       coalesce(a.det_no IS NOT NULL AND b.det_no IS NOT NULL AND a.label = b.label
+         AND a.x1 = b.x1 AND a.y1 = b.y1 AND a.x2 = b.x2 AND a.y2 = b.y2, false) AS same,
+       greatest(0, least(1, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1))
+         * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))
+         / greatest(1, least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)))))
+         AS overlap,
+       sqrt(((a.cx - b.cx) / 960) * ((a.cx - b.cx) / 960)
+         + ((a.cy - b.cy) / 540) * ((a.cy - b.cy) / 540)) AS distance,
+       least(a.op_quality, b.op_quality) AS op_quality
+FROM pairs p JOIN node_match a ON a.frame_id = p.frame_id AND a.n = 1
+LEFT JOIN node_match b ON b.frame_id = p.frame_id AND b.n = 2
+LEFT JOIN edges e ON e.graph_id = p.graph_id
+""",
+    "pairs",
+    "node_match",
+    "edges",
+)
+cte(
+    "parts",
+    """
+SELECT m.*, s.sharp, s.occluded, s.labels, h.hx1, h.hy1, h.hx2, h.hy2, h.harea,
+       greatest(0, least(1, 0.65::DOUBLE * greatest(overlap, 1 - distance, 0)
+         + 0.35::DOUBLE * op_quality
+         + CASE WHEN EXISTS (SELECT 1 FROM rel r WHERE r.frame_id = m.frame_id
+             AND r.relation IN ('near', 'overlaps') AND ((r."from" = m.o1 AND r."to" = m.o2)
+               OR (r."from" = m.o2 AND r."to" = m.o1))) THEN 0.10::DOUBLE ELSE 0 END)) AS ps,
+       EXISTS (SELECT 1 FROM rel r WHERE r.frame_id = m.frame_id AND r.relation = m.relation
+         AND ((r."from" = m.o1 AND r."to" = m.o2) OR (r."from" = m.o2 AND r."to" = m.o1)))
+         AS explicit
+FROM pair_match m JOIN scene s ON s.frame_id = m.frame_id
+LEFT JOIN (SELECT frame_id, x1 AS hx1, y1 AS hy1, x2 AS hx2, y2 AS hy2, area AS harea FROM det
+           WHERE label = 'hand' QUALIFY row_number() OVER (PARTITION BY frame_id
+             ORDER BY area DESC, greatest(0, least(1, confidence)) DESC, border, det_no) = 1) h
+  ON h.frame_id = m.frame_id
+""",
+    "pair_match",
+    "scene",
+    "rel",
+    "det",
+)
+cte(
+    "scores",
+    """
+SELECT *, CASE WHEN has_edge AND d1 IS NOT NULL AND d2 IS NOT NULL
+       THEN greatest(0, least(1, 0.70::DOUBLE * ps + 0.30::DOUBLE *
+         CASE WHEN explicit THEN 1 WHEN relation IN ('near', 'fixed_to') THEN ps ELSE 0 END))
+       ELSE 0 END AS edge_score,
+       CASE WHEN d1 IS NOT NULL AND d2 IS NOT NULL AND NOT same THEN ps
+            WHEN d1 IS NOT NULL THEN q1 WHEN d2 IS NOT NULL THEN q2 ELSE 0 END AS spatial_score,
+       CASE WHEN frame_type = 'completion_frame' AND sharp THEN 0.5 ELSE 0 END::DOUBLE
+         AS signal_score,
+       coalesce(d1 IS NOT NULL AND b1, false) OR coalesce(d2 IS NOT NULL AND b2, false) AS cut,
+       CASE WHEN harea IS NULL THEN CASE WHEN occluded THEN 0.85::DOUBLE ELSE 1 END
+            ELSE greatest(0, least(1, CASE WHEN occluded THEN least(v, 0.35::DOUBLE) ELSE v END))
+       END AS visibility
+FROM (SELECT *, 1 - 0.75::DOUBLE * greatest(
+               CASE WHEN d1 IS NOT NULL AND o1 <> 'hand' THEN greatest(0, least(1,
+                 greatest(0, least(hx2, ax2) - greatest(hx1, ax1))
+                 * greatest(0, least(hy2, ay2) - greatest(hy1, ay1))
+                 / greatest(1, (ax2 - ax1) * (ay2 - ay1)))) ELSE 0 END,
+               CASE WHEN d2 IS NOT NULL AND o2 <> 'hand' THEN greatest(0, least(1,
+                 greatest(0, least(hx2, bx2) - greatest(hx1, bx1))
+                 * greatest(0, least(hy2, by2) - greatest(hy1, by1))
+                 / greatest(1, (bx2 - bx1) * (by2 - by1)))) ELSE 0 END)
+               - 0.25::DOUBLE * greatest(0, least(1, harea / 0.12::DOUBLE)) AS v FROM parts)
+""",
+    "parts",
+)
+cte(
+    "matches",
+    """
+SELECT video_id, section_index, frame_id, graph_id, frame_type,
+       greatest(0, least(1, 0.48::DOUBLE * node_score + 0.32::DOUBLE * edge_score
+         + 0.08::DOUBLE * CASE WHEN d1 IS NOT NULL OR d2 IS NOT NULL THEN visibility ELSE 0 END
+         + 0.05::DOUBLE * greatest(0, least(1, quality_score)) + 0.04::DOUBLE * signal_score
+         + 0.03::DOUBLE * spatial_score - CASE WHEN sharp THEN 0 ELSE 0.10::DOUBLE END
+         - CASE WHEN occluded THEN 0.08::DOUBLE + 0.10::DOUBLE * (1 - visibility) + 0.06::DOUBLE
+                ELSE 0 END
+         - CASE WHEN cut THEN 0.04::DOUBLE ELSE 0 END
+         - CASE WHEN r1 AND d1 IS NULL THEN 0.06::DOUBLE ELSE 0 END
+         - CASE WHEN r2 AND d2 IS NULL THEN 0.06::DOUBLE ELSE 0 END
+         - CASE WHEN has_edge AND edge_required AND (d1 IS NULL OR d2 IS NULL)
+                THEN 0.05::DOUBLE ELSE 0 END)) AS score,
+       node_score, edge_score, visibility, quality_score, signal_score, spatial_score,
+       array_to_string(list_filter([CASE WHEN d1 IS NOT NULL THEN l1 END,
+         CASE WHEN d2 IS NOT NULL THEN l2 END,
+         CASE WHEN edge_score > 0 THEN 'n1__' || relation || '__n2' END],
+         lambda x: x IS NOT NULL), '|') AS matched,
+       array_to_string(list_filter([CASE WHEN r1 AND d1 IS NULL THEN l1 END,
+         CASE WHEN r2 AND d2 IS NULL THEN l2 END,
+         CASE WHEN has_edge AND edge_required AND (d1 IS NULL OR d2 IS NULL)
+              THEN 'n1__' || relation || '__n2' END], lambda x: x IS NOT NULL), '|') AS missing,
+       array_to_string(list_filter([CASE WHEN NOT sharp THEN 'blur' END,
+         CASE WHEN occluded THEN 'occluded' END, CASE WHEN cut THEN 'border_cut' END],
+         lambda x: x IS NOT NULL), '|') AS negative_hits
+FROM scores
+""",
+    "scores",
+)

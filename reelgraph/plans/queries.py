@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.functions import responses, text
+from reelgraph.functions import geometry, responses, text
 from reelgraph.operators import (
     catalogue,
     dedup,
@@ -15,6 +15,8 @@ from reelgraph.operators import (
     quality,
     querygraph,
     ranking,
+    scenes,
+    scoring,
     selection,
     timestamps,
     transcript,
@@ -586,3 +588,113 @@ def object_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url").alias("object_key"), F.encode("html", "UTF-8").alias("content")
     )
     return inventory.object_inventory(pages)
+
+
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[
+        F.round(f.name, places).alias(f.name) if f.dataType.simpleString() == "double"
+        else F.col(f.name).cast("bigint").alias(f.name) if f.dataType.simpleString() == "int"
+        else F.array_join(f.name, "|").alias(f.name) if f.dataType.simpleString() == "array<string>"
+        else F.col(f.name)
+        for f in df.schema
+    ])
+
+
+@query
+def normalize_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(b.detections(spark, sf_dir).drop("width", "height"))
+
+
+@query
+def mask_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = scenes.mask_metrics(b.masked_detections(spark, sf_dir), b.mask_pixels(spark, sf_dir))
+    return _rounded(
+        scenes.normalize_detections(masked, b.SYNONYMS).select(
+            "frame_id", "det_no", "label", *scenes.MASK_BOX, "area", "centroid_x", "centroid_y",
+            "touches_border",
+        )
+    )
+
+
+@query
+def object_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box measures of every detection, and its quality per frame type."""
+    rows = b.detections(spark, sf_dir)
+    center = geometry.image_center_distance(
+        F.col("centroid_x"), F.col("centroid_y"), F.col("width"), F.col("height")
+    )
+    kinds = {
+        f"quality_{k}": geometry.object_quality(
+            F.col("confidence"), F.col("area"), center, F.col("touches_border"),
+            geometry.ideal_area(F.lit(k)),
+        )
+        for k in ("operation_frame", "alignment_frame", "other")
+    }
+    return _rounded(
+        rows.withColumns(kinds).withColumn("center_distance", center).select(
+            "frame_id", "det_no", "center_distance", *kinds
+        ),
+        9,
+    )
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenes.scene_relations(b.detections(spark, sf_dir))
+
+
+@query
+def scene_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations(spark, sf_dir).withColumn("relation_no", F.col("relation_no").cast("bigint"))
+
+
+def order_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenes.frame_scenes(
+        b.order_frames(spark, sf_dir), b.detections(spark, sf_dir), relations(spark, sf_dir)
+    )
+
+
+@query
+def frame_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = scenes.signal_map(order_scenes(spark, sf_dir))
+    shown = F.array_sort(F.map_keys(F.map_filter("signals", lambda k, v: v)))
+    return mapped.select(
+        "frame_id", F.array_join(shown, "|").alias("signals"),
+        F.size("signals").cast("bigint").alias("known"),
+    )
+
+
+@query
+def match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scoring.match_nodes(
+        b.scoring_pairs(spark, sf_dir), b.brand_graphs(spark, sf_dir),
+        scoring.best_objects(b.detections(spark, sf_dir)), b.SYNONYMS,
+    )
+    return _rounded(
+        rows.select(
+            *scoring.PAIR, "node_no", F.col("node.label").alias("node_label"),
+            F.col("object.label").alias("object_label"), F.col("object.det_no").alias("det_no"),
+            "node_score",
+        )
+    )
+
+
+def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.match_score(
+        b.scoring_pairs(spark, sf_dir), b.brand_graphs(spark, sf_dir), b.detections(spark, sf_dir),
+        order_scenes(spark, sf_dir), b.SYNONYMS,
+    )
+
+
+@query
+def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scored_matches(spark, sf_dir), 5)
+
+
+@query
+def default_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(
+        scoring.default_match(
+            b.scoring_pairs(spark, sf_dir), b.brand_graphs(spark, sf_dir),
+            b.order_frames(spark, sf_dir),
+        )
+    )
