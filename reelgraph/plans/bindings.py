@@ -128,8 +128,12 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_job_events(table(spark, sf_dir, "events"))
+
+
+def as_job_events(events: DataFrame) -> DataFrame:
     """Events as job-status updates; some carry no time."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("id"),
         F.col("event_type").alias("status"),
         F.when(F.col("event_id") % 50 > 0, F.floor(millis("ts") / DAY_MS)).alias("updated_at"),
@@ -499,3 +503,106 @@ def brand_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "nodes",
         F.filter(F.array(edge), lambda e: F.size("nodes") > 1).alias("edges"),
     )
+
+
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as sections, three of four with a chosen frame."""
+    v, s = F.col("conv_id"), F.col("turn") + 1
+    shown = (v + s) % 4 > 0
+    key = F.concat(
+        F.lit("videos/"), v.cast("string"), F.lit("/frames/"),
+        F.lpad((s % 3 * 1000).cast("string"), 9, "0"), F.lit("/a "), (s % 2).cast("string"),
+        F.lit(".PNG"),
+    )
+    start = (s - 1) * 10.0
+    return table(spark, sf_dir, "conversations").select(
+        v.alias("video_id"),
+        s.alias("section_index"),
+        F.col("role").alias("title"),
+        text.format_timestamp(start).alias("start_time"),
+        text.format_timestamp(start + 9).alias("end_time"),
+        F.col("text"),
+        F.when(s % 2 == 0, F.concat(F.lit(" edited "), F.col("role"))).alias("polished_text"),
+        F.when(s % 3 > 0, F.lit("画面")).otherwise(F.lit("")).alias("business_frame_text"),
+        F.when(shown, v * 10 + s).alias("frame_ref"),
+        F.when(shown, text.format_timestamp(start + 1)).alias("timestamp_time"),
+        F.when(shown, F.lit("")).alias("frame_caption"),
+        F.when(shown, key).alias("object_key"),
+        F.when(shown & (s % 5 > 0), F.concat(F.lit("/f/"), s.cast("string"))).alias("url"),
+        F.when(shown & (s % 6 > 0), ((v * 31 + s * 17) % 1000) / 1000.0).alias("score"),
+    )
+
+
+def document_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "conversations")
+        .where(F.col("turn") == 0)
+        .select(
+            F.col("conv_id").alias("video_id"),
+            F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit('A "'), F.col("role"), F.lit('"')))
+            .alias("video_title"),
+            F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit(".mp4")).alias("filename"),
+            (F.col("conv_id") % 5 * 60_000).alias("duration_ms"),
+        )
+    )
+
+
+def dataset_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.when(F.col("doc_id") % 13 == 0, F.lit(".gif")).otherwise(F.lit(".JPG"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("stem"), suffix.alias("suffix"), F.col("text").alias("content")
+    )
+
+
+def dataset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("stem"))
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lines per label file; the stem decides what is wrong with the second."""
+    stem = F.col("doc_id")
+    broken = F.element_at(
+        F.array(*[F.lit(x) for x in (
+            "1 0.5 0.5 0.1 0.1", "7 0.5 0.5 0.1 0.1", "1 0.5 0.5 0.1", "0 1.5 0.5 0.1 0.1",
+            "x 0.5 0.5 0.1 -0.1", "1 0.5 0.5 0.1 a",
+        )]),
+        (stem % 6 + 1).cast("int"),
+    )
+    good = F.concat(F.col("quality").cast("string"), F.lit(" 0.25 0.25 0.5 "), F.lit("1"))
+    return table(spark, sf_dir, "labels").select(
+        stem.alias("stem"), F.posexplode(F.array(good, broken)).alias("line_no", "line")
+    )
+
+
+def pixel_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors drawn as 8 x 8 gray images: value v becomes (v + 0.5) * 255."""
+    level = F.transform(
+        F.col("embedding").cast("array<double>"),
+        lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x + 0.5) * 255))),
+    )
+    data = F.unhex(F.array_join(F.transform(level, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.struct(
+            F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"),
+            data.alias("data"),
+        ).alias("image"),
+    )
+
+
+def media_arrivals(df: DataFrame) -> DataFrame:
+    """Events as uploads of their user's video."""
+    suffix = F.element_at(
+        F.array(*[F.lit(x) for x in (".mp4", ".MKV", ".avi", "", ".webm")]),
+        (F.col("event_id") % 5 + 1).cast("int"),
+    )
+    size = F.floor(F.col("value")) - 3
+    return df.select(
+        (F.col("user_id") * 3 + F.col("event_id") % 3).alias("id"),
+        F.concat(F.lit("dir/clip"), suffix).alias("filename"),
+        size.alias("size_bytes"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+MAX_BYTES = 100

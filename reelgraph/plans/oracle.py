@@ -676,3 +676,180 @@ GROUP BY ALL
 """,
     "pairs", "nodes",
 )
+
+SQL["slim_frames"] = with_ctes(
+    """
+SELECT video_id, section_index, count(*) AS frames, count(nullif(frame_id, 0)) AS with_id,
+       count(*) FILTER (position % 2 = 1) AS default_captions
+FROM candidates WHERE coalesce(frame_id, 0) <> 0 OR object_key IS NOT NULL OR url IS NOT NULL
+GROUP BY 1, 2
+""",
+    "candidates",
+)
+SQL["attach_report"] = with_ctes(
+    """
+SELECT s.*, c.frame_id AS business_frame_id FROM sections s LEFT JOIN (
+  SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY video_id, section_index
+    ORDER BY position DESC) = 1) c USING (video_id, section_index)
+""",
+    "sections", "candidates",
+)
+SQL["run_summary"] = with_ctes(
+    """
+SELECT video_id, raw_frame_count, coalesce(c, 0) AS candidate_frame_count,
+       coalesce(sc, 0) AS section_candidate_frame_count, coalesce(s, 0) AS section_count,
+       coalesce(g, 0) AS query_graph_count
+FROM (SELECT video_id, count(*) AS raw_frame_count FROM frames GROUP BY 1)
+LEFT JOIN (SELECT video_id, count(DISTINCT frame_id) AS c, count(*) AS sc FROM members
+           WHERE frame_id = representative_frame_id GROUP BY 1) USING (video_id)
+LEFT JOIN (SELECT video_id, count(*) AS s, count(*) FILTER (section_index % 2 = 0) AS g
+           FROM sections GROUP BY 1) USING (video_id)
+""",
+    "frames", "members", "sections",
+)
+SQL["render_transcript"] = with_ctes(
+    """
+SELECT s.video_id, 0::BIGINT AS part_no,
+       '# ' || any_value(coalesce(v.video_title, '视频转写')) || chr(10) || chr(10)
+       || string_agg(concat('## ', s.section_index, '. ', s.title, chr(10), chr(10),
+            '**时间范围：** ', s.start_time, ' - ', s.end_time, chr(10), chr(10), '### 正文',
+            chr(10), chr(10), s.text, chr(10), chr(10), '### 润色后正文', chr(10), chr(10),
+            coalesce(s.polished_text, '未识别。'), chr(10), chr(10), '### 待匹配文本',
+            chr(10), chr(10), coalesce(s.business_frame_text, '未识别。')),
+            chr(10) || chr(10) || chr(10) ORDER BY s.section_index) || chr(10) AS document
+FROM doc_sections s LEFT JOIN doc_videos v USING (video_id) GROUP BY 1
+""",
+    "doc_sections", "doc_videos",
+)
+SQL["render_markdown"] = with_ctes(
+    """
+SELECT s.video_id, 0::BIGINT AS part_no,
+       any_value(concat('---', chr(10), 'document_role: "video_analysis_result"', chr(10),
+         'video_id: "', s.video_id, '"', chr(10), 'video_title: "',
+         replace(coalesce(v.video_title, '视频分析结果'), '"', chr(92) || '"'), '"', chr(10),
+         'source_filename: "', v.filename, '"', chr(10), 'duration: "',
+         CASE WHEN v.duration_ms = 0 THEN '未知' ELSE format('{:02d}:00', v.duration_ms // 60000) END,
+         '"', chr(10), '---', chr(10), chr(10), '# ', coalesce(v.video_title, '视频分析结果'),
+         chr(10), chr(10)))
+       || string_agg(concat('## ', s.section_index, '. ', s.title, chr(10), chr(10),
+            '**时间范围：** ', s.start_time, ' - ', s.end_time, chr(10), chr(10),
+            '### 润色后正文', chr(10), chr(10), coalesce(s.polished_text, s.text), chr(10), chr(10),
+            '### 业务帧', chr(10), chr(10),
+            CASE WHEN NOT s.shown THEN '- 无' ELSE concat('- **', s.timestamp_time, '** ',
+              CASE WHEN s.url IS NULL THEN '业务帧' ELSE concat('[业务帧](', s.url, ')') END,
+              CASE WHEN s.score IS NOT NULL
+                   THEN concat(chr(10), '  - 相似度分数：', format('{:.4f}', s.score)) END) END),
+            chr(10) || chr(10) ORDER BY s.section_index) || chr(10) AS document
+FROM doc_sections s LEFT JOIN doc_videos v USING (video_id) GROUP BY 1
+""",
+    "doc_sections", "doc_videos",
+)
+SQL["unique_names"] = with_ctes("SELECT * FROM doc_names", "doc_names")
+SQL["manifest"] = with_ctes(
+    """
+SELECT s.video_id, v.filename, s.section_index, s.title, s.start_time, s.timestamp_time AS timestamp,
+       s.score, CASE WHEN s.object_key IN (SELECT object_key FROM doc_sections
+                  WHERE section_index % 2 = 0 AND object_key IS NOT NULL)
+                THEN 'frames/' || n.local_name END AS path
+FROM doc_sections s LEFT JOIN doc_videos v USING (video_id)
+LEFT JOIN doc_names n ON n.video_id = s.video_id AND n.object_key = s.object_key
+""",
+    "doc_sections", "doc_videos", "doc_names",
+)
+SQL["output_lineage"] = """
+SELECT doc_id AS video_id,
+       'videos/' || CAST(doc_id AS VARCHAR) || '/transcript/transcript_tree.json' AS object_key,
+       '{"kind":"transcript_tree","version":"8","raw":{"kind":"transcript_raw","version":"1",'
+       || '"local_asr_model_label":"Qwen/Qwen3-ASR-1.7B"},'
+       || '"transcript_structure_model":"qwen3.7-plus","transcript_business_frame_mode":'
+       || '"section_polished_text_business_frame_text_and_query_graph_v1"}' AS generation
+FROM documents
+"""
+SQL["parse_artifacts"] = """
+SELECT doc_id AS video_id, CASE WHEN doc_id % 9 > 0 AND doc_id % 7 > 0 THEN lang END AS title,
+       CASE WHEN doc_id % 9 > 0 AND doc_id % 7 > 0 THEN md5(text) END AS text_md5,
+       CASE WHEN doc_id % 9 = 0 THEN 'empty' WHEN doc_id % 7 = 0 THEN 'corrupt' END AS reason
+FROM documents
+"""
+SQL["pair_images_labels"] = """
+SELECT doc_id AS stem, doc_id IN (SELECT doc_id FROM labels) AS paired
+FROM documents WHERE doc_id % 13 > 0
+"""
+SQL["seeded_split"] = with_ctes(
+    "SELECT stem, CASE WHEN is_val THEN 'val' ELSE 'train' END AS split FROM dataset_pairs",
+    "dataset_pairs",
+)
+SQL["class_list"] = with_ctes("SELECT * FROM classes", "classes")
+SQL["split_summary"] = with_ctes(
+    """
+SELECT count(*) AS images_total, count(*) FILTER (NOT is_val) AS images_train,
+       count(*) FILTER (is_val) AS images_val, (SELECT count(*) FROM classes) AS classes
+FROM dataset_pairs
+""",
+    "dataset_pairs", "classes",
+)
+SQL["data_yaml"] = with_ctes(
+    """
+SELECT dataset, 0::BIGINT AS part_no,
+       concat('path: /data/export/', dataset, chr(10), 'train: images/train', chr(10),
+              'val: images/val', chr(10), 'nc: ', count(*), chr(10), 'names:', chr(10),
+              string_agg(concat('  ', class_id, ': ', name), chr(10) ORDER BY class_id), chr(10))
+         AS data_yaml
+FROM classes GROUP BY dataset
+""",
+    "classes",
+)
+SQL["validate_labels"] = with_ctes(
+    """
+SELECT doc_id AS stem, 1::BIGINT AS line_no, unnest(
+  [[], ['class_out_of_range'], ['column_count'], ['coordinate_out_of_range'],
+   ['class_out_of_range', 'coordinate_out_of_range'], ['coordinate_out_of_range']][doc_id % 6 + 1])
+  AS reason FROM labels
+UNION ALL
+SELECT stem, NULL, 'duplicate_across_splits' FROM dataset_pairs
+WHERE is_val AND content IN (SELECT content FROM dataset_pairs WHERE NOT is_val)
+UNION ALL
+SELECT doc_id, NULL, 'missing_label_file' FROM documents
+WHERE doc_id % 13 > 0 AND doc_id NOT IN (SELECT doc_id FROM labels)
+""",
+    "dataset_pairs",
+)
+SQL["image_metrics"] = """
+WITH g AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x:
+             greatest(0, least(255, floor((x + 0.5::DOUBLE) * 255)))) AS v FROM embeddings),
+p AS (SELECT g.vec_id, v, i // 8 AS y, i % 8 AS x, v[i + 1] AS c
+      FROM g, (SELECT unnest(range(64)) AS i)),
+l AS (SELECT vec_id, x, y, c,
+             v[(CASE WHEN y = 0 THEN 1 ELSE y - 1 END) * 8 + x + 1]
+             + v[(CASE WHEN y = 7 THEN 6 ELSE y + 1 END) * 8 + x + 1]
+             + v[y * 8 + (CASE WHEN x = 0 THEN 1 ELSE x - 1 END) + 1]
+             + v[y * 8 + (CASE WHEN x = 7 THEN 6 ELSE x + 1 END) + 1] - 4 * c AS lap FROM p),
+s AS (SELECT vec_id, var_pop(lap) AS blur, avg(c) AS mean,
+             avg(CASE WHEN c < 20 THEN 1.0 ELSE 0 END) AS dark,
+             avg(CASE WHEN c > 245 THEN 1.0 ELSE 0 END) AS bright,
+             abs(avg(c) FILTER (x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5)
+               - avg(c) FILTER (NOT (x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5))) / 255 AS contrast,
+             count(*) FILTER (c < 64) AS h1, count(*) FILTER (c >= 64 AND c < 128) AS h2,
+             count(*) FILTER (c >= 128 AND c < 192) AS h3, count(*) FILTER (c >= 192) AS h4
+      FROM l GROUP BY 1)
+SELECT vec_id, 8::BIGINT AS image_width, round(blur, 6) AS blur_score,
+       round(mean, 6) AS mean_brightness, round(dark, 6) AS dark_ratio,
+       round(bright, 6) AS bright_ratio, round(contrast, 6) AS center_contrast,
+       round(h2 / sqrt(h1 * h1 + h2 * h2 + h3 * h3 + h4 * h4), 6) AS histogram_2,
+       round(h3 / sqrt(h1 * h1 + h2 * h2 + h3 * h3 + h4 * h4), 6) AS histogram_3,
+       128::BIGINT AS bins
+FROM s
+"""
+SQL["phash_pack"] = with_ctes("SELECT vec_id, phash FROM vec_hash", "vec_hash")
+SQL["latest_state_stream"] = SQL["latest_state"]
+SQL["intake_stream"] = """
+WITH e AS (SELECT user_id * 3 + event_id % 3 AS id,
+       'dir/clip' || ['.mp4', '.MKV', '.avi', '', '.webm'][event_id % 5 + 1] AS filename,
+       CAST(floor(value) AS BIGINT) - 3 AS size_bytes, event_id AS seq,
+       CASE WHEN event_id % 5 IN (2, 3) THEN 'unsupported_suffix'
+            WHEN floor(value) - 3 <= 0 THEN 'empty_file'
+            WHEN floor(value) - 3 > 100 THEN 'too_large' END AS own FROM events)
+SELECT id, filename, size_bytes, seq, coalesce(own, CASE WHEN row_number() OVER (
+  PARTITION BY id, own IS NULL ORDER BY seq) > 1 THEN 'duplicate_id' END) AS reason
+FROM e
+"""

@@ -675,3 +675,62 @@ FROM scores
 """,
     "scores",
 )
+cte(
+    "doc_sections",
+    """
+SELECT v AS video_id, s AS section_index, role AS title, text,
+       format('{:02d}:{:02d}', (s - 1) * 10 // 60, (s - 1) * 10 % 60) AS start_time,
+       format('{:02d}:{:02d}', ((s - 1) * 10 + 9) // 60, ((s - 1) * 10 + 9) % 60) AS end_time,
+       CASE WHEN s % 2 = 0 THEN 'edited ' || role END AS polished_text,
+       CASE WHEN s % 3 > 0 THEN '画面' END AS business_frame_text,
+       (v + s) % 4 > 0 AS shown,
+       CASE WHEN (v + s) % 4 > 0 THEN format('{:02d}:{:02d}', ((s - 1) * 10 + 1) // 60,
+            ((s - 1) * 10 + 1) % 60) END AS timestamp_time,
+       CASE WHEN (v + s) % 4 > 0 THEN 'videos/' || CAST(v AS VARCHAR) || '/frames/'
+            || lpad(CAST(s % 3 * 1000 AS VARCHAR), 9, '0') || '/a ' || CAST(s % 2 AS VARCHAR)
+            || '.PNG' END AS object_key,
+       CASE WHEN (v + s) % 4 > 0 AND s % 5 > 0 THEN '/f/' || CAST(s AS VARCHAR) END AS url,
+       CASE WHEN (v + s) % 4 > 0 AND s % 6 > 0 THEN ((v * 31 + s * 17) % 1000) / 1000.0::DOUBLE
+            END AS score
+FROM (SELECT conv_id AS v, turn + 1 AS s, role, trim(text, ' ' || chr(10)) AS text
+      FROM conversations)
+""",
+)
+cte(
+    "doc_videos",
+    """
+SELECT conv_id AS video_id,
+       CASE WHEN conv_id % 3 > 0 THEN 'A "' || role || '"' END AS video_title,
+       'v' || CAST(conv_id AS VARCHAR) || '.mp4' AS filename, conv_id % 5 * 60000 AS duration_ms
+FROM conversations WHERE turn = 0
+""",
+)
+cte(
+    "doc_names",
+    """
+SELECT video_id, object_key, position,
+       CASE WHEN row_number() OVER (PARTITION BY video_id, name ORDER BY position) > 1
+            THEN format('{}_{:03d}.png', name, position) ELSE name || '.png' END AS local_name
+FROM (SELECT video_id, object_key, min(section_index) - 1 AS position,
+             replace(regexp_extract(object_key, '([^/]+)[.]PNG$', 1), ' ', '_') AS name
+      FROM doc_sections WHERE object_key IS NOT NULL GROUP BY 1, 2)
+""",
+    "doc_sections",
+)
+cte(
+    "dataset_pairs",
+    """
+SELECT doc_id AS stem, text AS content,
+       row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id)
+         <= CAST(round_even(count(*) OVER () * 0.2, 0) AS BIGINT) AS is_val
+FROM documents WHERE doc_id % 13 > 0 AND doc_id IN (SELECT doc_id FROM labels)
+""",
+)
+cte(
+    "classes",
+    """
+SELECT s_nationkey AS dataset, lower(s_name) AS name,
+       row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS class_id
+FROM supplier WHERE s_suppkey % 6 > 0
+""",
+)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reelgraph.functions import geometry, responses, text
+from reelgraph import config
+from reelgraph.functions import geometry, responses, text, vectors
 from reelgraph.operators import (
     catalogue,
+    dataset,
     dedup,
+    documents,
     intervals,
     quality,
     querygraph,
@@ -23,7 +28,9 @@ from reelgraph.operators import (
     usage,
 )
 from reelgraph.plans import bindings as b
-from reelgraph.sources import inventory
+from reelgraph.session import shared_dir
+from reelgraph.sources import artifacts, images, inventory
+from reelgraph.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -698,3 +705,232 @@ def default_match(spark: SparkSession, sf_dir: str) -> DataFrame:
             b.order_frames(spark, sf_dir),
         )
     )
+
+
+@query
+def slim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = candidates(spark, sf_dir).withColumn(
+        "caption", F.when(F.col("position") % 2 == 0, F.lit("seen"))
+    )
+    slim = documents.slim_frames(rows)
+    return slim.groupBy("video_id", "section_index").agg(
+        F.count("*").alias("frames"), F.count("id").alias("with_id"),
+        F.count_if(F.col("caption") == config.DEFAULT_CAPTION).alias("default_captions"),
+    )
+
+
+@query
+def attach_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = candidates(spark, sf_dir).select(
+        "video_id", "section_index", "position", F.col("frame_id").alias("business_frame_id")
+    )
+    return documents.attach_report(b.sections(spark, sf_dir), report)
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = members(spark, sf_dir).where("is_representative")
+    told = b.sections(spark, sf_dir).withColumn(
+        "graph_id", F.when(F.col("section_index") % 2 == 0, F.col("section_index"))
+    )
+    return documents.run_summary(b.frames(spark, sf_dir), kept, told)
+
+
+@query
+def render_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.render_transcript(
+        b.document_sections(spark, sf_dir), b.document_videos(spark, sf_dir)
+    )
+
+
+@query
+def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.render_markdown(
+        b.document_sections(spark, sf_dir), b.document_videos(spark, sf_dir)
+    )
+
+
+@query
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = b.document_sections(spark, sf_dir).where(F.col("object_key").isNotNull())
+    return documents.unique_names(
+        entries.select("video_id", "object_key", (F.col("section_index") - 1).alias("position"))
+    )
+
+
+@query
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = b.document_sections(spark, sf_dir)
+    stored = sections.where(F.col("section_index") % 2 == 0).select("object_key")
+    whole = documents.manifest(sections, b.document_videos(spark, sf_dir), stored)
+    entry = F.explode(F.from_json(
+        F.get_json_object("manifest", "$.sections"),
+        "array<struct<index:bigint,title:string,start_time:string,"
+        "business_frame:struct<timestamp:string,score:double,path:string>>>",
+    )).alias("s")
+    return whole.select(
+        "video_id", F.get_json_object("manifest", "$.filename").alias("filename"), entry
+    ).select(
+        "video_id", "filename", F.col("s.index").alias("section_index"), "s.title",
+        "s.start_time", F.col("s.business_frame.timestamp").alias("timestamp"),
+        F.col("s.business_frame.score").alias("score"), F.col("s.business_frame.path").alias("path"),
+    )
+
+
+@query
+def semantic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windowed(spark, sf_dir)
+    windows = rows.select(
+        "video_id", "section_index", "window_start_ms", "window_end_ms"
+    ).distinct()
+    status = dedup.dedup_frame_report(members(spark, sf_dir)).select(
+        "video_id", "section_index", "frame_id", F.col("dedup_status").alias("filter_status")
+    )
+    raw = rows.select("video_id", "section_index", "frame_id", "timestamp_ms").join(
+        status, ["video_id", "section_index", "frame_id"], "left"
+    )
+    ranked = ranking.rank_frames(scored(spark, sf_dir))
+    return documents.semantic_report(windows, raw, ranked, 5 * b.DAY_MS)
+
+
+@query
+def output_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = documents.transcript_lineage()
+    return b.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"), artifacts.artifact_key("transcript_tree", "doc_id")
+        .alias("object_key"), stamp.alias("generation"),
+    )
+
+
+@query
+def parse_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts as stored JSON, every seventh cut short, every ninth empty."""
+    body = F.to_json(F.struct(F.col("lang").alias("title"), F.col("text").alias("text")))
+    stored = b.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("video_id"),
+        F.when(F.col("doc_id") % 9 == 0, F.lit(" "))
+        .when(F.col("doc_id") % 7 == 0, F.expr("substring(to_json(struct(text)), 1, 9)"))
+        .otherwise(body)
+        .alias("value"),
+    )
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "text")])
+    good, bad = artifacts.parse_artifacts(stored, schema)
+    return good.select(
+        "video_id", "title", F.md5("text").alias("text_md5"),
+        F.lit(None).cast("string").alias("reason"),
+    ).unionByName(bad, allowMissingColumns=True)
+
+
+@query
+def pair_images_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, missing = dataset.pair_images_labels(
+        b.dataset_images(spark, sf_dir), b.dataset_labels(spark, sf_dir)
+    )
+    return pairs.select("stem", F.lit(True).alias("paired")).unionByName(
+        missing.select("stem", F.lit(False).alias("paired"))
+    )
+
+
+def split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, _ = dataset.pair_images_labels(
+        b.dataset_images(spark, sf_dir), b.dataset_labels(spark, sf_dir)
+    )
+    return dataset.seeded_split(pairs, 0.2, 42)
+
+
+@query
+def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_pairs(spark, sf_dir).select("stem", "split")
+
+
+def class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation as its class file, every sixth line blank."""
+    lines = b.table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("dataset"),
+        F.col("s_suppkey").alias("line_no"),
+        F.when(F.col("s_suppkey") % 6 > 0, F.concat(F.lit(" "), F.lower("s_name")))
+        .otherwise(F.lit("  ")).alias("text"),
+    )
+    return dataset.class_list(lines)
+
+
+@query
+def class_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_rows(spark, sf_dir)
+
+
+@query
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.split_summary(split_pairs(spark, sf_dir), class_rows(spark, sf_dir))
+
+
+@query
+def data_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.data_yaml(class_rows(spark, sf_dir), "/data/export")
+
+
+@query
+def validate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, missing = dataset.pair_images_labels(
+        b.dataset_images(spark, sf_dir), b.dataset_labels(spark, sf_dir)
+    )
+    return dataset.validate_labels(
+        b.label_lines(spark, sf_dir), 2, split_pairs(spark, sf_dir), missing
+    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+@query
+def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = images.image_features(b.pixel_images(spark, sf_dir))
+    return _rounded(measured.select(
+        "vec_id", "image_width", "blur_score", "mean_brightness", "dark_ratio", "bright_ratio",
+        "center_contrast", F.element_at("histogram", 2).alias("histogram_2"),
+        F.element_at("histogram", 3).alias("histogram_3"), F.size("histogram").alias("bins"),
+    ))
+
+
+@query
+def image_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = images.image_features(b.pixel_images(spark, sf_dir))
+    return measured.select("vec_id", "phash", F.size("histogram").alias("bins"))
+
+
+@query
+def phash_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "embeddings").select(
+        "vec_id", vectors.pack64(F.col("embedding")).alias("phash")
+    )
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a file stream."""
+    schema = b.table(spark, sf_dir, name).schema
+    pattern = f"{name[:-1]}[{name[-1]}].parquet"
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(sf_dir)
+    )
+
+
+def _run_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/reelgraph-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def latest_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _run_dir(spark, "state")
+    updates = b.as_job_events(_stream(spark, sf_dir, "events"))
+    jobs.latest_state_stream(
+        updates, f"{root}/out", f"{root}/checkpoint", b.EVENT_TERMINAL
+    ).awaitTermination()
+    gone = b.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 9 == 0)
+    return jobs.current_state(spark, f"{root}/out", gone.select(F.col("c_custkey").alias("id")))
+
+
+@query
+def intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _run_dir(spark, "intake")
+    rows = b.media_arrivals(_stream(spark, sf_dir, "events"))
+    jobs.intake_stream(
+        spark, rows, f"{root}/out", f"{root}/checkpoint", b.MAX_BYTES
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
