@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgraph.functions.rows import bind, keep_where
 from reelgraph.functions.text import first_filled, strip
 
 # --- fixed values -----------------------------------------------------------
@@ -15,14 +18,27 @@ BRACES = r"(?s)(\{.*\})"
 
 def kind(value: Column) -> Column:
     """JSON kind of a variant: object, array, string, boolean, number or void."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema.startswith("OBJECT"), F.lit("object"))
-        .when(schema.startswith("ARRAY"), F.lit("array"))
-        .when(schema == "STRING", F.lit("string"))
-        .when(schema == "BOOLEAN", F.lit("boolean"))
-        .when(schema.isNull() | (schema == "VOID"), F.lit("void"))
-        .otherwise(F.lit("number"))
+
+    def named(schema: Column) -> Column:
+        return (
+            F.when(schema.startswith("OBJECT"), F.lit("object"))
+            .when(schema.startswith("ARRAY"), F.lit("array"))
+            .when(schema == "STRING", F.lit("string"))
+            .when(schema == "BOOLEAN", F.lit("boolean"))
+            .when(schema.isNull() | (schema == "VOID"), F.lit("void"))
+            .otherwise(F.lit("number"))
+        )
+
+    return bind(F.schema_of_variant(value), named)
+
+
+def first_present(value: Column, names: Sequence[str]) -> Column:
+    """First field that exists and is not a JSON null, as a variant."""
+    return F.coalesce(
+        *[
+            bind(field(value, n), lambda v: F.when(~F.is_variant_null(v), v))
+            for n in names
+        ]
     )
 
 
@@ -76,8 +92,8 @@ def model_json(df: DataFrame, content: str) -> tuple[DataFrame, DataFrame]:
         )
         .drop("_text", "_inner", "_whole", "_braces", "_part", "_value")
     )
-    good = read.where(F.col("reason").isNull()).drop("reason")
-    return good, read.where(F.col("reason").isNotNull()).drop("json")
+    good = keep_where(read, F.col("reason").isNull()).drop("reason")
+    return good, keep_where(read, F.col("reason").isNotNull()).drop("json")
 
 
 def asr_text(payload: Column | str) -> Column:

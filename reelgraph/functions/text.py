@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reelgraph import config
+from reelgraph.functions.rows import bind
 
 # --- fixed values -----------------------------------------------------------
 TERM_SEPARATORS = r"""(?U)[\s,，。.!?；;:：、/\\()（）\[\]【】"'“”‘’]+"""
@@ -68,20 +69,25 @@ def parse_seconds(value: Column | str, is_number: Column | bool = False) -> Colu
 
     Only real numbers above 100000 are read as milliseconds.
     """
-    text = strip(_col(value).cast("string"))
-    number = F.try_cast(text, "double") if hasattr(F, "try_cast") else text.try_cast("double")
-    clock = F.aggregate(
-        F.split(text, ":"),
-        F.lit(0.0),
-        lambda acc, part: acc * F.lit(60.0) + F.trim(part).try_cast("double"),
-    )
     as_number = F.lit(is_number) if isinstance(is_number, bool) else is_number
-    return (
-        F.when(as_number & (number > 100000), number / 1000)
-        .when(as_number, number)
-        .when(F.contains(text, F.lit(":")), clock)
-        .otherwise(number)
-    )
+
+    def read(given: Column) -> Column:
+        text = given["text"]
+        number = text.try_cast("double")
+        clock = F.aggregate(
+            F.split(text, ":"),
+            F.lit(0.0),
+            lambda acc, part: acc * F.lit(60.0) + F.trim(part).try_cast("double"),
+        )
+        return (
+            F.when(given["number"] & (number > 100000), number / 1000)
+            .when(given["number"], number)
+            .when(F.contains(text, F.lit(":")), clock)
+            .otherwise(number)
+        )
+
+    text = strip(_col(value).cast("string"))
+    return bind(F.struct(text.alias("text"), as_number.alias("number")), read)
 
 
 def format_timestamp(seconds: Column | str) -> Column:
@@ -131,16 +137,15 @@ def summarize(value: Column | str, max_chars: int = 1000) -> Column:
 def tokenize(value: Column | str, synonyms: Mapping[str, str] = config.LABEL_SYNONYMS) -> Column:
     """Ordered distinct query terms; short words survive only through the vocabulary."""
     spaced = F.trim(F.regexp_replace(F.coalesce(_col(value), F.lit("")), TERM_SEPARATORS, " "))
-    vocabulary = literal_map(synonyms)
+    # Vocabulary keys are lower case, so terms fold and repeat before the lookup.
+    words = F.array_distinct(F.split(F.lower(spaced), " "))
+    vocabulary = literal_map({k: v for k, v in synonyms.items() if k == k.lower()})
 
-    def term(token: Column) -> Column:
-        return F.coalesce(
-            F.element_at(vocabulary, token),
-            F.element_at(vocabulary, F.lower(token)),
-            F.when(F.length(token) > 2, F.lower(token)),
-        )
+    def term(word: Column) -> Column:
+        known = word.isin(*synonyms) if synonyms else F.lit(False)
+        return F.when(known, F.element_at(vocabulary, word)).when(F.length(word) > 2, word)
 
-    return F.array_distinct(F.array_compact(F.transform(F.split(spaced, " "), term)))
+    return F.array_distinct(F.array_compact(F.transform(words, term)))
 
 
 def frame_type(
@@ -204,4 +209,4 @@ def yaml_escape(value: Column | str) -> Column:
 
 def first_filled(*values: Column) -> Column:
     """First value that is neither NULL nor blank text."""
-    return F.coalesce(*[F.when(strip(value) != "", value) for value in values])
+    return F.coalesce(*[bind(v, lambda x: F.when(strip(x) != "", x)) for v in values])

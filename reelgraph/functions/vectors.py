@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelgraph.functions.rows import bind
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it inside array functions, whose
-    bodies would otherwise compute it again for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def centered_unit(values: Column) -> Column:
     """Centre and scale an array so that a correlation is one dot product.
 

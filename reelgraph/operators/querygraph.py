@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from reelgraph import config
 from reelgraph.functions import responses as r
 from reelgraph.functions import text
+from reelgraph.functions.rows import bind
 
 
 def _weight(item: Column) -> Column:
-    weight = r.field(item, "weight")
     as_flag = F.try_variant_get(item, "$.weight", "boolean").cast("int").cast("double")
-    return F.when(r.kind(weight) == "boolean", as_flag).when(
-        r.kind(weight) == "number", F.try_variant_get(item, "$.weight", "double")
+    as_number = F.try_variant_get(item, "$.weight", "double")
+    return bind(
+        r.kind(r.field(item, "weight")),
+        lambda k: F.when(k == "boolean", as_flag).when(k == "number", as_number),
     )
 
 

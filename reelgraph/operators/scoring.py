@@ -18,7 +18,7 @@ from reelgraph import config
 from reelgraph.functions import geometry as g
 from reelgraph.functions import text
 from reelgraph.functions.geometry import Box
-from reelgraph.functions.vectors import bind
+from reelgraph.functions.rows import bind
 from reelgraph.operators.querygraph import expected_signals, graph_terms
 from reelgraph.operators.scenes import MASK_BOX
 

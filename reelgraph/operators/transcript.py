@@ -8,37 +8,35 @@ from pyspark.sql import functions as F
 from reelgraph import config
 from reelgraph.functions import responses as r
 from reelgraph.functions import text
+from reelgraph.functions.rows import bind, keep_where
 from reelgraph.operators.skew import offset_and_total, ordered_parts, previous_and_running_max
 
 SECTION = ("video_id", "section_index")
 
 
-def _seconds(item: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(
-        *[
-            text.parse_seconds(r.text_field(item, n), r.kind(r.field(item, n)) == "number")
-            for n in names
-        ]
-    )
+def _seconds(value: Column) -> Column:
+    """Seconds of a JSON value; NULL where it is missing or unreadable."""
+    given = F.struct(value.cast("string").alias("t"), r.kind(value).alias("k"))
+    return bind(given, lambda g: text.parse_seconds(g["t"], g["k"] == "number"))
 
 
 def _sentence(item: Column) -> Column:
     words = text.first_filled(*[r.text_field(item, n) for n in ("text", "transcript", "sentence")])
-    start = _seconds(item, ("start", "start_seconds", "begin"))
-    end = _seconds(item, ("end", "end_seconds", "finish"))
-    pair = [
-        text.parse_seconds(
-            F.try_variant_get(item, f"$.timestamp[{i}]", "string"),
-            r.kind(F.try_variant_get(item, f"$.timestamp[{i}]", "variant")) == "number",
-        )
-        for i in (0, 1)
-    ]
-    return F.struct(
+    read = F.struct(
         F.coalesce(text.strip(words), F.lit("")).alias("text"),
-        F.coalesce(start, pair[0]).alias("start"),
-        F.when(start.isNull() & pair[0].isNotNull(), pair[1]).otherwise(end).alias("end"),
+        _seconds(r.first_present(item, ("start", "start_seconds", "begin"))).alias("start"),
+        _seconds(r.first_present(item, ("end", "end_seconds", "finish"))).alias("end"),
     )
 
+    def paired(s: Column) -> Column:
+        pair = [_seconds(F.try_variant_get(item, f"$.timestamp[{i}]", "variant")) for i in (0, 1)]
+        # Without a start of its own a sentence takes both ends from the pair.
+        both = F.struct(s["text"].alias("text"), pair[0].alias("start"), pair[1].alias("end"))
+        has_pair = F.try_variant_get(item, "$.timestamp[1]", "variant").isNotNull()
+        return F.when(s["start"].isNull() & has_pair, both).otherwise(s)
+
+    return bind(read, paired)
+
 
 def extract_sentences(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sentences, rejected videos with a reason).
@@ -90,7 +88,8 @@ def extract_sentences(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.col("s.text").alias("text"),
         )
     )
-    return good, read.where(F.col("reason").isNotNull()).select("video_id", "reason")
+    bad = keep_where(read, F.col("reason").isNotNull())
+    return good, bad.select("video_id", "reason")
 
 
 def sentences_of_sections(sections: DataFrame, sentences: DataFrame) -> DataFrame:

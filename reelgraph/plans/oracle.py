@@ -544,12 +544,12 @@ SELECT d.doc_id AS video_id,
             WHEN 2 THEN 'completion_frame' WHEN 3 THEN 'alignment_frame' ELSE 'overview_frame' END
          AS frame_type,
        CASE WHEN business <> '' THEN business ELSE title END AS target,
-       lang || ' part|' || source AS graph_terms, md5(t.terms) AS query_terms_md5,
-       t.n AS query_terms,
+       lang || ' part|' || source AS graph_terms, md5(coalesce(t.terms, '')) AS query_terms_md5,
+       coalesce(t.n, 0) AS query_terms,
        CASE doc_id % 6 WHEN 0 THEN 'clear_key_region|detail_rich' WHEN 1 THEN 'clear_key_region|detail_rich'
             WHEN 2 THEN 'clear_key_region|sharp' WHEN 3 THEN 'clear_key_region|close_up'
             ELSE 'close_up|detail_rich' END AS expected_signals
-FROM d JOIN t USING (doc_id)
+FROM d LEFT JOIN t USING (doc_id)
 """
 SQL["label_forms"] = """
 SELECT p_partkey, lower(p_name) || ' ' || lower(p_type) AS label,
@@ -659,10 +659,10 @@ SELECT video_id, section_index, frame_id, n - 1 AS node_no, node_label, label AS
 )
 SQL["match_score"] = with_ctes(
     """
-SELECT video_id, section_index, frame_id, graph_id, frame_type, round(score, 5) AS score,
-       round(node_score, 5) AS node_score, round(edge_score, 5) AS edge_score,
-       round(visibility, 5) AS visibility, round(quality_score, 5) AS quality_score,
-       signal_score, round(spatial_score, 5) AS spatial_score, matched, missing, negative_hits
+SELECT video_id, section_index, frame_id, graph_id, frame_type, round(score, 9) AS score,
+       round(node_score, 9) AS node_score, round(edge_score, 9) AS edge_score,
+       round(visibility, 9) AS visibility, round(quality_score, 9) AS quality_score,
+       signal_score, round(spatial_score, 9) AS spatial_score, matched, missing, negative_hits
 FROM matches
 """,
     "matches",

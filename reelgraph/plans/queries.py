@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from reelgraph import config
 from reelgraph.functions import geometry, responses, text, vectors
+from reelgraph.functions.rows import keep_where
 from reelgraph.operators import (
     catalogue,
     dataset,
@@ -523,7 +524,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def retry_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = checked_graphs(spark, sf_dir).where(F.col("reason").isNotNull())
+    bad = keep_where(checked_graphs(spark, sf_dir), F.col("reason").isNotNull())
     return transcript.retry_set(bad.select("graph_id", "attempt", "reason")).withColumn(
         "attempt", F.col("attempt").cast("bigint")
     )
@@ -694,7 +695,7 @@ def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(scored_matches(spark, sf_dir), 5)
+    return _rounded(scored_matches(spark, sf_dir), 9)
 
 
 @query
