@@ -13,7 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reelgraph import config
-from reelgraph.functions.text import clamp_unit
+
+
+def clamp_unit(value: Column) -> Column:
+    """Clamp a value that is never NULL: one mention keeps formulas small, as
+    they nest and generated code must stay within what the JVM compiles."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
 class Box(NamedTuple):

@@ -42,29 +42,34 @@ def best_objects(detections: DataFrame) -> DataFrame:
     ``best``: one struct per value of ``IDEALS``; ``label_place``: where the
     label first appears among the frame's detections.
     """
-    confidence = text.clamp_unit("confidence")
+    qualities = {f"_q{i}": _quality(F.lit(ideal)) for i, ideal in enumerate(IDEALS)}
+    # Measured once per detection; the aggregate only compares and keeps.
+    measured = (
+        detections.where(F.col("label") != "")
+        .withColumn("confidence", g.clamp_unit(F.col("confidence")))
+        .withColumns(qualities)
+        .withColumn("_operation", F.col(f"_q{IDEALS.index(OPERATION_IDEAL)}"))
+    )
 
-    def pick(ideal: float) -> Column:
-        quality = _quality(F.lit(ideal))
+    def pick(i: int, ideal: float) -> Column:
         thing = F.struct(
-            F.lit(ideal).alias("ideal"), "label", "det_no", confidence.alias("confidence"),
+            F.lit(ideal).alias("ideal"), "label", "det_no", "confidence",
             "area", "centroid_x", "centroid_y", "touches_border", *MASK_BOX, "width", "height",
-            quality.alias("quality"), _quality(F.lit(OPERATION_IDEAL)).alias("operation_quality"),
+            F.col(f"_q{i}").alias("quality"), F.col("_operation").alias("operation_quality"),
         )
-        order = F.struct(-quality, -confidence, F.col("touches_border").cast("int"), "det_no")
+        order = F.struct(-F.col(f"_q{i}"), -F.col("confidence"), "touches_border", "det_no")
         return F.min_by(thing, order)
 
-    return (
-        detections.where(F.col("label") != "")
-        .groupBy("frame_id", "label")
-        .agg(F.array(*[pick(i) for i in IDEALS]).alias("best"), F.min("det_no").alias("label_place"))
+    return measured.groupBy("frame_id", "label").agg(
+        F.array(*[pick(i, ideal) for i, ideal in enumerate(IDEALS)]).alias("best"),
+        F.min("det_no").alias("label_place"),
     )
 
 
 def hand_objects(detections: DataFrame) -> DataFrame:
     """The hand of a frame: largest, then most certain, then uncut, then first."""
     order = F.struct(
-        -F.col("area"), -text.clamp_unit("confidence"), F.col("touches_border").cast("int"), "det_no"
+        -F.col("area"), -g.clamp_unit(F.col("confidence")), F.col("touches_border").cast("int"), "det_no"
     )
     hand = F.struct("area", *MASK_BOX)
     return (
@@ -146,7 +151,7 @@ def match_nodes(
         -F.col("bonus"), -thing["quality"], -thing["confidence"],
         thing["touches_border"].cast("int"), F.col("label_place"), thing["det_no"],
     )
-    score = text.clamp_unit(
+    score = g.clamp_unit(
         F.lit(0.50) * thing["quality"] + F.lit(0.30) * thing["confidence"]
         + F.lit(0.20) * F.col("bonus")
     )
@@ -229,7 +234,7 @@ def match_edges(nodes: DataFrame, pairs: DataFrame, graphs: DataFrame, scenes: D
             def value(pair: Column) -> Column:
                 geometric = e["relation"].isin(*config.GEOMETRIC_RELATIONS)
                 bonus = F.when(explicit, F.lit(1.0)).when(geometric, pair).otherwise(F.lit(0.0))
-                return text.clamp_unit(F.lit(0.70) * pair + F.lit(0.30) * bonus)
+                return g.clamp_unit(F.lit(0.70) * pair + F.lit(0.30) * bonus)
 
             return F.struct(
                 name.alias("name"), e["required"].alias("required"), e["weight"].alias("weight"),
@@ -364,12 +369,12 @@ def match_score(
         )
 
     score = (
-        F.lit(0.48) * text.clamp_unit("node_score")
-        + F.lit(0.32) * text.clamp_unit("edge_score")
+        F.lit(0.48) * g.clamp_unit(F.col("node_score"))
+        + F.lit(0.32) * g.clamp_unit(F.col("edge_score"))
         + F.lit(0.08) * F.when(matched_any, F.col("visibility")).otherwise(F.lit(0.0))
-        + F.lit(0.05) * text.clamp_unit("quality_score")
-        + F.lit(0.04) * text.clamp_unit("signal_score")
-        + F.lit(0.03) * text.clamp_unit("spatial_score")
+        + F.lit(0.05) * g.clamp_unit(F.col("quality_score"))
+        + F.lit(0.04) * g.clamp_unit(F.col("signal_score"))
+        + F.lit(0.03) * g.clamp_unit(F.col("spatial_score"))
         - less(blurred, 0.10)
         - less(F.col("occluded"), F.lit(0.08) + F.lit(0.10) * (F.lit(1.0) - F.col("visibility")))
         - less(cut, 0.04)
@@ -405,7 +410,7 @@ def match_score(
     )
     return (
         rows.withColumn("signal_score", signal)
-        .withColumn("score", text.clamp_unit(score))
+        .withColumn("score", g.clamp_unit(score))
         .select(
             *PAIR, "graph_id", "frame_type", "score", "node_score", "edge_score", "visibility",
             "quality_score", "signal_score", "spatial_score", matched.alias("matched"),
