@@ -68,15 +68,15 @@ def seeded_split(pairs: DataFrame, ratio: float, seed: int) -> DataFrame:
 
 
 def split_summary(split: DataFrame, classes: DataFrame) -> DataFrame:
-    counts = split.agg(
-        F.count(F.lit(1)).alias("images_total"),
-        F.count(F.when(F.col("split") == "train", 1)).alias("images_train"),
-        F.count(F.when(F.col("split") == "val", 1)).alias("images_val"),
+    """One row: classes and images, in total and per split."""
+    kinds = split.select("split").unionByName(classes.select(F.lit("class").alias("split")))
+    kind = F.col("split")
+    return kinds.agg(
+        F.count_if(kind == "class").alias("classes"),
+        F.count_if(kind != "class").alias("images_total"),
+        F.count_if(kind == "train").alias("images_train"),
+        F.count_if(kind == "val").alias("images_val"),
     )
-    # Two one-row aggregates side by side.
-    return counts.withColumn("_one", F.lit(1)).join(
-        classes.agg(F.count(F.lit(1)).alias("classes")).withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
 
 
 def class_list(lines: DataFrame) -> DataFrame:

@@ -153,6 +153,7 @@ def scene_relations(
     detections: DataFrame,
     cap: int = config.MAX_RELATIONS_PER_FRAME,
     max_detections: int = 1_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Relations between a frame's objects, at most ``cap`` in detection order.
 
@@ -162,7 +163,7 @@ def scene_relations(
     """
     columns = ["frame_id", "det_no", "label", *MASK_BOX, "centroid_x", "centroid_y", "width", "height"]
     rows = detections.where(F.col("label") != "").select(*columns)
-    cold, hot = split_hot(rows, ["frame_id"], max_detections)
+    cold, hot = split_hot(rows, ["frame_id"], max_detections, counted)
     found = _related(cold, cold, ["frame_id"])
     if hot is not None:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))

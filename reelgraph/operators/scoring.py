@@ -1,10 +1,10 @@
 """Graph matching of sections and frames.
 
 One row per (section, frame) pair is scored by how well the frame's objects
-fit the section's query graph. Detections shrink first to the best object per
-(frame, label): within a label the best choice does not depend on the query.
-From then on a frame carries at most one object per label, and everything is
-keyed by frame.
+fit the section's query graph. Everything is keyed by frame. A detector returns
+a dozen boxes per frame; should a frame hold very many, they shrink ahead of the
+match to the best object per (frame, label), as within a label the best choice
+does not depend on the query.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from reelgraph.functions.geometry import Box
 from reelgraph.functions.rows import bind
 from reelgraph.operators.querygraph import expected_signals, graph_terms
 from reelgraph.operators.scenes import MASK_BOX
+from reelgraph.operators.skew import split_hot
 
 PAIR = ("video_id", "section_index", "frame_id")
 IDEALS = (0.04, 0.05, 0.06, 0.08, 0.10)
@@ -124,12 +125,17 @@ def query_graphs(graphs: DataFrame, synonyms: Mapping[str, str] | None) -> DataF
 def match_nodes(
     pairs: DataFrame,
     graphs: DataFrame,
-    objects: DataFrame,
+    detections: DataFrame,
     synonyms: Mapping[str, str] | None = config.LABEL_SYNONYMS,
+    max_detections: int = 1_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (pair, query node) with its object, if any, and node score.
 
-    pairs: video_id, section_index, frame_id, graph_id, frame_type.
+    pairs: video_id, section_index, frame_id, graph_id, frame_type. Query nodes
+    meet their frame's detections directly; frames with more than
+    ``max_detections`` of them first shrink to the best object per label.
+    ``counted``: rows with frame_id to count instead of the detections.
     """
     nodes = query_graphs(graphs, synonyms).select(
         "graph_id", F.posexplode("nodes").alias("node_no", "node")
@@ -138,14 +144,13 @@ def match_nodes(
         pairs.select(*PAIR, "graph_id", g.ideal_area(F.col("frame_type")).alias("ideal"))
         .join(nodes, "graph_id")
         .where(F.col("node.label") != "")
+        .drop("graph_id")
     )
-    a, o = asked.alias("a"), objects.alias("o")
-    query, found = F.col("a.node.label"), F.col("o.label")
-    fits = (F.col("a.frame_id") == F.col("o.frame_id")) & labels_compatible(query, found)
-    bonus = F.when(query == found, F.lit(1.0)).otherwise(F.lit(0.85))
-    # frame types name one of IDEALS each, so exactly one struct is left
-    chosen = F.element_at(F.filter("o.best", lambda x: x["ideal"] == F.col("a.ideal")), 1)
-    key = [f"a.{c}" for c in PAIR]
+    cold, hot = split_hot(detections, ["frame_id"], max_detections, counted)
+    per_label = _label_matches(asked, cold)
+    if hot is not None:
+        per_label = per_label.unionByName(_hot_matches(asked, best_objects(hot)))
+
     thing = F.col("object")
     order = F.struct(
         -F.col("bonus"), -thing["quality"], -thing["confidence"],
@@ -156,16 +161,11 @@ def match_nodes(
         + F.lit(0.20) * F.col("bonus")
     )
     best = F.min_by(
-        F.when(thing.isNotNull(), F.struct(thing.alias("object"), F.col("bonus"), F.col("score"))),
+        F.when(thing.isNotNull(), F.struct(thing.alias("object"), F.col("score"))),
         F.when(thing.isNotNull(), order),
     )
     return (
-        a.join(o, fits, "left")
-        .select(
-            *key, "a.node_no", "a.node", chosen.alias("object"), "o.label_place",
-            bonus.alias("bonus"),
-        )
-        .withColumn("score", score)
+        per_label.withColumn("score", score)
         .groupBy(*PAIR, "node_no")
         .agg(F.first("node").alias("node"), best.alias("match"))
         .select(
@@ -175,6 +175,56 @@ def match_nodes(
     )
 
 
+THING = ("label", "det_no", "confidence", "area", "centroid_x", "centroid_y", "touches_border",
+         *MASK_BOX, "width", "height")
+
+
+def _bonus() -> Column:
+    return F.when(F.col("a.node.label") == F.col("o.label"), F.lit(1.0)).otherwise(F.lit(0.85))
+
+
+def _fits() -> Column:
+    same = F.col("a.frame_id") == F.col("o.frame_id")
+    return same & labels_compatible(F.col("a.node.label"), F.col("o.label"))
+
+
+def _label_matches(asked: DataFrame, detections: DataFrame) -> DataFrame:
+    """Best detection per (pair, node, label), straight from the detections."""
+    rows = detections.where(F.col("label") != "").select("frame_id", *THING)
+    clamped = rows.withColumn("confidence", g.clamp_unit(F.col("confidence")))
+    found = (
+        asked.alias("a")
+        .join(clamped.alias("o"), _fits(), "left")
+        .select(
+            *[f"a.{c}" for c in PAIR], "a.node_no", "a.node", "a.ideal", _bonus().alias("bonus"),
+            *[f"o.{c}" for c in THING],
+        )
+        .withColumn("quality", _quality(F.col("ideal")))
+        .withColumn("operation_quality", _quality(F.lit(OPERATION_IDEAL)))
+    )
+    thing = F.struct(*THING, "quality", "operation_quality")
+    order = F.struct(-F.col("quality"), -F.col("confidence"), "touches_border", "det_no")
+    return found.groupBy(*PAIR, "node_no", "label").agg(
+        F.first("node").alias("node"),
+        F.first("bonus").alias("bonus"),
+        F.min("det_no").alias("label_place"),
+        F.min_by(F.when(F.col("label").isNotNull(), thing), order).alias("object"),
+    )
+
+
+def _hot_matches(asked: DataFrame, objects: DataFrame) -> DataFrame:
+    """The same from objects already reduced to one per (frame, label)."""
+    chosen = F.element_at(F.filter("o.best", lambda x: x["ideal"] == F.col("a.ideal")), 1)
+    return (
+        asked.alias("a")
+        .join(objects.alias("o"), _fits())
+        .select(
+            *[f"a.{c}" for c in PAIR], "a.node_no", "o.label", "a.node", _bonus().alias("bonus"),
+            "o.label_place", chosen.dropFields("ideal").alias("object"),
+        )
+    )
+
+
 def _pair_score(l: Column, r: Column, keys: Column) -> Column:
     lbox, rbox = (Box(*[x[m] for m in MASK_BOX]) for x in (l, r))
     overlap = g.overlap_ratio(lbox, rbox)
@@ -263,6 +313,8 @@ def match_score(
     detections: DataFrame,
     scenes: DataFrame,
     synonyms: Mapping[str, str] | None = config.LABEL_SYNONYMS,
+    max_detections: int = 1_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Score every pair, with each part of the score as a column.
 
@@ -271,7 +323,7 @@ def match_score(
     scenes: ``frame_scenes`` rows; pairs of frames without one are left to
     ``default_match``.
     """
-    nodes = match_nodes(pairs, graphs, best_objects(detections), synonyms)
+    nodes = match_nodes(pairs, graphs, detections, synonyms, max_detections, counted)
     signs = ["sharp", "not_blurry", "occluded", "labels", "relation_keys"]
     rows = match_edges(nodes, pairs, graphs, scenes.select("frame_id", *signs), synonyms)
     rows = rows.join(hand_objects(detections), "frame_id", "left")

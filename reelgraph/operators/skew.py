@@ -12,15 +12,19 @@ from reelgraph.session import cut_lineage
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], max_rows: int = config.HOT_GROUP_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    max_rows: int = config.HOT_GROUP_ROWS,
+    counted: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of keys above ``max_rows`` (None if none).
 
     The check is one map-side combined count over the key columns. At most
     rows / max_rows keys are hot, so the hot key table stays small; Spark
-    broadcasts it by its own size threshold.
+    broadcasts it by its own size threshold. ``counted`` may stand in for ``df``
+    where the same keys can be counted more cheaply.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
+    hot = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows)
     hot = hot.drop("_n")
     if hot.isEmpty():
         return df, None

@@ -415,6 +415,10 @@ def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def detection_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame_id"))
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.normalize_detections(raw_detections(spark, sf_dir), SYNONYMS)
 

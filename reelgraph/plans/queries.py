@@ -647,7 +647,9 @@ def object_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenes.scene_relations(b.detections(spark, sf_dir))
+    return scenes.scene_relations(
+        b.detections(spark, sf_dir), counted=b.detection_keys(spark, sf_dir)
+    )
 
 
 @query
@@ -675,7 +677,7 @@ def frame_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.match_nodes(
         b.scoring_pairs(spark, sf_dir), b.brand_graphs(spark, sf_dir),
-        scoring.best_objects(b.detections(spark, sf_dir)), b.SYNONYMS,
+        b.detections(spark, sf_dir), b.SYNONYMS, counted=b.detection_keys(spark, sf_dir),
     )
     return _rounded(
         rows.select(
@@ -689,7 +691,7 @@ def match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.match_score(
         b.scoring_pairs(spark, sf_dir), b.brand_graphs(spark, sf_dir), b.detections(spark, sf_dir),
-        order_scenes(spark, sf_dir), b.SYNONYMS,
+        order_scenes(spark, sf_dir), b.SYNONYMS, counted=b.detection_keys(spark, sf_dir),
     )
 
 
