@@ -137,14 +137,33 @@ def match_nodes(
     ``max_detections`` of them first shrink to the best object per label.
     ``counted``: rows with frame_id to count instead of the detections.
     """
+    rows = _node_rows(pairs, graphs, detections, synonyms, max_detections, counted)
+    return rows.select(*PAIR, "node_no", "node", "object", "node_score")
+
+
+def _node_rows(
+    pairs: DataFrame,
+    graphs: DataFrame,
+    detections: DataFrame,
+    synonyms: Mapping[str, str] | None,
+    max_detections: int,
+    counted: DataFrame | None,
+) -> DataFrame:
+    """``match_nodes`` with the pair's other columns and its graph's edges.
+
+    They travel with the nodes, so that nothing has to meet the pair again.
+    """
+    told = [c for c in pairs.columns if c not in PAIR]
     nodes = query_graphs(graphs, synonyms).select(
-        "graph_id", F.posexplode("nodes").alias("node_no", "node")
+        "graph_id", "edges", F.posexplode("nodes").alias("node_no", "node")
     )
     asked = (
-        pairs.select(*PAIR, "graph_id", g.ideal_area(F.col("frame_type")).alias("ideal"))
-        .join(nodes, "graph_id")
+        pairs.join(nodes, "graph_id")
         .where(F.col("node.label") != "")
-        .drop("graph_id")
+        .select(
+            *PAIR, "node_no", F.struct("node", "edges", *told).alias("ask"),
+            g.ideal_area(F.col("frame_type")).alias("ideal"),
+        )
     )
     cold, hot = split_hot(detections, ["frame_id"], max_detections, counted)
     per_label = _label_matches(asked, cold)
@@ -167,9 +186,9 @@ def match_nodes(
     return (
         per_label.withColumn("score", score)
         .groupBy(*PAIR, "node_no")
-        .agg(F.first("node").alias("node"), best.alias("match"))
+        .agg(F.first("ask").alias("ask"), best.alias("match"))
         .select(
-            *PAIR, "node_no", "node", F.col("match.object").alias("object"),
+            *PAIR, "node_no", "ask.*", F.col("match.object").alias("object"),
             F.coalesce("match.score", F.lit(0.0)).alias("node_score"),
         )
     )
@@ -180,12 +199,12 @@ THING = ("label", "det_no", "confidence", "area", "centroid_x", "centroid_y", "t
 
 
 def _bonus() -> Column:
-    return F.when(F.col("a.node.label") == F.col("o.label"), F.lit(1.0)).otherwise(F.lit(0.85))
+    return F.when(F.col("a.ask.node.label") == F.col("o.label"), F.lit(1.0)).otherwise(F.lit(0.85))
 
 
 def _fits() -> Column:
     same = F.col("a.frame_id") == F.col("o.frame_id")
-    return same & labels_compatible(F.col("a.node.label"), F.col("o.label"))
+    return same & labels_compatible(F.col("a.ask.node.label"), F.col("o.label"))
 
 
 def _label_matches(asked: DataFrame, detections: DataFrame) -> DataFrame:
@@ -196,7 +215,7 @@ def _label_matches(asked: DataFrame, detections: DataFrame) -> DataFrame:
         asked.alias("a")
         .join(clamped.alias("o"), _fits(), "left")
         .select(
-            *[f"a.{c}" for c in PAIR], "a.node_no", "a.node", "a.ideal", _bonus().alias("bonus"),
+            *[f"a.{c}" for c in PAIR], "a.node_no", "a.ask", "a.ideal", _bonus().alias("bonus"),
             *[f"o.{c}" for c in THING],
         )
         .withColumn("quality", _quality(F.col("ideal")))
@@ -205,7 +224,7 @@ def _label_matches(asked: DataFrame, detections: DataFrame) -> DataFrame:
     thing = F.struct(*THING, "quality", "operation_quality")
     order = F.struct(-F.col("quality"), -F.col("confidence"), "touches_border", "det_no")
     return found.groupBy(*PAIR, "node_no", "label").agg(
-        F.first("node").alias("node"),
+        F.first("ask").alias("ask"),
         F.first("bonus").alias("bonus"),
         F.min("det_no").alias("label_place"),
         F.min_by(F.when(F.col("label").isNotNull(), thing), order).alias("object"),
@@ -219,7 +238,7 @@ def _hot_matches(asked: DataFrame, objects: DataFrame) -> DataFrame:
         asked.alias("a")
         .join(objects.alias("o"), _fits())
         .select(
-            *[f"a.{c}" for c in PAIR], "a.node_no", "o.label", "a.node", _bonus().alias("bonus"),
+            *[f"a.{c}" for c in PAIR], "a.node_no", "o.label", "a.ask", _bonus().alias("bonus"),
             "o.label_place", chosen.dropFields("ideal").alias("object"),
         )
     )
@@ -251,20 +270,19 @@ def _weighted(items: Column) -> Column:
     )
 
 
-def match_edges(nodes: DataFrame, pairs: DataFrame, graphs: DataFrame, scenes: DataFrame,
-                synonyms: Mapping[str, str] | None = config.LABEL_SYNONYMS) -> DataFrame:
+def match_edges(nodes: DataFrame, scenes: DataFrame) -> DataFrame:
     """One row per pair: its node matches in order and its scored edges.
 
-    Node lists are no longer than the query graph, which is one nested value of
-    its section to begin with.
+    nodes: ``_node_rows``. Node lists are no longer than the query graph, which
+    is one nested value of its section to begin with.
     """
+    told = [c for c in nodes.columns if c not in (*PAIR, "node_no", "node", "object", "node_score")]
+    item = F.struct("node_no", "node", "object", F.col("node_score").alias("score"))
     listed = nodes.groupBy(*PAIR).agg(
-        F.sort_array(
-            F.collect_list(F.struct("node_no", "node", "object", F.col("node_score").alias("score")))
-        ).alias("_nodes")
+        F.sort_array(F.collect_list(item)).alias("_nodes"),
+        F.first(F.struct(*told)).alias("_told"),
     )
-    edges = query_graphs(graphs, synonyms).select("graph_id", "edges")
-    carried = [c for c in pairs.columns if c not in PAIR]
+    carried = [f"_told.{c}" for c in told]
 
     def endpoint(node_id: Column) -> Column:
         hit = F.filter("_nodes", lambda n: n["node"]["id"] == node_id)
@@ -297,13 +315,10 @@ def match_edges(nodes: DataFrame, pairs: DataFrame, graphs: DataFrame, scenes: D
         return bind(F.struct(endpoint(e["from"]).alias("l"), endpoint(e["to"]).alias("r")), judged)
 
     return (
-        pairs.join(listed, list(PAIR))
-        .join(edges, "graph_id")
-        .join(scenes, "frame_id")
-        .select(
-            *PAIR, *carried, "_nodes", F.transform("edges", scored).alias("_edges"),
-            *[c for c in scenes.columns if c != "frame_id"],
-        )
+        listed.join(scenes, "frame_id")
+        .select(*PAIR, *carried, "_nodes", *[c for c in scenes.columns if c != "frame_id"])
+        .withColumn("_edges", F.transform("edges", scored))
+        .drop("edges")
     )
 
 
@@ -323,9 +338,9 @@ def match_score(
     scenes: ``frame_scenes`` rows; pairs of frames without one are left to
     ``default_match``.
     """
-    nodes = match_nodes(pairs, graphs, detections, synonyms, max_detections, counted)
+    nodes = _node_rows(pairs, graphs, detections, synonyms, max_detections, counted)
     signs = ["sharp", "not_blurry", "occluded", "labels", "relation_keys"]
-    rows = match_edges(nodes, pairs, graphs, scenes.select("frame_id", *signs), synonyms)
+    rows = match_edges(nodes, scenes.select("frame_id", *signs))
     rows = rows.join(hand_objects(detections), "frame_id", "left")
 
     hits = F.filter("_nodes", lambda n: n["object"].isNotNull())

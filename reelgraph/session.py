@@ -11,6 +11,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Collecting aggregates turn to sorting at 128 groups per task by default.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelgraph.functions import text
 from reelgraph.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
@@ -39,7 +40,7 @@ def parse_artifacts(documents: DataFrame, schema: T.StructType) -> tuple[DataFra
         "video_id", "value", F.try_parse_json("value").isNotNull().alias("_json"),
         F.from_json("value", schema).alias("_doc"),
     )
-    reason = F.when(F.trim("value") == "", F.lit("empty")).when(~F.col("_json"), F.lit("corrupt"))
+    reason = F.when(text.strip("value") == "", F.lit("empty")).when(~F.col("_json"), F.lit("corrupt"))
     judged = read.withColumn("reason", reason)
     good = judged.where(F.col("reason").isNull()).select("video_id", "_doc.*")
     return good, judged.where(F.col("reason").isNotNull()).select("video_id", "reason")
@@ -48,7 +49,10 @@ def parse_artifacts(documents: DataFrame, schema: T.StructType) -> tuple[DataFra
 def read_artifacts(
     spark: SparkSession, path: str, schema: T.StructType
 ) -> tuple[DataFrame, DataFrame]:
-    """One JSON document per video below ``path``; corrupt ones come apart."""
+    """One JSON document per video below ``path``; corrupt ones come apart.
+
+    Spark's text reader gives no row for a file of zero bytes.
+    """
     documents = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), VIDEO_IN_PATH, 1).alias("video_id"), "value"
     )

@@ -443,7 +443,7 @@ def test_replace_frames_touches_given_videos_only(spark, rows, tmp_path):
 def test_artifacts_round_trip(spark, rows, tmp_path):
     from pyspark.sql import types as T
 
-    for video, body in (("v1", '{"title":"x"}'), ("v2", "{oops"), ("v3", "")):
+    for video, body in (("v1", '{"title":"x"}'), ("v2", "{oops"), ("v3", " \n")):
         folder = tmp_path / "videos" / video / "transcript"
         folder.mkdir(parents=True)
         (folder / "transcript_tree.json").write_text(body)
@@ -461,7 +461,7 @@ def test_label_export(spark, rows, tmp_path):
     (tmp_path / "images" / "one.JPG").write_bytes(b"1")
     (tmp_path / "labels" / "one.txt").write_text("0 0.5 0.5 0.1 0.1\n1 0.2 0.2 0.1 0.1\n")
     classes, image_rows, files, lines = artifacts.read_label_export(spark, str(tmp_path))
-    assert rows(classes, "text") == [("",), ("",), (" base ",), ("servo",)]
+    assert rows(classes, "text") == [(" base ",), ("",), ("",), ("servo",)]
     assert rows(image_rows, "stem", "suffix") == [("one", ".jpg")]
     assert rows(files) == [("one",)]
     assert rows(lines, "stem", "line_no") == [("one", 0), ("one", 1)]
