@@ -184,7 +184,7 @@ def frame_scenes(
     relations: DataFrame,
     min_blur: float = config.QUALITY.min_blur,
 ) -> DataFrame:
-    """One row per frame: signals, detected labels and relation keys.
+    """One row per frame: signals, detected labels, relation keys and its hand.
 
     frames: frame_id, blur_score. Frames without detections get the signals of
     an empty scene. Detections and relations shrink to one row per frame before
@@ -195,12 +195,20 @@ def frame_scenes(
     )
     # Among equally large objects the last one decides.
     largest = F.struct("area", "det_no")
+    # The hand of a frame: largest, then most certain, then uncut, then first.
+    is_hand = F.col("label") == "hand"
+    hand_order = F.struct(
+        -F.col("area"), -g.clamp_unit(F.col("confidence")),
+        F.col("touches_border").cast("int"), "det_no",
+    )
+    hand = F.min_by(F.struct("area", *MASK_BOX), F.when(is_hand, hand_order))
     shapes = detections.groupBy("frame_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("area").alias("_total"),
         F.max("area").alias("_largest"),
         F.max_by(center, largest).alias("_center"),
-        F.sum(F.when(F.col("label") == "hand", F.col("area"))).alias("_hand"),
+        F.sum(F.when(is_hand, F.col("area"))).alias("_hand"),
+        hand.alias("hand"),
         F.array_sort(F.collect_set(F.when(F.col("label") != "", F.col("label")))).alias("labels"),
     )
     links = relations.groupBy("frame_id").agg(

@@ -67,19 +67,6 @@ def best_objects(detections: DataFrame) -> DataFrame:
     )
 
 
-def hand_objects(detections: DataFrame) -> DataFrame:
-    """The hand of a frame: largest, then most certain, then uncut, then first."""
-    order = F.struct(
-        -F.col("area"), -g.clamp_unit(F.col("confidence")), F.col("touches_border").cast("int"), "det_no"
-    )
-    hand = F.struct("area", *MASK_BOX)
-    return (
-        detections.where(F.col("label") == "hand")
-        .groupBy("frame_id")
-        .agg(F.min_by(hand, order).alias("hand"))
-    )
-
-
 def labels_compatible(query: Column, found: Column) -> Column:
     """Equal, one inside the other, or enough shared words."""
     q, f = F.array_distinct(F.split(query, " ")), F.array_distinct(F.split(found, " "))
@@ -339,9 +326,8 @@ def match_score(
     ``default_match``.
     """
     nodes = _node_rows(pairs, graphs, detections, synonyms, max_detections, counted)
-    signs = ["sharp", "not_blurry", "occluded", "labels", "relation_keys"]
+    signs = ["sharp", "not_blurry", "occluded", "labels", "relation_keys", "hand"]
     rows = match_edges(nodes, scenes.select("frame_id", *signs))
-    rows = rows.join(hand_objects(detections), "frame_id", "left")
 
     hits = F.filter("_nodes", lambda n: n["object"].isNotNull())
     marks = F.transform(
