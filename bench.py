@@ -1,4 +1,4 @@
-"""Seconds per headline query: median of BENCH_RUNS (3) after one warm-up."""
+"""Seconds per headline query: median of BENCH_RUNS (2) after one warm-up."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cpus, app="reelgraph-bench", shuffle_partitions=str(int(cpus) * 2)
                           if cpus.isdigit() else "16")
     spark.sparkContext.setLogLevel("ERROR")

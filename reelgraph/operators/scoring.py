@@ -24,6 +24,7 @@ from reelgraph.operators.scenes import MASK_BOX
 from reelgraph.operators.skew import split_hot
 
 PAIR = ("video_id", "section_index", "frame_id")
+PAIR_TOLD = ("graph_id", "frame_type", "quality_score")
 IDEALS = (0.04, 0.05, 0.06, 0.08, 0.10)
 OPERATION_IDEAL = config.IDEAL_AREA["operation_frame"]
 
@@ -321,7 +322,7 @@ def match_score(
     """Score every pair, with each part of the score as a column.
 
     pairs: video_id, section_index, frame_id, graph_id, frame_type,
-    quality_score. graphs: graph_id, nodes, edges. detections: normalised.
+    quality_score, and columns passed through. graphs: graph_id, nodes, edges. detections: normalised.
     scenes: ``frame_scenes`` rows; pairs of frames without one are left to
     ``default_match``.
     """
@@ -468,6 +469,7 @@ def match_score(
             *PAIR, "graph_id", "frame_type", "score", "node_score", "edge_score", "visibility",
             "quality_score", "signal_score", "spatial_score", matched.alias("matched"),
             missing.alias("missing"), negative_hits.alias("negative_hits"),
+            *[c for c in pairs.columns if c not in (*PAIR, *PAIR_TOLD)],
         )
     )
 

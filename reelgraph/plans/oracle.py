@@ -853,3 +853,39 @@ SELECT id, filename, size_bytes, seq, coalesce(own, CASE WHEN row_number() OVER
   PARTITION BY id, own IS NULL ORDER BY seq) > 1 THEN 'duplicate_id' END) AS reason
 FROM e
 """
+SQL["parse_videos"] = with_ctes(
+    """
+SELECT video_id, section_index, frame_id, graph_id, round(score, 6) AS score, rank, matched,
+       missing, negative_hits FROM (
+  SELECT *, row_number() OVER (PARTITION BY video_id, section_index
+                               ORDER BY score DESC, timestamp_ms, frame_id) AS rank
+  FROM (SELECT p.video_id, p.section_index, p.frame_id, p.graph_id, k.timestamp_ms,
+               coalesce(m.score, 0) AS score, coalesce(m.matched, '') AS matched,
+               coalesce(m.missing, t.terms) AS missing,
+               coalesce(m.negative_hits, '') AS negative_hits
+        FROM pairs p JOIN members k USING (section_index, frame_id)
+        JOIN (SELECT graph_id, string_agg(term, '|' ORDER BY n) AS terms FROM nodes GROUP BY 1) t
+          ON t.graph_id = p.graph_id
+        LEFT JOIN matches m ON m.frame_id = p.frame_id AND m.section_index = p.section_index))
+""",
+    "matches", "members",
+    instead={
+        "pairs": (
+            """
+SELECT video_id, section_index, frame_id, quality_score,
+       'Brand#' || CAST((video_id + section_index) % 25 + 1 AS VARCHAR) AS graph_id,
+       ['wiring_frame', 'operation_frame', 'completion_frame', 'alignment_frame',
+        'overview_frame', 'other'][section_index % 6 + 1] AS frame_type,
+       ([0.08, 0.08, 0.10, 0.05, 0.04, 0.06]::DOUBLE[])[section_index % 6 + 1] AS ideal
+FROM members WHERE frame_id = representative_frame_id
+""",
+            ("members",),
+        ),
+        "scene_frames": (
+            """
+SELECT frame_id, blur_score FROM frames WHERE frame_id IN (SELECT frame_id FROM det)
+""",
+            ("frames", "det"),
+        ),
+    },
+)

@@ -9,19 +9,25 @@ def cte(name: str, body: str, *needs: str) -> None:
     CTES[name] = (body.strip(), needs)
 
 
-def with_ctes(query: str, *names: str) -> str:
-    """``query`` behind the named CTEs and everything they need, in order."""
+def with_ctes(
+    query: str, *names: str, instead: dict[str, tuple[str, tuple[str, ...]]] | None = None
+) -> str:
+    """``query`` behind the named CTEs and everything they need, in order.
+
+    ``instead`` gives some of them another body for this query.
+    """
+    known = {**CTES, **(instead or {})}
     ordered: list[str] = []
 
     def visit(name: str) -> None:
-        for need in CTES[name][1]:
+        for need in known[name][1]:
             visit(need)
         if name not in ordered:
             ordered.append(name)
 
     for name in names:
         visit(name)
-    parts = [f"{n} AS (\n{CTES[n][0]}\n)" for n in ordered]
+    parts = [f"{n} AS (\n{known[n][0].strip()}\n)" for n in ordered]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + query.strip()
 
 
@@ -495,6 +501,13 @@ FROM all_relations QUALIFY relation_no <= 20
 """,
     "all_relations",
 )
+cte(
+    "scene_frames",
+    """
+SELECT o_orderkey AS frame_id, CAST(floor(o_totalprice) AS BIGINT) % 100 AS blur_score
+FROM orders WHERE o_orderkey % 20 > 0
+""",
+)
 cte(
     "scene",
     """
@@ -502,8 +515,7 @@ SELECT f.frame_id, f.blur_score >= 25 AS sharp, coalesce(d.n, 0) AS n,
        coalesce(r.occludes, false) OR coalesce(d.hand, 0) >= 0.12 AS occluded,
        coalesce(d.total, 0) AS total, coalesce(d.largest, 0) AS largest,
        coalesce(d.dist, 1) AS dist, coalesce(d.labels, []) AS labels
-FROM (SELECT o_orderkey AS frame_id, CAST(floor(o_totalprice) AS BIGINT) % 100 AS blur_score
-      FROM orders WHERE o_orderkey % 20 > 0) f
+FROM scene_frames f
 LEFT JOIN (SELECT frame_id, count(*) AS n, sum(area) AS total, max(area) AS largest,
                   sum(area) FILTER (label = 'hand') AS hand, list(DISTINCT label) AS labels,
                   arg_max(center_distance, (area, det_no)) AS dist
@@ -511,6 +523,7 @@ LEFT JOIN (SELECT frame_id, count(*) AS n, sum(area) AS total, max(area) AS larg
 LEFT JOIN (SELECT frame_id, bool_or(relation = 'occludes') AS occludes FROM rel GROUP BY 1) r
   USING (frame_id)
 """,
+    "scene_frames",
     "det",
     "rel",
 )
@@ -558,7 +571,7 @@ FROM (SELECT p.video_id, p.section_index, p.frame_id, n.n, n.label AS node_label
       LEFT JOIN det_quality q ON q.frame_id = p.frame_id AND q.ideal = p.ideal
        AND (q.label = n.label OR contains(q.label, n.label) OR contains(n.label, q.label)
             OR list_has_any(string_split(q.label, ' '), string_split(n.label, ' '))))
-QUALIFY row_number() OVER (PARTITION BY frame_id, n ORDER BY bonus DESC, quality DESC,
+QUALIFY row_number() OVER (PARTITION BY section_index, frame_id, n ORDER BY bonus DESC, quality DESC,
   greatest(0, least(1, confidence)) DESC, border, label_place, det_no) = 1
 """,
     "pairs",
@@ -585,8 +598,10 @@ SELECT p.*, a.det_no AS d1, b.det_no AS d2, a.node_label AS l1, b.node_label AS
        sqrt(((a.cx - b.cx) / 960) * ((a.cx - b.cx) / 960)
          + ((a.cy - b.cy) / 540) * ((a.cy - b.cy) / 540)) AS distance,
        least(a.op_quality, b.op_quality) AS op_quality
-FROM pairs p JOIN node_match a ON a.frame_id = p.frame_id AND a.n = 1
-LEFT JOIN node_match b ON b.frame_id = p.frame_id AND b.n = 2
+FROM pairs p JOIN node_match a
+  ON a.frame_id = p.frame_id AND a.section_index = p.section_index AND a.n = 1
+LEFT JOIN node_match b
+  ON b.frame_id = p.frame_id AND b.section_index = p.section_index AND b.n = 2
 LEFT JOIN edges e ON e.graph_id = p.graph_id
 """,
     "pairs",

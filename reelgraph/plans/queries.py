@@ -29,6 +29,7 @@ from reelgraph.operators import (
     usage,
 )
 from reelgraph.plans import bindings as b
+from reelgraph.plans import parse
 from reelgraph.session import shared_dir
 from reelgraph.sources import artifacts, images, inventory
 from reelgraph.streaming import jobs
@@ -937,3 +938,23 @@ def intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, rows, f"{root}/out", f"{root}/checkpoint", b.MAX_BYTES
     ).awaitTermination()
     return spark.read.parquet(f"{root}/out").drop("batch")
+
+
+@query
+def parse_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole parse: events as frames, line items as their detections."""
+    kinds = F.array(*[F.lit(t) for t in b.FRAME_TYPES])
+    told = b.sections(spark, sf_dir).withColumns({
+        "graph_id": F.concat(
+            F.lit("Brand#"), ((F.col("video_id") + F.col("section_index")) % 25 + 1).cast("string")
+        ),
+        "frame_type": F.element_at(kinds, (F.col("section_index") % 6 + 1).cast("int")),
+    })
+    parsed = parse.parse_videos(
+        b.frames(spark, sf_dir).drop("event_type"), told,
+        lambda rows: b.features(spark, sf_dir, rows), b.brand_graphs(spark, sf_dir),
+        b.detections(spark, sf_dir), b.SYNONYMS, b.PAD_MS, b.DEDUP, b.BUCKET_MS, b.CHUNK_MS,
+    )
+    return _rounded(parsed.ranked.select(
+        *scoring.PAIR, "graph_id", "score", "rank", "matched", "missing", "negative_hits"
+    ), 6)
