@@ -41,10 +41,6 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def _repeat_words(words: Column) -> Column:
     """Words inside a three-word window that the text holds twice or more."""
-    def window(i: Column) -> Column:
-        words_of = [F.get(words, i + k) for k in range(3)]
-        return F.struct(F.xxhash64(*words_of).alias("h"), i.alias("i"))
-
     def starts(grams: Column) -> Column:
         return F.filter(
             grams,
@@ -62,8 +58,17 @@ def _repeat_words(words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    grams = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
-    return F.when(F.size(words) >= 3, covered(_let(grams, starts))).otherwise(F.lit(0).cast("long"))
+    def count(hashes: Column) -> Column:
+        # Most texts repeat no window, which a set of hashes tells without sorting.
+        grams = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        plain = F.size(F.array_distinct(hashes)) == F.size(hashes)
+        return F.when(plain, F.lit(0).cast("long")).otherwise(covered(_let(grams, starts)))
+
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3),
+        lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(3)]),
+    )
+    return F.when(F.size(words) >= 3, _let(windows, count)).otherwise(F.lit(0).cast("long"))
 
 
 def measure_columns(text: Column, words: Column) -> dict[str, Column]:
