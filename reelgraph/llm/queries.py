@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.llm import packing, pieces, quality_rules, secrets, sharding
+from reelgraph.llm import packing, pieces, quality_classifier, quality_rules, secret_scans, sharding, topk, toxicity
 from reelgraph.llm.common import read_table
 
 SHARDS = 8
@@ -28,6 +28,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, 5, lambda vec_id: F.pmod(vec_id, F.lit(50)) == 0)
+
+
 def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -41,15 +46,15 @@ def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.find(docs, ratios=secrets.train(docs))
+    found = secret_scans.find(docs, ratios=secret_scans.train(docs))
 
     def count(kind: int):
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
 
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(secrets.spans_text(F.col("base_spans")), 256).alias("base_sha256"),
-        secrets.spans_text(F.col("spans")).alias("spans"),
+        F.sha2(secret_scans.spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+        secret_scans.spans_text(F.col("spans")).alias("spans"),
     )
 
 
@@ -68,10 +73,40 @@ def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(rows)
 
 
+def _held_out(doc_id: str = "doc_id"):
+    """Rows whose labels nothing may learn from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def _training(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as (key, text), and labels as (key, label) without the held-out ones."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    labels = read_table(spark, sf_dir, "labels").where(~_held_out())
+    return docs, labels.select(F.col("doc_id").alias("key"), F.col(label).alias("label"))
+
+
+def _predicted(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _training(spark, sf_dir, "toxic")
+    model = toxicity.train(docs.join(labels, "key"))
+    return _predicted(toxicity.score(read_table(spark, sf_dir, "documents"), model), 0.5)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_classifier.train(*_training(spark, sf_dir, "quality"))
+    return _predicted(quality_classifier.score(read_table(spark, sf_dir, "documents"), model), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_best_fit_packing, op6_piece_encoding, op7_secret_scans,
-        op8_hash_tree_sharding,
+        op8_hash_tree_sharding, op3_exact_top_k, op4_toxicity, op9_quality_classifier,
     )
 }
 SQL: dict[str, str] = {}

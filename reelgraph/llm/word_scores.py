@@ -30,7 +30,7 @@ class WordSums:
         self.values = np.zeros((0, width))
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
-        """One row per text: the number of words, then the sums of their values."""
+        """One row per text: words, words equal to the one before, then sums of the values."""
         split = [words_of(t) for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         fresh = set().union(*split).difference(self.place) if split else set()
@@ -43,13 +43,14 @@ class WordSums:
             base = len(self.place)
             self.place.update(zip(order, range(base, base + len(order)), strict=True))
             self.values = np.concatenate([self.values[:base], self.value(order)])
-        out = np.zeros((len(split), 1 + self.width))
+        out = np.zeros((len(split), 2 + self.width))
         out[:, 0] = sizes
         place = self.place
         for k, words in enumerate(split):
             if words:
                 at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                out[k, 1:] = self.values[at].sum(axis=0)
+                out[k, 1] = np.count_nonzero(at[1:] == at[:-1])
+                out[k, 2:] = self.values[at].sum(axis=0)
         return out
 
 
