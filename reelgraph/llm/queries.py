@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.llm import packing, pieces, quality_classifier, quality_rules, secret_scans, sharding, topk, toxicity
+from reelgraph.llm import ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans, sharding, topk, toxicity
 from reelgraph.llm.common import read_table
 
 SHARDS = 8
@@ -103,10 +103,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality_classifier.score(read_table(spark, sf_dir, "documents"), model), 0.3)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_best_fit_packing, op6_piece_encoding, op7_secret_scans,
         op8_hash_tree_sharding, op3_exact_top_k, op4_toxicity, op9_quality_classifier,
+        op10_ngram_jaccard_join,
     )
 }
 SQL: dict[str, str] = {}
