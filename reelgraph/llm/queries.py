@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.llm import ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans, sharding, topk, toxicity
+from reelgraph.llm import ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans, sharding, substring_dedup, topk, toxicity
 from reelgraph.llm.common import read_table
 
 SHARDS = 8
@@ -33,6 +33,13 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, 5, lambda vec_id: F.pmod(vec_id, F.lit(50)) == 0)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.cut(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     coded = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -111,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_best_fit_packing, op6_piece_encoding, op7_secret_scans,
         op8_hash_tree_sharding, op3_exact_top_k, op4_toxicity, op9_quality_classifier,
-        op10_ngram_jaccard_join,
+        op10_ngram_jaccard_join, op5_substring_dedup,
     )
 }
 SQL: dict[str, str] = {}
