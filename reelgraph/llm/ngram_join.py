@@ -6,8 +6,8 @@ a document's set falls into one segment per fragment.
 Candidates. Two sets with ``100 * common >= percent * union`` differ in so few n-grams
 (their symmetric difference is at most ``(100 - percent) / (100 + percent)`` of the sum of
 sizes) that of more fragments than that at least one holds equal segments. Sizes fall into
-classes whose bounds grow by half; a class has one more fragment than its largest possible
-difference, and a set so small that a partner may lie in the class below is cut for that
+classes whose bounds grow by half; a class has more fragments than its largest possible
+difference, and a set so large that a partner may lie in the next class is cut for that
 class too. Sets that share a segment are joined to families by components over
 (set, smallest set of the segment), so that no pair is made.
 
@@ -17,9 +17,9 @@ the two blocks at once, and summed per pair. The sums decide, exactly. A group h
 links of a spanning forest, so a family of n equal-minded copies gives about n links
 per pair of blocks and never n * n rows.
 
-Equal sets are one row from the start, told by 128 bits of hash. A set whose fragment is
-empty is told apart by a second cut inside that segment's key, so that empty segments alone
-make no family.
+Equal sets are one row from the start, told by 128 bits of hash. Empty segments are keys
+only of a set that has unusually many, and then a second cut is part of each such key, so
+that empty segments alone make no family.
 
 Defined cases: a null text or one without words has the empty set and is linked with
 nothing; shorter texts have their whole sequence as the one n-gram; texts are used whole;
@@ -30,6 +30,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -109,10 +110,28 @@ def low(c: int) -> int:
     return math.ceil(GROWTH**c)
 
 
-def fragments(c: int, percent: int) -> int:
-    """Fragments of class ``c``: one more than sets up to its upper bound may differ in."""
+@functools.cache
+def fragments(c: int, percent: int) -> tuple[int, int]:
+    """Fragments of class ``c``, and how many of them may be empty in a set.
+
+    One more than sets up to the class's upper bound may differ in, and some to spare: two
+    linked sets have more equal segments than the spare, so one that is not empty unless
+    both have more empty segments. The spare that gives the fewest keys is taken.
+    """
     largest = low(c + 1) - 1
-    return 2 * largest * (100 - percent) // (100 + percent) + 1
+    least = 2 * largest * (100 - percent) // (100 + percent) + 1
+
+    def keys(spare: int) -> float:
+        count = least + spare
+        mean = count * (1 - 1 / count) ** low(c)
+        if not mean:
+            return count
+        # Number of empty segments as a Poisson variable.
+        terms = (math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(spare + 1))
+        return count + max(0.0, 1 - sum(terms)) * mean * count
+
+    spare = min(range(0, least, max(1, least // 50)), key=keys)
+    return least + spare, spare
 
 
 def classes_of(size: int, percent: int) -> list[int]:
@@ -137,11 +156,11 @@ def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = []
     for c in classes_of(len(grams), percent):
-        count = fragments(c, percent)
+        count, spare = fragments(c, percent)
         sums, empty = _cut(grams, count, 1)
         names = (np.uint64(c) << np.uint64(40)) + np.arange(count, dtype=np.uint64)
         out.append(mix(sums[~empty] + mix(names[~empty])))
-        if empty.any():
+        if empty.sum() > spare:
             second, _ = _cut(grams, count, 2)
             inner = mix(second + mix(np.arange(count, dtype=np.uint64) + _STEP))
             out.extend(mix(inner + name) for name in mix(names[empty] + _MIX))

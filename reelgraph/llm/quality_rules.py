@@ -144,12 +144,12 @@ def order_rules(sample: DataFrame, rules: Sequence[Rule], m: dict[str, Column])
     return [rules[k] for k in ordered]
 
 
-def cascade(df: DataFrame, rules: Sequence[Rule], m: dict[str, Column]) -> DataFrame:
-    """``df`` with ``rejected_by`` (null if kept) and ``kept``; rules in the given order."""
-    verdict = F.lit(None).cast("string")
+def verdict(rules: Sequence[Rule], m: dict[str, Column]) -> Column:
+    """Name of the first rule that rejects, in the given order; null if none does."""
+    name = F.lit(None).cast("string")
     for rule in reversed(rules):
-        verdict = F.when(rule.rejects(m), F.lit(rule.name)).otherwise(verdict)
-    return df.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+        name = F.when(rule.rejects(m), F.lit(rule.name)).otherwise(name)
+    return name
 
 
 def _with_words(docs: DataFrame, text: str) -> DataFrame:
@@ -166,9 +166,12 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str
               sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
     ordered = best_order(docs, rules, text, sample_rows)
-    lazy = measure_columns(F.col(text), F.col("_words"))
-    judged = cascade(_with_words(docs, text), ordered, lazy)
-    return judged.where("kept").select(*docs.columns)
+    # Words are bound inside the condition: a filter is moved below the columns it reads,
+    # which would work them out anew at each place that names them.
+    rejected = _let(
+        words_column(F.col(text)), lambda words: verdict(ordered, measure_columns(F.col(text), words))
+    )
+    return docs.where(rejected.isNull())
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str = "text",
@@ -180,4 +183,5 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str = "t
     lazy = measure_columns(F.col(text), F.col("_words"))
     df = _with_words(docs, text).select(*carried, "_words", *[c.alias(n) for n, c in lazy.items()])
     ready = {n: F.col(n) for n in MEASURES}
-    return cascade(df.withColumn("base_failed", base_failed(ready)), ordered, ready).drop("_words")
+    df = df.withColumn("base_failed", base_failed(ready)).withColumn("rejected_by", verdict(ordered, ready))
+    return df.withColumn("kept", F.col("rejected_by").isNull()).drop("_words")
