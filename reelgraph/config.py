@@ -112,7 +112,6 @@ LABEL_SYNONYMS = {
     "s": "signal",
 }
 
-DEFAULT_SIGNALS = ("clear_key_region", "close_up", "sharp", "not_blurry", "detail_rich")
 NEGATIVE_LABELS = ("blur", "occluded")
 
 # Signals a section expects to see, by frame type; any other type is an overview.

@@ -76,7 +76,10 @@ def catalogue_page(
         .select("_day", "_begin")
     )
     touched = found.withColumn("_day", day).join(days, "_day")
-    ranked = rank_in_key(touched, ["_day"], _page_order(sort), "_rank")
+    minute = F.floor(F.col("created_at") / (day_ms / 1440))
+    ranked = rank_in_key(
+        touched, ["_day"], _page_order(sort), minute if sort == "asc" else -minute, "_rank"
+    )
     place = F.col("_begin") + F.col("_rank")
     rows = ranked.where((place > offset) & (place <= offset + size))
     return rows.orderBy(*_page_order(sort)).drop("_day", "_begin", "_rank"), info
@@ -164,6 +167,11 @@ _PERCENT = ("progress_percent",)
 _COUNTERS = ("stage_processed", "stage_total")
 
 
+def unknown_updates(videos: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates whose id no video has: ``apply_job_updates`` has no row to put them in."""
+    return updates.join(videos.select("id"), "id", "left_anti").withColumn("reason", F.lit("unknown_id"))
+
+
 def apply_job_updates(videos: DataFrame, updates: DataFrame) -> DataFrame:
     """Partial updates in ``seq`` order: only non-NULL fields overwrite.
 

@@ -14,6 +14,7 @@ from reelgraph import config
 from reelgraph.functions import text
 from reelgraph.operators.ranking import first_row
 from reelgraph.operators.skew import ordered_parts
+from reelgraph.session import cut_lineage
 
 SECTION = ("video_id", "section_index")
 
@@ -191,28 +192,36 @@ def unique_names(entries: DataFrame) -> DataFrame:
     scope = ["video_id"]
     first = entries.groupBy(*scope, "object_key").agg(F.min("position").alias("position"))
     named = first.withColumn("name", text.safe_filename("object_key", F.col("position")))
-    owner = named.groupBy(*scope, "name").agg(F.min("position").alias("_owner"))
     suffixed = F.concat(
         text.file_stem("name"), F.format_string("_%03d", F.col("position")),
         F.regexp_extract("name", text.FILE_SUFFIX, 1),
     )
-    once = (
+    owner = named.groupBy(*scope, "name").agg(F.min("position").alias("_owner"))
+    judged = cut_lineage(
         named.join(owner, [*scope, "name"])
-        .withColumn("_moved", F.col("position") > F.col("_owner"))
-        .withColumn("local_name", F.when(F.col("_moved"), suffixed).otherwise(F.col("name")))
+        .withColumn("suffixed", suffixed)
+        .withColumn("_later", F.col("position") > F.col("_owner"))
     )
-    # A suffixed name may be what a later key is called; that key moves as well.
-    taken = (
-        once.where("_moved")
-        .groupBy(*scope, F.col("local_name").alias("name"))
-        .agg(F.min("position").alias("_taken"))
-    )
-    clash = ~F.col("_moved") & (F.col("_taken") < F.col("position"))
-    return once.join(taken, [*scope, "name"], "left").select(
+    # A key moves if an earlier one has its name. A moved key's new name may be what a later
+    # key is called; that key moves as well, and so on. Positions rise along such a chain.
+    moved = judged.where("_later").select(*scope, "object_key")
+    wave = judged.where("_later")
+    while True:
+        taken = wave.select(*scope, F.col("suffixed").alias("name"), F.col("position").alias("_by"))
+        wave = cut_lineage(
+            judged.where("NOT _later")
+            .join(taken, [*scope, "name"])
+            .where("_by < position")
+            .select(*judged.columns)
+            .distinct()
+        )
+        if wave.isEmpty():
+            break
+        moved = moved.union(wave.select(*scope, "object_key"))
+    marked = moved.distinct().withColumn("_moved", F.lit(True))
+    return judged.join(marked, [*scope, "object_key"], "left").select(
         *scope, "object_key", "position",
-        F.when(F.coalesce(clash, F.lit(False)), suffixed).otherwise(F.col("local_name")).alias(
-            "local_name"
-        ),
+        F.when(F.col("_moved"), F.col("suffixed")).otherwise(F.col("name")).alias("local_name"),
     )
 
 

@@ -33,11 +33,19 @@ def score_order() -> list[Column]:
     ]
 
 
-def rank_frames(
-    scored: DataFrame, keys: Sequence[str] = SECTION, max_rows: int = config.HOT_GROUP_ROWS
-) -> DataFrame:
+#: Bins of a score per unit, for ranks of large sections.
+SCORE_BINS = 1024
+
+
+def rank_frames(scored: DataFrame, keys: Sequence[str] = SECTION) -> DataFrame:
     """Rank from 1 within each section: score falling, then time, then id."""
-    return rank_in_key(scored, keys, score_order(), "rank", max_rows)
+    score = F.col("score").cast("double")
+    falling = (
+        F.when(score.isNull(), F.lit(2**62))
+        .when(F.isnan(score), F.lit(-(2**62)))
+        .otherwise(-F.floor(score * SCORE_BINS))
+    )
+    return rank_in_key(scored, keys, score_order(), falling, "rank")
 
 
 def best_section_per_frame(scored: DataFrame) -> DataFrame:

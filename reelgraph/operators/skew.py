@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph import config
-from reelgraph.session import cut_lineage
 
 
 def split_hot(
@@ -39,41 +40,31 @@ def rank_in_key(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
+    bin: Column,
     out: str = "rank",
-    max_rows: int = config.HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Exact row_number per key for a total order.
 
-    Ordinary keys use the window function. Hot keys are range-partitioned by
-    (key, order) over the whole cluster; the partitioned rows are written once
-    so that counts and rows see the same ranges, and each row adds the sizes of
-    the earlier ranges of its key to its local position.
+    ``bin`` is a number that never falls along the order. Rows are numbered inside their
+    (key, bin); each adds the sizes of the earlier bins of its key. Both steps read the
+    same exchange, so the input runs once, and a key of any size spreads over its bins.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    cold, hot = split_hot(df, keys, max_rows)
-    ranked = cold.withColumn(out, F.row_number().over(window).cast("bigint"))
-    if hot is None:
-        return ranked
-    ranges = cut_lineage(
-        hot.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(
-            "_range", F.spark_partition_id()
-        )
+    rows = df.withColumn("_bin", bin)
+    inside = Window.partitionBy(*keys, "_bin")
+    numbered = rows.withColumn("_place", F.row_number().over(inside.orderBy(*order)))
+    numbered = numbered.withColumn("_size", F.count(F.lit(1)).over(inside))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_key{i}" for i, k in enumerate([*keys, "_bin"])}
+    bins = numbered.where(F.col("_place") == 1).select(
+        *[F.col(k).alias(n) for k, n in names.items()],
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
     )
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranges.groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    split = (
-        ranges.withColumn("_local", local)
-        .join(offsets, [*keys, "_range"])
-        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
-        .drop("_local", "_offset", "_range")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return (
+        numbered.join(bins, same)
+        .withColumn(out, (F.col("_place") + F.col("_offset")).cast("bigint"))
+        .drop("_place", "_size", "_offset", "_bin", *names.values())
     )
-    return ranked.unionByName(split)
 
 
 def previous_and_running_max(

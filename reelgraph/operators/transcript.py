@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph import config
@@ -120,13 +120,20 @@ def section_ranges(sections: DataFrame, sentences: DataFrame) -> DataFrame:
 def section_texts(
     sections: DataFrame, sentences: DataFrame, part_rows: int = config.PART_ROWS
 ) -> DataFrame:
-    """Text of each section's sentences in order, in parts (see ``ordered_parts``)."""
+    """Text of each section's sentences in order, in parts (see ``ordered_parts``).
+
+    A part after the first begins with the separator, so parts concatenate to the whole.
+    """
     rows = sentences_of_sections(sections, sentences).withColumn(
         "text", text.collapse_ws("text")
     )
-    return ordered_parts(
+    parts = ordered_parts(
         rows.where(F.col("text") != ""), SECTION, "place", F.col("text"), " ", "text", part_rows
     )
+    first = F.min("part_no").over(Window.partitionBy(*SECTION))
+    return parts.withColumn("_first", first).withColumn(
+        "text", F.when(F.col("part_no") > F.col("_first"), F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
+    ).drop("_first")
 
 
 def validate_sections(

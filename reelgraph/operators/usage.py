@@ -16,12 +16,26 @@ FEATURES = (config.FEATURE_TRANSCRIPT, config.FEATURE_KEYFRAMES, config.FEATURE_
 
 
 def _first_count(response: Column, keys: tuple[str, ...]) -> Column:
-    """First value readable as a number, cut to an integer, not below 0."""
-    readable = [
-        F.get_json_object(response, f"$.usage.{key}").try_cast("double").try_cast("bigint")
-        for key in keys
-    ]
-    found = F.coalesce(*readable)
+    """First value readable as a whole number, not below 0.
+
+    The JSON kind decides: numbers are cut, text must be a whole number, booleans are
+    0 or 1; anything else leaves the choice to the next key.
+    """
+    parsed = F.try_parse_json(response)
+
+    def readable(key: str) -> Column:
+        value = F.try_variant_get(parsed, f"$.usage.{key}", "variant")
+        shown = F.get_json_object(response, f"$.usage.{key}")
+        kind = F.schema_of_variant(value)
+        whole = F.when(shown.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(shown).try_cast("bigint"))
+        return (
+            F.when(kind == "STRING", whole)
+            .when(kind == "BOOLEAN", (shown == "true").cast("bigint"))
+            .when(kind == "BIGINT", shown.try_cast("bigint"))
+            .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), shown.try_cast("decimal(38,18)").try_cast("bigint"))
+        )
+
+    found = F.coalesce(*[readable(key) for key in keys])
     return F.when(found.isNotNull(), F.greatest(F.lit(0).cast("bigint"), found))
 
 

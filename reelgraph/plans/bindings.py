@@ -21,7 +21,6 @@ SECTION_MS = 5 * DAY_MS
 PAD_MS = 6 * HOUR_MS
 BUCKET_MS = DAY_MS
 CHUNK_MS = 400 * DAY_MS
-EMBEDDING_COUNT = 500
 HAND_LABEL = "red plate"
 SYNONYMS = {**config.LABEL_SYNONYMS, HAND_LABEL: "hand"}
 IMAGE_WIDTH, IMAGE_HEIGHT = 960, 540
@@ -67,8 +66,10 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """Attach a vector per frame: it stands for the histogram and the hash block."""
-    vec_id = (F.col("video_id") * 7 + F.col("frame_id") % 5) % EMBEDDING_COUNT
-    vecs = table(spark, sf_dir, "embeddings").select(
+    embeddings = table(spark, sf_dir, "embeddings")
+    count = embeddings.agg(F.count(F.lit(1))).scalar()
+    vec_id = (F.col("video_id") * 7 + F.col("frame_id") % 5) % count
+    vecs = embeddings.select(
         "vec_id",
         vectors.centered_unit(F.col("embedding")).alias("unit_histogram"),
         vectors.pack64(F.col("embedding")).alias("phash"),
@@ -212,6 +213,13 @@ def usage_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","usage":{"'), name, F.lit('":"'), tokens,
         F.lit('","completion_tokens":'), number.cast("string"), F.lit("}}"),
     )
+    # A quoted decimal is no count, the next key is; a boolean counts as 0 or 1.
+    odd = F.concat(
+        F.lit('{"model":"'), F.when(event_id % 3 == 0, F.lit("m1")).otherwise(F.lit("")),
+        F.lit('","usage":{"prompt_tokens":"'), tokens, F.lit('.5","input_tokens":'),
+        (event_id % 11).cast("string"), F.lit(',"completion_tokens":true}}'),
+    )
+    usage = F.when(event_id % 7 == 0, odd).otherwise(usage)
     return (
         table(spark, sf_dir, "events")
         .where(kind.isin("signup", "purchase"))

@@ -94,7 +94,7 @@ cte(
     "usable",
     """
 SELECT i.video_id, i.section_index, i.frame_id, i.timestamp_ms, g.quality_score,
-       (i.video_id * 7 + i.frame_id % 5) % 500 AS vec_id
+       (i.video_id * 7 + i.frame_id % 5) % (SELECT count(*) FROM embeddings) AS vec_id
 FROM in_window i JOIN gated g USING (frame_id) WHERE g.passed
 """,
     "in_window",
@@ -269,10 +269,11 @@ SELECT CAST(event_id AS VARCHAR) AS id, user_id AS video_id, event_id,
        NOT (event_type = 'signup' AND event_id % 2 = 0) AS has_usage,
        CASE event_id % 4 WHEN 0 THEN 'transcript' WHEN 1 THEN 'keyframes'
                          WHEN 2 THEN 'markdown' ELSE 'full' END AS mode,
-       CASE WHEN NOT (event_type = 'signup' AND event_id % 2 = 0) AND event_id % 5 < 4
-            THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS prompt_tokens,
-       CASE WHEN NOT (event_type = 'signup' AND event_id % 2 = 0)
-            THEN event_id % 5 ELSE 0 END AS completion_tokens
+       CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 0
+            WHEN event_id % 7 = 0 THEN event_id % 11
+            WHEN event_id % 5 < 4 THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS prompt_tokens,
+       CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 0
+            WHEN event_id % 7 = 0 THEN 1 ELSE event_id % 5 END AS completion_tokens
 FROM events WHERE event_type IN ('signup', 'purchase')
 """,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -17,12 +19,21 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session."""
-    for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+    """The one setting that results depend on; what a job tunes stays the caller's."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to executors that do not have it on their path."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="reelgraph-ship-"), "reelgraph"), "zip",
+        os.path.dirname(package), os.path.basename(package),
+    )
+    spark.sparkContext.addPyFile(archive)
+
+
 def local_session(cpus: int | str = "*", app: str = "reelgraph", **extra: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -49,14 +49,18 @@ def parse_artifacts(documents: DataFrame, schema: T.StructType) -> tuple[DataFra
 def read_artifacts(
     spark: SparkSession, path: str, schema: T.StructType
 ) -> tuple[DataFrame, DataFrame]:
-    """One JSON document per video below ``path``; corrupt ones come apart.
+    """One JSON document per video below ``path``; corrupt and empty ones come apart.
 
-    Spark's text reader gives no row for a file of zero bytes.
+    Spark's text reader gives no row for a file of zero bytes: those come from the listing.
     """
     documents = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), VIDEO_IN_PATH, 1).alias("video_id"), "value"
     )
-    return parse_artifacts(documents, schema)
+    listing = spark.read.format("binaryFile").load(path).where("length = 0")
+    empty = listing.select(
+        F.regexp_extract("path", VIDEO_IN_PATH, 1).alias("video_id"), F.lit("").alias("value")
+    )
+    return parse_artifacts(documents.unionByName(empty), schema)
 
 
 def write_artifacts(df: DataFrame, path: str, kind: str, fmt: str = "json") -> None:
@@ -78,10 +82,14 @@ def write_artifacts(df: DataFrame, path: str, kind: str, fmt: str = "json") -> N
 
 
 def replace_frames(
-    spark: SparkSession, frames: DataFrame, path: str, buckets: int = FRAME_BUCKETS
+    spark: SparkSession, frames: DataFrame, path: str, buckets: int = FRAME_BUCKETS,
+    videos: DataFrame | None = None,
 ) -> None:
     """Replace all frames of the given videos, and of no other video.
 
+    ``videos`` (video_id) names videos that lose their old frames even if ``frames`` has
+    none for them.
+
     The table is partitioned by a hash bucket of the video. Touched buckets are
     rewritten as old rows of other videos plus the new rows; other buckets are
     not read or written.
@@ -90,14 +98,22 @@ def replace_frames(
     new = frames.withColumn("bucket", bucket)
     out = new
     if _exists(spark, path):
-        ids = new.select("video_id", "bucket").distinct()
+        ids = new.select("video_id", "bucket")
+        if videos is not None:
+            ids = ids.union(videos.select("video_id").withColumn("bucket", bucket))
+        ids = ids.distinct()
         touched = ids.select("bucket").distinct()
         kept = (
             spark.read.parquet(path)
             .join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
             .join(ids.select("video_id"), "video_id", "left_anti")
         )
-        out = new.unionByName(cut_lineage(kept))
+        kept = cut_lineage(kept)
+        out = new.unionByName(kept)
+        # A bucket without rows is not overwritten: at most ``buckets`` numbers.
+        left = out.select("bucket").distinct()
+        for row in touched.join(left, "bucket", "left_anti").collect():
+            _remove(spark, f"{path.rstrip('/')}/bucket={row['bucket']}")
     (
         out.repartition("bucket")
         .write.mode("overwrite")
@@ -107,6 +123,11 @@ def replace_frames(
     )
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -46,7 +47,7 @@ def read_frame_images(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
             .option("recursiveFileLookup", True)
             .load(root)
         )
-        key = F.regexp_replace("image.origin", "^.*?" + root.rstrip("/") + "/", "")
+        key = F.regexp_replace("image.origin", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
         part = images.select(key.alias("object_key"), F.lit(priority).alias("_root"), "image")
         found = part if found is None else found.unionByName(part)
     if len(roots) == 1:

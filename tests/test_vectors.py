@@ -19,6 +19,7 @@ from reelgraph.operators import (
     scoring,
     timestamps,
     transcript,
+    usage,
 )
 from reelgraph.sources import artifacts, images
 from reelgraph.streaming import jobs
@@ -177,7 +178,7 @@ def test_section_range_comes_from_sentences(spark):
     assert tuple(transcript.section_ranges(sections, sentences).first())[2:] == (0.0, 4.0)
     assert transcript.section_texts(sections, sentences).first().text == "a b c d"
     parts = transcript.section_texts(sections, sentences, part_rows=2).orderBy("part_no").collect()
-    assert [p.text for p in parts] == ["a b c", "d"]
+    assert [p.text for p in parts] == ["a b c", " d"]
 
 
 @pytest.mark.parametrize(
@@ -317,6 +318,26 @@ def test_name_clash_gets_position(spark, rows):
     ]
 
 
+def test_name_clashes_follow_each_other(spark, rows):
+    keys = [("a/x.jpg", 0), ("b/x.jpg", 3), ("c/x_003.jpg", 5), ("d/x_003_005.jpg", 9), ("e/y.jpg", 10)]
+    entries = spark.createDataFrame(
+        [("v", k, p) for k, p in keys], "video_id string, object_key string, position int"
+    )
+    assert rows(documents.unique_names(entries), "object_key", "local_name") == [
+        ("a/x.jpg", "x.jpg"), ("b/x.jpg", "x_003.jpg"), ("c/x_003.jpg", "x_003_005.jpg"),
+        ("d/x_003_005.jpg", "x_003_005_009.jpg"), ("e/y.jpg", "y.jpg"),
+    ]
+
+
+def test_token_counts_by_json_kind(spark):
+    odd = '{"usage":{"prompt_tokens":"3.7","input_tokens":9,"completion_tokens":true}}'
+    big = '{"usage":{"prompt_tokens":9007199254740993,"completion_tokens":2.9,"total_tokens":" 7 "}}'
+    none = '{"usage":{"prompt_tokens":null,"completion_tokens":[1]}}'
+    df = spark.createDataFrame([(0, odd), (1, big), (2, none), (3, "{")], "i int, r string")
+    got = df.select("i", *[c.alias(n) for n, c in usage.usage_tokens("r").items()]).orderBy("i").collect()
+    assert [tuple(g)[1:] for g in got] == [(9, 1, 10), (9007199254740993, 2, 7), (0, 0, 0), (0, 0, 0)]
+
+
 def catalogue_rows(spark):
     names = ["uploaded", "queued", "processing", "completed", "completed_with_warnings",
              "failed", "deleting"]
