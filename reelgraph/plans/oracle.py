@@ -889,3 +889,13 @@ SELECT frame_id, blur_score FROM frames WHERE frame_id IN (SELECT frame_id FROM
         ),
     },
 )
+SQL["replaced_frames"] = with_ctes(
+    """
+SELECT video_id, frame_id, timestamp_ms FROM frames
+WHERE video_id % 7 > 0 AND (video_id % 3 > 0 OR frame_id % 2 = 0)
+""",
+    "frames",
+)
+SQL["artifact_tables"] = """
+SELECT doc_id AS video_id, lang, md5(text) AS text_md5 FROM documents
+"""

@@ -958,3 +958,26 @@ def parse_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(parsed.ranked.select(
         *scoring.PAIR, "graph_id", "score", "rank", "matched", "missing", "negative_hits"
     ), 6)
+
+
+@query
+def replaced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame table written, then partly replaced: some videos anew, some cleared."""
+    path = f"{_run_dir(spark, 'frames')}/frames"
+    stored = b.frames(spark, sf_dir).select("video_id", "frame_id", "timestamp_ms")
+    artifacts.replace_frames(spark, stored, path)
+    fresh = stored.where("video_id % 3 = 0 AND video_id % 7 > 0 AND frame_id % 2 = 0")
+    told = stored.where("video_id % 3 = 0 OR video_id % 7 = 0").select("video_id").distinct()
+    artifacts.replace_frames(spark, fresh, path, videos=told)
+    return spark.read.parquet(path).select("video_id", "frame_id", "timestamp_ms")
+
+
+@query
+def artifact_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as artifacts of a kind and read back."""
+    path = _run_dir(spark, "artifacts")
+    docs = b.table(spark, sf_dir, "documents")
+    tree = docs.select(F.col("doc_id").alias("video_id"), "lang", "text")
+    artifacts.write_artifacts(tree, path, "transcript_tree")
+    read = spark.read.schema(tree.schema).json(f"{path}/kind=transcript_tree")
+    return read.select("video_id", "lang", F.md5("text").alias("text_md5"))

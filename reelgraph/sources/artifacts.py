@@ -51,15 +51,13 @@ def read_artifacts(
 ) -> tuple[DataFrame, DataFrame]:
     """One JSON document per video below ``path``; corrupt and empty ones come apart.
 
-    Spark's text reader gives no row for a file of zero bytes: those come from the listing.
+    Spark's readers skip files of zero bytes: those come from the listing.
     """
     documents = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), VIDEO_IN_PATH, 1).alias("video_id"), "value"
     )
-    listing = spark.read.format("binaryFile").load(path).where("length = 0")
-    empty = listing.select(
-        F.regexp_extract("path", VIDEO_IN_PATH, 1).alias("video_id"), F.lit("").alias("value")
-    )
+    empty = spark.createDataFrame([(p, "") for p in _empty_files(spark, path)], "path string, value string")
+    empty = empty.select(F.regexp_extract("path", VIDEO_IN_PATH, 1).alias("video_id"), "value")
     return parse_artifacts(documents.unionByName(empty), schema)
 
 
@@ -123,6 +121,12 @@ def replace_frames(
     )
 
 
+def _empty_files(spark: SparkSession, pattern: str) -> list[str]:
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return [s.getPath().toString() for s in found or () if s.isFile() and s.getLen() == 0]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

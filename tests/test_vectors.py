@@ -459,19 +459,22 @@ def test_replace_frames_touches_given_videos_only(spark, rows, tmp_path):
     )
     artifacts.replace_frames(spark, spark.createDataFrame([("a", 9)], schema), path, buckets=2)
     assert rows(spark.read.parquet(path), "video_id", "frame_id") == [("a", 9), ("b", 3)]
+    gone = spark.createDataFrame([("a",), ("c",)], "video_id string")
+    artifacts.replace_frames(spark, spark.createDataFrame([("d", 4)], schema), path, buckets=2, videos=gone)
+    assert rows(spark.read.parquet(path), "video_id", "frame_id") == [("b", 3), ("d", 4)]
 
 
 def test_artifacts_round_trip(spark, rows, tmp_path):
     from pyspark.sql import types as T
 
-    for video, body in (("v1", '{"title":"x"}'), ("v2", "{oops"), ("v3", " \n")):
+    for video, body in (("v1", '{"title":"x"}'), ("v2", "{oops"), ("v3", " \n"), ("v4", "")):
         folder = tmp_path / "videos" / video / "transcript"
         folder.mkdir(parents=True)
         (folder / "transcript_tree.json").write_text(body)
     schema = T.StructType([T.StructField("title", T.StringType())])
     good, bad = artifacts.read_artifacts(spark, f"{tmp_path}/videos/*/transcript/*.json", schema)
     assert rows(good) == [("v1", "x")]
-    assert rows(bad) == [("v2", "corrupt"), ("v3", "empty")]
+    assert rows(bad) == [("v2", "corrupt"), ("v3", "empty"), ("v4", "empty")]
     artifacts.write_artifacts(good, str(tmp_path / "out"), "tree")
     assert rows(spark.read.json(str(tmp_path / "out" / "kind=tree")), "video_id") == [("v1",)]
 
