@@ -52,6 +52,15 @@ class Shared:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows that a scan meets, as a small table.
+
+    Spark reads partition after partition until it has enough, where a limit inside a plan
+    would bring ``n`` rows of every partition to one task.
+    """
+    return df.sparkSession.createDataFrame(df.limit(n).collect(), df.schema)
+
+
 def words_column(text) -> F.Column:
     """Words of a text; none for null or for white space only."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE)

@@ -22,9 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgraph.llm.common import WORD_CHAR, words_column
+from reelgraph.llm.common import WORD_CHAR, first_rows, words_column
 
-#: Rows of the sample from which cost and selectivity of the rules are estimated.
+#: Rows of the sample from which cost and selectivity of the rules are estimated: the
+#: first that a scan meets. They pass through the driver.
 SAMPLE_ROWS = 1_000
 
 #: Runs of characters that are no symbols.
@@ -158,7 +159,7 @@ def _with_words(docs: DataFrame, text: str) -> DataFrame:
 
 def best_order(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str = "text",
                sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    sample = _with_words(docs.select(text).limit(sample_rows), text)
+    sample = _with_words(first_rows(docs.select(text), sample_rows), text)
     return order_rules(sample, rules, measure_columns(F.col(text), F.col("_words")))
 
 

@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelgraph.llm.common import first_rows
+
 # Patterns and least lengths of the base scan. A run of hex digits that is
 # too short is never a match of a longer one, so its length is part of the pattern.
 ASSIGN = (
@@ -44,8 +46,9 @@ IDENTIFIER = r"[A-Za-z][A-Za-z0-9_-]{7,}"
 KINDS = ("assign", "access", "hex", "random")
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
-#: Documents from which the models are trained: the first rows read, at most so many.
-SAMPLE_DOCS = 4_000
+#: Documents from which the models are trained: the first that a scan meets, at most so
+#: many. They pass through the driver.
+SAMPLE_DOCS = 2_000
 #: Log-likelihood ratio per transition above which a token counts as random.
 THRESHOLD = 0.5
 
@@ -113,7 +116,7 @@ def _cell(token: Column, i: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
     """Log-likelihood ratio of every transition, or None without samples of both kinds."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    sample = docs.select(whole.alias("_t")).limit(sample_docs)
+    sample = first_rows(docs.select(whole.alias("_t")), sample_docs)
     cut = F.col("_t")
     for pattern in (ASSIGN, ACCESS, HEX):
         cut = F.regexp_replace(cut, pattern, " ")
