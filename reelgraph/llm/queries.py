@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.llm import ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans, sharding, substring_dedup, topk, toxicity
 from reelgraph.llm.common import read_table
+from reelgraph.llm.oracle import SQL  # noqa: F401
 
 SHARDS = 8
 
@@ -121,4 +122,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_ngram_jaccard_join, op5_substring_dedup,
     )
 }
-SQL: dict[str, str] = {}
+

@@ -58,3 +58,12 @@ def test_empty_tables(spark, documents):
     docs = documents([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    from compare import connect, difference, spark_result, sql_result
+
+    got = spark_result(queries.QUERIES[name](spark, SF))
+    assert difference(got, sql_result(connect(SF), queries.SQL[name])) is None
