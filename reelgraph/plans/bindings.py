@@ -20,7 +20,7 @@ ORIGIN_MS = 1_704_067_200_000  # 2024-01-01T00:00:00Z, the start of ``events``
 SECTION_MS = 5 * DAY_MS
 PAD_MS = 6 * HOUR_MS
 BUCKET_MS = DAY_MS
-CHUNK_MS = 400 * DAY_MS
+CHUNK_MS = 10 * DAY_MS  # a third of the span of ``events``: folds cross chunk borders
 HAND_LABEL = "red plate"
 SYNONYMS = {**config.LABEL_SYNONYMS, HAND_LABEL: "hand"}
 IMAGE_WIDTH, IMAGE_HEIGHT = 960, 540
