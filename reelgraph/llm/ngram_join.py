@@ -47,7 +47,7 @@ from reelgraph.llm.word_scores import each_part
 #: Growth of size classes.
 GROWTH = 1.5
 #: Sets and n-grams in a block, on average.
-BLOCK_SETS = 96
+BLOCK_SETS = 256
 BLOCK_GRAMS = 1 << 19
 #: Distinct n-grams of one fragment while overlaps are counted.
 FRAGMENT = 4_096
@@ -288,7 +288,8 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
         "rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     )
     source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    grams = source.join(placed, "rep").mapInArrow(
+    # One kind of join at every size: the side that is not the text grows with it.
+    grams = source.join(placed.hint("merge"), "rep").mapInArrow(
         _gram_rows(n), "rep long, family long, blocks int, block int, grams binary"
     )
     # A block meets itself and every other one once: (smaller, larger).
