@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; of equal rows one."""
     groups = ngram_join.join(docs, SHINGLE, PERCENT)
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
+    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).hint("merge")
     named = docs.join(stays, F.col("doc_id") == F.col("_stays"), "left_semi")
     return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
