@@ -232,9 +232,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places")),
         "places",
     )
+    shared.drop("anchors")
+    shared.drop("recurring")
     stretches = shared.save(
-        source.join(places, ["doc_id", "digest"]).mapInArrow(_stretch_rows(window), STRETCHES), "stretches"
+        source.join(places.hint("merge"), ["doc_id", "digest"]).mapInArrow(_stretch_rows(window), STRETCHES), "stretches"
     )
+    shared.drop("places")
     distinct = shared.save(
         stretches.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")),
         "distinct",
@@ -254,7 +257,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         _locate(window), "anchor long, stretch binary, at array<long>, lows array<long>"
     )
     key = ["anchor", "stretch_key"]
-    located = found.select("anchor", F.xxhash64("stretch").alias("stretch_key"), "at", "lows")
+    located = shared.save(
+        found.select("anchor", F.xxhash64("stretch").alias("stretch_key"), "at", "lows"), "located"
+    )
+    shared.drop("distinct")
     places_of = stretches.select("doc_id", "digest", "anchor", F.xxhash64("stretch").alias("stretch_key"), "first")
     hits = places_of.join(located, key).select(
         "doc_id", "digest",
@@ -263,7 +269,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             lambda z: F.col("first") + z["at"],
         ).alias("starts"),
     ).where(F.size("starts") > 0)
-    return hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    ranges = shared.save(
+        hits.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts")), "ranges"
+    )
+    shared.drop("stretches")
+    shared.drop("located")
+    return ranges
 
 
 def _cut_rows(window: int, text_at: int, starts_at: int, names: list[str]):
@@ -300,7 +311,7 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     carried = docs.select(*[c for c in docs.columns if c not in added])
     ranges = repeated_ranges(docs.select("doc_id", "text"), window).select(
         F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("starts").alias("_starts")
-    )
+    ).hint("merge")
     joined = carried.join(
         ranges, (F.col("doc_id") == F.col("_doc")) & (_digest() == F.col("_digest")), "left"
     ).select(*carried.columns, "_starts")
