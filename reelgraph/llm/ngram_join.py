@@ -119,11 +119,12 @@ def fragments(c: int, percent: int) -> tuple[int, int]:
     both have more empty segments. The spare that gives the fewest keys is taken.
     """
     largest = low(c + 1) - 1
+    smallest = max(1, percent * low(c) // 100)  # Sets of the class below come this far.
     least = 2 * largest * (100 - percent) // (100 + percent) + 1
 
     def keys(spare: int) -> float:
         count = least + spare
-        mean = count * (1 - 1 / count) ** low(c)
+        mean = count * (1 - 1 / count) ** smallest
         if not mean:
             return count
         # Number of empty segments as a Poisson variable.
