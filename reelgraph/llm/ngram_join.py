@@ -151,51 +151,59 @@ def _cut(grams: np.ndarray, count: int, seed: int) -> tuple[np.ndarray, np.ndarr
     return sums[ends] - sums[ends - held], held == 0
 
 
-def segment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: one per class and segment; an empty segment gives those of a second cut."""
+def segment_keys(grams: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """Per class (need, keys): a key per segment, and how many of them any linked set shares.
+
+    Where more segments are empty than spared, those give the keys of a second cut.
+    """
+    out: list[tuple[int, np.ndarray]] = []
     if not len(grams):
-        return np.zeros(0, np.uint64)
-    out = []
+        return out
     for c in classes_of(len(grams), percent):
         count, spare = fragments(c, percent)
         sums, empty = _cut(grams, count, 1)
         names = (np.uint64(c) << np.uint64(40)) + np.arange(count, dtype=np.uint64)
-        out.append(mix(sums[~empty] + mix(names[~empty])))
+        keys, need = [mix(sums[~empty] + mix(names[~empty]))], max(1, spare + 1 - int(empty.sum()))
         if empty.sum() > spare:
             second, _ = _cut(grams, count, 2)
             inner = mix(second + mix(np.arange(count, dtype=np.uint64) + _STEP))
-            out.extend(mix(inner + name) for name in mix(names[empty] + _MIX))
-    return np.unique(np.concatenate(out))
+            keys.extend(mix(inner + name) for name in mix(names[empty] + _MIX))
+        out.append((need, np.unique(np.concatenate(keys))))
+    return out
 
 
 def describe(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, keys) of every row."""
+    """(doc_id, n_shingles, set_a, set_b, cuts) of every row; a cut is (need, keys)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         grams = Grams(n)
         for part in each_part(batches):
-            sizes, first, second, keys = [], [], [], []
+            sizes, first, second, cuts = [], [], [], []
             for content in part.column(1).to_pylist():
                 own = grams.of(content)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 sizes.append(len(own))
                 first.append(int.from_bytes(digest[:8], "little", signed=True))
                 second.append(int.from_bytes(digest[8:], "little", signed=True))
-                keys.append(segment_keys(own, percent).view(np.int64))
-            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                cuts.append(segment_keys(own, percent))
+            inner = [keys.view(np.int64) for own in cuts for _, keys in own]
+            flat = np.concatenate(inner) if inner else np.zeros(0, np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, inner)]), pa.int32()), pa.array(flat))
+            need = pa.array([need for own in cuts for need, _ in own], pa.int32())
+            pairs = pa.StructArray.from_arrays([need, keys], ["need", "keys"])
+            offsets = pa.array(np.cumsum([0, *map(len, cuts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()),
-                    pa.array(second, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(second, pa.int64()), pa.ListArray.from_arrays(offsets, pairs),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "cuts"],
             )
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
+        run, "doc_id long, n_shingles long, set_a long, set_b long, cuts array<struct<need:int,keys:array<long>>>"
     )
 
 
@@ -269,10 +277,22 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
     sets = shared.save(
         named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")), "sets"
     )
-    exploded = named.select(F.explode("keys").alias("key"), "set_a")
+    cut = named.select("set_a", F.posexplode("cuts").alias("cut", "of"))
+    exploded = cut.select("set_a", "cut", "of.need", F.explode("of.keys").alias("key"))
     shares = exploded.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
     shares = shares.where("low != high").select(F.col("key").alias("shared_key"), "low")
-    edges = exploded.join(shares, F.col("key") == F.col("shared_key")).select(
+    # A linked set shares more keys than a passage gives: sets with fewer go.
+    rows = shared.save(
+        exploded.join(shares.drop("low"), F.col("key") == F.col("shared_key"))
+        .select("set_a", "cut", "need", "key").distinct(),
+        "shared_keys",
+    )
+    enough = rows.groupBy("set_a", "cut").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    enough = enough.where("n >= need").select(F.col("set_a").alias("_set"), F.col("cut").alias("_cut"))
+    left = rows.join(enough, (F.col("set_a") == F.col("_set")) & (F.col("cut") == F.col("_cut")))
+    lows = left.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
+    lows = lows.where("low != high").select(F.col("key").alias("shared_key"), "low")
+    edges = left.join(lows, F.col("key") == F.col("shared_key")).select(
         F.col("set_a").alias("a"), F.col("low").alias("b")
     ).distinct()
     families = shared.save(connected(edges), "families")
