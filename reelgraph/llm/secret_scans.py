@@ -2,8 +2,8 @@
 
 Base spans come from three patterns. More are added by two first-order Markov models
 over characters, one of random strings and one of ordinary identifiers. They are trained
-on labelled samples: values that a base pattern caught are labelled random, long words of
-the same documents, without those values, ordinary. A token of ``TOKEN`` that touches no
+on all documents: values that a base pattern caught are labelled random, long words of
+the documents, without those values, ordinary. A token of ``TOKEN`` that touches no
 base span is a secret where the log-likelihood ratio per transition exceeds ``THRESHOLD``.
 
 Pairs of characters are cells of a 95 x 95 table of printable ASCII, so the models are one
@@ -12,7 +12,7 @@ reach the driver. Everything is built from SQL functions. Offsets are code point
 exclusive: a text is split at the matches, and lengths of pieces and matches are added up.
 
 Defined cases: a null text is empty and has no spans; texts are scanned whole; equal rows
-get equal spans; without labelled samples on either side nothing is added to the base
+get equal spans; without labelled values on either side nothing is added to the base
 spans; an empty table gives no rows; other columns are carried, those with a name that is
 added here are replaced.
 """
@@ -25,8 +25,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgraph.llm.common import first_rows
-
 # Patterns and least lengths of the base scan. A run of hex digits that is
 # too short is never a match of a longer one, so its length is part of the pattern.
 ASSIGN = (
@@ -46,9 +44,6 @@ IDENTIFIER = r"[A-Za-z][A-Za-z0-9_-]{7,}"
 KINDS = ("assign", "access", "hex", "random")
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
-#: Documents from which the models are trained: the first that a scan meets, at most so
-#: many. They pass through the driver.
-SAMPLE_DOCS = 2_000
 #: Log-likelihood ratio per transition above which a token counts as random.
 THRESHOLD = 0.5
 
@@ -113,10 +108,12 @@ def _cell(token: Column, i: Column) -> Column:
     return first * CELLS + F.ascii(F.substring(token, i + 1, F.lit(1))) - 32
 
 
-def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[float] | None:
-    """Log-likelihood ratio of every transition, or None without samples of both kinds."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    sample = first_rows(docs.select(whole.alias("_t")), sample_docs)
+def train(docs: DataFrame, text: str = "text") -> list[float] | None:
+    """Log-likelihood ratio of every transition, or None without values of both kinds.
+
+    Every document counts; equal rows count as often as they occur.
+    """
+    whole = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t"))
     cut = F.col("_t")
     for pattern in (ASSIGN, ACCESS, HEX):
         cut = F.regexp_replace(cut, pattern, " ")
@@ -125,18 +122,19 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
         F.filter(F.regexp_extract_all("_t", F.lit(ACCESS), F.lit(0)), lambda v: F.length(v) >= ACCESS_LEAST),
         F.regexp_extract_all("_t", F.lit(HEX), F.lit(0)),
     )
-    labelled = sample.select(F.explode(F.array(
+    labelled = whole.select(F.explode(F.array(
         F.struct(F.lit(1).alias("random"), values.alias("tokens")),
         F.struct(F.lit(0).alias("random"),
                  F.regexp_extract_all(cut, F.lit(IDENTIFIER), F.lit(0)).alias("tokens")),
     )).alias("s"))
-    tokens = labelled.select("s.random", F.explode("s.tokens").alias("token"))
-    pairs = tokens.select("random", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("token") - 1), lambda i: _cell(F.col("token"), i)
-    )).alias("cell"))
+    # Values are ASCII, so a pair is two bytes, which are found without a walk from the start.
+    tokens = labelled.select("s.random", F.explode(F.col("s.tokens").cast("array<binary>")).alias("token"))
+    pairs = tokens.select("random", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
+    pair = F.substring("token", F.col("i"), F.lit(2)).alias("pair")
     counts = ([0] * CELLS**2, [0] * CELLS**2)
-    for row in pairs.groupBy("random", "cell").agg(F.count(F.lit(1)).alias("n")).collect():
-        counts[row["random"]][row["cell"]] = row["n"]
+    for row in pairs.groupBy("random", pair).agg(F.count(F.lit(1)).alias("n")).collect():
+        first, second = row["pair"]
+        counts[row["random"]][(first - 32) * CELLS + second - 32] = row["n"]
     if not sum(counts[0]) or not sum(counts[1]):
         return None
     return _ratios(*counts)

@@ -331,6 +331,19 @@ def test_random_tokens_are_added_and_cut(documents):
     assert [r.text for r in secret_scans.redact(clean).orderBy("doc_id").collect()] == ["nothing here", None]
 
 
+def test_secret_models_learn_from_every_document(documents):
+    draw = np.random.default_rng(16)
+    hexes = ["".join(draw.choice(list("0123456789abcdef"), 40)) for _ in range(60)]
+    clean = [(i, "nothing here") for i in range(2100)]
+    late = [(3000 + i, " ".join(prose(i, 80)) + f" token={h} bajekilomudicefo") for i, h in enumerate(hexes)]
+    late.append((4000, "see 9f3a7c1e5b8d2f60a4c7-e1"))
+    docs = documents(clean + late)
+    ratios = secret_scans.train(docs)
+    assert ratios is not None and ratios == secret_scans.train(documents(late[::-1] + clean))
+    row = secret_scans.find(docs, ratios=ratios).where("doc_id = 4000").first()
+    assert [(s.start, s.kind) for s in row.spans] == [(4, 3)]
+
+
 # 8 ------------------------------------------------------------------------------
 
 
