@@ -209,6 +209,26 @@ def test_toxicity_on_held_out_rows(spark, documents):
     assert 0 <= got[400] < 0.5 and got[400] == got[401]
 
 
+def test_toxicity_weighs_every_gram(spark, documents):
+    rows = [(100 + i, " ".join(prose(i, 30)) + (" mild" * (6 if i % 2 else 2)), i % 2) for i in range(200)]
+    keyed = spark.createDataFrame(rows, "key long, text string, label int")
+    docs = documents([(1, " ".join(["mild"] * 20)), (2, "")])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(keyed)).collect()}
+    assert got[1] > got[2]
+
+
+def test_toxicity_backs_off_in_one_class(spark):
+    grams = spark.createDataFrame(
+        [("^^^^^a", 5, 5), ("^^^^^z", 5, 0), ("^^^^za", 4, 0), ("^^^^zb", 1, 0), ("^^^^aa", 0, 5), ("^^^^ab", 5, 0)],
+        "gram string, toxic long, ordinary long",
+    )
+    ratios = {r.gram: r.ratio for r in toxicity.gram_ratios(grams).collect()}
+    assert len(ratios) == 6 and ratios["^^^^za"] > 0 > ratios["^^^^aa"]
+    # Lower orders: a and b follow z and a alike, so the class that knows "^^^^z" tells them apart.
+    others = {r.gram: r.ratio for r in toxicity.context_ratios(grams).collect()}
+    assert set(others) == {"^^^^z"} and others["^^^^z"] == pytest.approx(np.log(0.75 * 2 / 5))
+
+
 def test_toxicity_without_labels(spark, documents):
     docs = documents([(1, "some text"), (2, None)])
     none = docs.select(F.col("doc_id").alias("key"), "text", F.lit(1).alias("label")).limit(0)
