@@ -10,8 +10,9 @@ bounds and search ends at the first that cannot beat the k-th score; at an equal
 node is still entered if it holds an id small enough to win the tie. Scores are exact
 integers, so the answer is that of comparing all pairs.
 
-The query set grows with the table, so blocks meet shards by a join on both numbers:
-``queries x shards`` rows, never queries times vectors.
+The query set grows with the table. Queries are sent to every shard, ``queries x shards``
+rows, never queries times vectors, and stream past its tree: a task holds the vectors of one
+shard and one Arrow batch of queries.
 
 Defined cases: a vector that is null, holds a null or a non-finite component, or whose
 scores could leave 63 bits takes no part, nor does a row with a null id; vectors of
@@ -24,9 +25,10 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +134,86 @@ class BallTree:
         return best
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], bool, pa.RecordBatch]]:
+    """Slices of a batch with equal shard, dims and asks."""
+    marks = np.stack([batch.column(c).cast(pa.int32()).to_numpy() for c in ("shard", "dims", "asks")])
+    cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        if last > first:
+            shard, dims, asks = marks[:, first].tolist()
+            yield (shard, dims), bool(asks), batch.slice(first, last - first)
+
+
+def _vectors(rows: pa.RecordBatch, dims: int) -> np.ndarray:
+    return rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows.num_rows, dims)
+
+
+def _search_shards(k: int):
+    """Over rows sorted by (shard, dims, asks): the vectors of a shard, then its queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, ids, tree = None, [], [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for place, asks, rows in _runs(batch):
+                if place != here:
+                    here, parts, ids, tree = place, [], [], None
+                if not asks:
+                    parts.append(_vectors(rows, place[1]))
+                    ids.append(rows.column("id").to_numpy())
+                    continue
+                if tree is None:
+                    if not parts:
+                        continue
+                    tree = BallTree(np.concatenate(parts), np.concatenate(ids))
+                    parts, ids = [parts[0][:0]], [ids[0][:0]]
+                for first in range(0, rows.num_rows, 256):
+                    part = rows.slice(first, 256)
+                    q = _vectors(part, place[1])
+                    bounds = tree.bounds(q)
+                    asked = zip(*[part.column(c).to_pylist() for c in ("id", "row", "kth", "kth_id")], strict=True)
+                    for i, (own, row, kth, kth_id) in enumerate(asked):
+                        for score, minus in tree.search(q[i], own, bounds[i], k, (kth, -kth_id)):
+                            out.append((own, row, -minus, score))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_row", "vec_id", "score"]
+            )
+
+    return run
+
+
+def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: tuple[int, int]) -> list:
+        """The k best (score, -id) that beat or equal ``floor``, found from the best node on."""
+        best: list[tuple[int, int]] = []
+        q = query.astype(np.float64) if self.exact is not None else query
+        heap = [(-bound[0], 0)]
+        while heap:
+            up, node = heapq.heappop(heap)
+            limit = best[0] if len(best) == k else floor
+            limit = max(limit, floor)
+            if -up < limit[0]:
+                break
+            if -up == limit[0] and -int(self.least[node]) < limit[1]:
+                continue
+            pair = self.children[node]
+            if pair:
+                for child in pair:
+                    heapq.heappush(heap, (-bound[child], child))
+                continue
+            first, last = self.spans[node]
+            table = self.exact if self.exact is not None else self.vectors
+            scores = (table[first:last] @ q).astype(np.int64)
+            for i in np.flatnonzero(scores >= limit[0]).tolist():
+                found = (int(scores[i]), -int(self.ids[first + i]))
+                if found[1] == -own or found < floor:
+                    continue
+                if len(best) < k:
+                    heapq.heappush(best, found)
+                elif found > best[0]:
+                    heapq.heapreplace(best, found)
+        return best
+
+
 def _search_shard(k: int):
     def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -168,11 +250,17 @@ def search(vectors: DataFrame, k: int, is_query, vec_id: str = "vec_id", vector:
     )
 
     def meet(asked: DataFrame) -> DataFrame:
-        return (
-            table.groupBy("shard", "dims")
-            .cogroup(asked.groupBy("shard", "dims"))
-            .applyInPandas(_search_shard(k), FOUND)
+        unset = F.lit(None).cast("long")
+        held = table.select(
+            "shard", "dims", F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v",
+            unset.alias("row"), unset.alias("kth"), unset.alias("kth_id"),
+        )
+        asking = asked.select(
+            "shard", "dims", F.lit(True).alias("asks"), F.col("own").alias("id"), F.col("q").alias("v"),
+            F.col("asked").alias("row"), "kth", "kth_id",
         )
+        dealt = held.unionByName(asking).repartition("shard", "dims")
+        return dealt.sortWithinPartitions("shard", "dims", "asks").mapInArrow(_search_shards(k), FOUND)
 
     own_shard = F.pmod("block", F.lit(shards)).cast("int")
     start = queries.select(

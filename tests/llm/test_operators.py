@@ -166,6 +166,33 @@ def test_top_k_equals_all_pairs(spark):
         assert sorted(own) == [(k + 1, int(i), int(scores[i])) for k, i in enumerate(order)]
 
 
+def test_top_k_streams_queries_past_a_shard():
+    import pyarrow as pa
+
+    def batch(asks, ids):
+        n = len(ids)
+        return pa.RecordBatch.from_pydict({
+            "shard": pa.array([0] * n, pa.int32()), "dims": pa.array([2] * n, pa.int32()), "asks": [asks] * n,
+            "id": ids, "v": [[i, 1] for i in ids], "row": ids, "kth": [-10**9] * n, "kth_id": [10**9] * n,
+        })
+
+    taken = []
+
+    def batches():
+        yield batch(False, list(range(8)))
+        for first in range(0, 8, 2):
+            taken.append(first)
+            yield batch(True, [first, first + 1])
+
+    rows, seen = [], []
+    for out in topk._search_shards(1)(batches()):
+        if out.num_rows:
+            seen.append(len(taken))
+            rows += out.to_pylist()
+    assert seen == [1, 2, 3, 4]  # Answers leave before later queries are read.
+    assert {r["query_id"]: r["vec_id"] for r in rows} == {0: 1, **{i: 7 for i in range(1, 7)}, 7: 6}
+
+
 def test_top_k_with_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (7, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in topk.search(one, 5, lambda i: i == 0).collect()] == [(0, 7)]
