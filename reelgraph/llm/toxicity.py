@@ -117,7 +117,7 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
             table = table.withColumn("lower", 1 / (F.col("kinds") + 1))
         else:
             table = table.withColumn("_tail", F.expr("substring(gram, 2)")).join(
-                below.select(F.col("gram").alias("_tail"), F.col("shared").alias("lower")), "_tail"
+                below.select(F.col("gram").alias("_tail"), F.col("shared").alias("lower")).hint("merge"), "_tail"
             )
         below = table.select("gram", (
             (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("lower"))
@@ -137,11 +137,11 @@ def _weights() -> tuple:
     return (*[F.when(both, F.greatest(*own)).otherwise(w) for w in own], both)
 
 
-def gram_ratios(grams: DataFrame) -> DataFrame:
+def gram_ratios(grams: DataFrame, lower: DataFrame | None = None) -> DataFrame:
     """(gram, ratio): log-likelihood ratio of every n-gram that a class holds."""
     same = Window.partitionBy(_context())
-    lower = shared_backoff(grams).withColumnRenamed("gram", "_tail")
-    table = grams.withColumn("_tail", F.expr("substring(gram, 2)")).join(lower, "_tail")
+    lower = (shared_backoff(grams) if lower is None else lower).withColumnRenamed("gram", "_tail")
+    table = grams.withColumn("_tail", F.expr("substring(gram, 2)")).join(lower.hint("merge"), "_tail").drop("_tail")
     for c in ("toxic", "ordinary"):
         table = table.withColumn(f"{c}_total", F.sum(c).over(same))
         table = table.withColumn(f"{c}_kinds", F.count_if(F.col(c) > 0).over(same))
@@ -168,9 +168,18 @@ def context_ratios(grams: DataFrame) -> DataFrame:
     return table.where(~both).select("gram", F.ln(toxic / ordinary).alias("ratio"))
 
 
-def _ratios(grams: DataFrame) -> Ratios:
-    rows = gram_ratios(grams).unionByName(context_ratios(grams))
-    table = rows.select(F.xxhash64("gram").alias("hash"), F.col("ratio").cast("float").alias("ratio")).toArrow()
+def _hashed(ratios: DataFrame) -> DataFrame:
+    return ratios.select(F.xxhash64("gram").alias("hash"), F.col("ratio").cast("float").alias("ratio"))
+
+
+def _ratios(grams: DataFrame, shared: Shared) -> Ratios:
+    """Steps are written one by one, so that no two keep their shuffle files at a time."""
+    lower = shared.save(shared_backoff(grams), "lower")
+    held = shared.save(_hashed(gram_ratios(grams, lower)), "held")
+    unheld = shared.save(_hashed(context_ratios(grams)), "unheld")
+    table = held.unionByName(unheld).toArrow()
+    for name in ("lower", "held", "unheld"):
+        shared.drop(name)
     hashes, values = table["hash"].to_numpy(), table["ratio"].to_numpy()
     order = np.argsort(hashes)
     return Ratios(hashes[order], values[order])
@@ -251,7 +260,7 @@ def train(labelled: DataFrame) -> Model:
     )
     held = F.pmod(F.xxhash64("key"), F.lit(CALIBRATION)) == 0
     grams = shared.save(gram_counts(rows.where(~held)), "grams")
-    ratios = _ratios(grams)
+    ratios = _ratios(grams, shared)
     texts = rows.where(held)
     values = _evidence(texts.withColumn("packed", F.col("key") * 2 + F.col("label")), "packed", ratios)
     bins = [F.round(F.col(c) / w).alias(c) for c, w in zip(("whole", "high"), BINS, strict=True)]
