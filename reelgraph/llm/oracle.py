@@ -9,6 +9,9 @@ words AS (
   FROM documents
 )"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL = {
     "op1_quality_rules": "WITH" + _WORDS.format(text="text") + r""",
 grams AS (
@@ -82,5 +85,93 @@ sets AS (
 )
 SELECT doc_id, len(s) AS n_shingles, component_id
 FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+""",
+    "op11_benchmark_decontamination": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_TERMS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), pieces AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+), places AS (
+  SELECT r, k, s, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM pieces) WHERE len(w) >= k)
+), hits AS (
+  SELECT r, s, k, item_id FROM places JOIN pieces USING (k, phrase)
+), covered AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS place FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""",
+    "op12_ranked_lexical_search": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE doc_id IS NOT NULL
+), total AS (
+  SELECT count(*) AS n_docs, sum(len(w)) AS n_all FROM d WHERE len(w) > 0
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), total
+), asked AS (
+  SELECT item_id, term, count(*) AS repeats
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY item_id, term
+), scored AS (
+  SELECT item_id, r, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN d USING (r), total GROUP BY item_id, r
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+FROM scored JOIN d USING (r) WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER best <= 20
+""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE crc_step AS (
+  SELECT i AS byte, 0 AS bit, CAST(i AS UBIGINT) AS c FROM range(256) t(i)
+  UNION ALL
+  SELECT byte, bit + 1, CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS UBIGINT), c >> 1) ELSE c >> 1 END FROM crc_step WHERE bit < 8
+), crc_table AS (
+  SELECT list(c ORDER BY byte) AS t FROM crc_step WHERE bit = 8
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 6 GROUP BY doc_id, run
+), coded AS (
+  SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs
+), marked AS (
+  SELECT run, n, xor(list_reduce(
+    list_transform(range(0, length(h) // 2), lambda k: CAST(('0x' || substr(h, 2 * k + 1, 2)) AS UBIGINT)),
+    lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) AS mark
+  FROM coded, crc_table
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN mark % 199 = 0 THEN substr(run, 1, CAST(mark % length(run) AS BIGINT)) || substr(run, CAST(mark % length(run) AS BIGINT) + 2)
+      ELSE run END AS word FROM marked)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gaps AS (
+  SELECT word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda k: substr(word, 1, k - 1) || substr(word, k + 1)), word))) AS gap
+  FROM words
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n
+  FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word AND levenshtein(a.word, b.word) = 1
+), tops AS (
+  SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS top_n FROM near GROUP BY word
+), forms AS (
+  SELECT word, min(other) AS form, any_value(top_n) AS form_n
+  FROM tops JOIN near USING (word) WHERE other_n = top_n AND top_n >= 5 * tops.n GROUP BY word
+), chain AS (
+  SELECT word AS start, word AS here FROM words
+  UNION ALL SELECT start, form FROM chain JOIN forms ON forms.word = chain.here
+)
+SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words JOIN (SELECT start AS word, here AS root FROM chain WHERE here NOT IN (SELECT word FROM forms)) USING (word)
+LEFT JOIN (SELECT word, n_near FROM tops) USING (word) LEFT JOIN forms USING (word)
 """,
 }

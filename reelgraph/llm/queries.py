@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.llm import ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans, sharding, substring_dedup, topk, toxicity
+from reelgraph.llm import (
+    decontaminate, lexical_rank, ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans,
+    sharding, spelling, substring_dedup, topk, toxicity,
+)
 from reelgraph.llm.common import read_table
 from reelgraph.llm.oracle import SQL  # noqa: F401
 
@@ -115,11 +118,29 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules, op2_best_fit_packing, op6_piece_encoding, op7_secret_scans,
         op8_hash_tree_sharding, op3_exact_top_k, op4_toxicity, op9_quality_classifier,
-        op10_ngram_jaccard_join, op5_substring_dedup,
+        op10_ngram_jaccard_join, op5_substring_dedup, op11_benchmark_decontamination,
+        op12_ranked_lexical_search, op13_spelling_variants,
     )
 }
-
