@@ -156,11 +156,11 @@ WITH RECURSIVE crc_step AS (
       ELSE run END AS word FROM marked)
   WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
 ), gaps AS (
-  SELECT word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda k: substr(word, 1, k - 1) || substr(word, k + 1)), word))) AS gap
-  FROM words
+  SELECT word, n, k, CASE WHEN k = 0 THEN word ELSE substr(word, 1, k - 1) || substr(word, k + 1) END AS gap
+  FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS k FROM words)
 ), near AS (
   SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n
-  FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word AND levenshtein(a.word, b.word) = 1
+  FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word AND (a.k = b.k OR a.k = 0 OR b.k = 0)
 ), tops AS (
   SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS top_n FROM near GROUP BY word
 ), forms AS (
