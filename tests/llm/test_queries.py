@@ -16,7 +16,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 @needs_data
