@@ -842,15 +842,23 @@ FROM s
 """
 SQL["phash_pack"] = with_ctes("SELECT vec_id, phash FROM vec_hash", "vec_hash")
 SQL["latest_state_stream"] = SQL["latest_state"]
+# Events arrive in parts (event_id % 7 % 3): 2, 0, 1 and 0 again.
+SQL["quarantined_updates"] = """
+SELECT user_id AS id, event_type AS status, CAST(NULL AS BIGINT) AS updated_at, event_id AS seq,
+       'unknown_time' AS reason
+FROM events, (VALUES (1), (2)) AS again(n)
+WHERE event_id % 50 = 0 AND (n = 1 OR event_id % 7 % 3 = 0)
+"""
 SQL["intake_stream"] = """
 WITH e AS (SELECT user_id * 3 + event_id % 3 AS id,
        'dir/clip' || ['.mp4', '.MKV', '.avi', '', '.webm'][event_id % 5 + 1] AS filename,
        CAST(floor(value) AS BIGINT) - 3 AS size_bytes, event_id AS seq,
        CASE WHEN event_id % 5 IN (2, 3) THEN 'unsupported_suffix'
             WHEN floor(value) - 3 <= 0 THEN 'empty_file'
-            WHEN floor(value) - 3 > 100 THEN 'too_large' END AS own FROM events)
+            WHEN floor(value) - 3 > 100 THEN 'too_large' END AS own, arrival
+  FROM events JOIN (VALUES (2, 1), (0, 2), (1, 3), (0, 4)) AS p(part, arrival) ON event_id % 7 % 3 = part)
 SELECT id, filename, size_bytes, seq, coalesce(own, CASE WHEN row_number() OVER (
-  PARTITION BY id, own IS NULL ORDER BY seq) > 1 THEN 'duplicate_id' END) AS reason
+  PARTITION BY id, own IS NULL ORDER BY arrival, seq) > 1 THEN 'duplicate_id' END) AS reason
 FROM e
 """
 SQL["parse_videos"] = with_ctes(

@@ -906,38 +906,60 @@ def phash_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
-    schema = b.table(spark, sf_dir, name).schema
-    pattern = f"{name[:-1]}[{name[-1]}].parquet"
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(sf_dir)
-    )
-
-
 def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/reelgraph-{name}-{uuid.uuid4().hex}"
 
 
+#: The parts in which a table arrives at a stream; the last one is a replay.
+ARRIVALS = (2, 0, 1, 0)
+
+
+def _arrivals(spark: SparkSession, table: DataFrame, number: str, folder: str):
+    """Append every part of a table to ``folder`` and give the stream over it, part by part.
+
+    Parts are dealt by ``number`` (modulo 7, then 3), so times, ids and numbers of
+    different parts mix, and later parts hold earlier rows.
+    """
+    for part in ARRIVALS:
+        table.where(F.col(number) % 7 % 3 == part).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(table.schema).parquet(folder)
+
+
 @query
 def latest_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job states over batches out of order, with a replay and deleted ids."""
     root = _run_dir(spark, "state")
-    updates = b.as_job_events(_stream(spark, sf_dir, "events"))
-    jobs.latest_state_stream(
-        updates, f"{root}/out", f"{root}/checkpoint", b.EVENT_TERMINAL
-    ).awaitTermination()
     gone = b.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 9 == 0)
-    return jobs.current_state(spark, f"{root}/out", gone.select(F.col("c_custkey").alias("id")))
+    gone = gone.select(F.col("c_custkey").alias("id"))
+    tombstones = _arrivals(spark, gone, "id", f"{root}/gone")
+    events = b.table(spark, sf_dir, "events")
+    for arrived, deleted in zip(_arrivals(spark, events, "event_id", f"{root}/in"), tombstones):
+        jobs.latest_state_stream(
+            b.as_job_events(arrived), f"{root}/out", f"{root}/checkpoint", b.EVENT_TERMINAL, deleted, 2
+        ).awaitTermination()
+    return jobs.current_state(spark, f"{root}/out")
+
+
+@query
+def quarantined_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates without a usable time, set aside by a stream of its own."""
+    root = _run_dir(spark, "odd")
+    events = b.table(spark, sf_dir, "events")
+    for arrived in _arrivals(spark, events, "event_id", f"{root}/in"):
+        jobs.quarantine_stream(b.as_job_events(arrived), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
 
 
 @query
 def intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads judged over several batches; ids taken by one are refused to the next."""
     root = _run_dir(spark, "intake")
-    rows = b.media_arrivals(_stream(spark, sf_dir, "events"))
-    jobs.intake_stream(
-        spark, rows, f"{root}/out", f"{root}/checkpoint", b.MAX_BYTES
-    ).awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    events = b.table(spark, sf_dir, "events")
+    for arrived in _arrivals(spark, events, "event_id", f"{root}/in"):
+        jobs.intake_stream(
+            b.media_arrivals(arrived), f"{root}/out", f"{root}/checkpoint", b.MAX_BYTES
+        ).awaitTermination()
+    return spark.read.parquet(f"{root}/out")
 
 
 @query

@@ -22,7 +22,6 @@ from reelgraph.operators import (
     usage,
 )
 from reelgraph.sources import artifacts, images
-from reelgraph.streaming import jobs
 
 
 def one(spark, column):
@@ -377,42 +376,6 @@ def test_latest_state(spark, rows):
     assert rows(odd, "id") == [("e",)]
 
 
-def test_stream_equals_batch_over_many_batches(spark, rows, tmp_path):
-    source = str(tmp_path / "in")
-    data = [(f"i{n % 5}", ["processing", "completed", "failed"][n * 7 % 3], n * 3 % 11, n)
-            for n in range(60)]
-    schema = "id string, status string, updated_at long, seq long"
-    for part in range(6):
-        spark.createDataFrame(data[part * 10 : part * 10 + 10], schema).coalesce(1).write.mode(
-            "append"
-        ).parquet(source)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    sink, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
-    for _ in range(2):  # a second run finds nothing new
-        jobs.latest_state_stream(stream, sink, checkpoint).awaitTermination()
-    want, _ = catalogue.latest_state(spark.createDataFrame(data, schema))
-    columns = ["id", "status", "updated_at", "seq"]
-    assert rows(jobs.current_state(spark, sink), *columns) == rows(want, *columns)
-
-
-def test_intake_stream_remembers_ids(spark, rows, tmp_path):
-    source = str(tmp_path / "in")
-    schema = "id string, filename string, size_bytes long, seq long"
-    batches = [
-        [("a", "x.mp4", 5, 1), ("b", "x.txt", 5, 2), ("a", "y.mp4", 5, 3)],
-        [("a", "z.mp4", 5, 4), ("b", "x.MOV", 5, 5), ("c", "c.mkv", 0, 6), ("d", "d.mkv", 99, 7)],
-    ]
-    sink, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
-    for batch in batches:
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        jobs.intake_stream(spark, stream, sink, checkpoint, 50).awaitTermination()
-    assert rows(spark.read.parquet(sink), "seq", "reason") == [
-        (1, None), (2, "unsupported_suffix"), (3, "duplicate_id"), (4, "duplicate_id"), (5, None),
-        (6, "empty_file"), (7, "too_large"),
-    ]
-
-
 def png(path, pixels):
     """8-bit RGB PNG from rows of (r, g, b)."""
     height, width = len(pixels), len(pixels[0])
