@@ -1,177 +1,74 @@
-"""Order-dependent folds per key, split by time so that no key is one task.
-
-A fold visits the rows of a key in time order with a small state. Rows are
-partitioned by (key, time chunk), sorted, and streamed through Arrow batches, so
-a task holds one batch and one state, never a whole group. Where a key spans
-several chunks, the state at each chunk border is found by repetition: every
-chunk runs from the state it has been told, chunks whose predecessor ended
-differently run again, and the borders are exact once nothing changes. States
-reach back one time window only, so this takes a few rounds on ever fewer
-chunks.
+"""Rows of a group as an ordered Arrow stream, for rules that depend on order.
+
+Groups are (key, time chunk), so no key is one task: rows are dealt by group, sorted, and
+streamed through Arrow batches. What passes from chunk to chunk is the caller's: a small
+row per chunk that is composed in time order (``timestamps``, ``dedup``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import Any, Protocol
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
-
-from reelgraph.session import cut_lineage
-
-
-class Fold(Protocol):
-    """A fold over rows in time order; ``load``/``dump`` carry state as text."""
-
-    def load(self, text: str) -> Any: ...
+from pyspark.sql import DataFrame
 
-    def dump(self, state: Any) -> str: ...
+#: Rows of an Arrow batch that small pieces are joined into.
+BATCH_ROWS = 10_000
 
-    def visit(self, rows: pa.RecordBatch, state: Any) -> tuple[list[int], dict[str, list]]:
-        """Update ``state``; return kept row numbers and added output columns."""
-        ...
 
-
-def _segments(batch: pa.RecordBatch, group: Sequence[str]) -> list[int]:
-    """Row numbers where a new group begins, without row 0."""
+def cuts(batch: pa.RecordBatch, group: Sequence[str]) -> list[int]:
+    """Row numbers where a group begins, and the end; NULL equals NULL."""
     changed = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
     for name in group:
-        values = batch.column(name).to_numpy(zero_copy_only=False)
-        changed |= values[1:] != values[:-1]
-    return (np.flatnonzero(changed) + 1).tolist()
+        codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        changed |= codes[1:] != codes[:-1]
+    return [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
 
 
-def _pieces(batches, group: Sequence[str]):
-    """(group values, is a continuation, slice) for every group in every batch."""
+def whole_groups(
+    batches: Iterator[pa.RecordBatch], group: Sequence[str]
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole groups with the row numbers where each begins, and the end."""
+    held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cuts = [0, *_segments(batch, group), batch.num_rows]
-        for low, high in zip(cuts, cuts[1:]):
-            piece = batch.slice(low, high - low)
-            values = tuple(piece.column(name)[0].as_py() for name in group)
-            yield values, values == last, piece
-            last = values
+        ends = [tuple(batch.column(c)[row].as_py() for c in group) for row in (0, batch.num_rows - 1)]
+        held.append(batch)
+        # The last group may go on in the next batch; nothing is whole while it does.
+        if ends != [last, last]:
+            table, starts = _joined(held, group)
+            if len(starts) > 2:
+                yield table.slice(0, int(starts[-2])), starts[:-1]
+                table = table.slice(int(starts[-2]))
+            held, last = table.to_batches(), ends[1]
+    if held:
+        yield _joined(held, group)
+
+
+def _joined(held: list[pa.RecordBatch], group: Sequence[str]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    return table, np.array(cuts(table.to_batches()[0], group))
 
 
-def _arranged(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def arranged(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     return rows.repartition(*group).sortWithinPartitions(*group, *order)
 
 
-def chunked_fold(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk_ms: int,
-    fold: Fold,
-    schema: T.StructType,
-    extent: DataFrame | None = None,
-) -> DataFrame:
-    """Run ``fold`` over each key in ``order`` (time first); output ``schema``.
-
-    Whether any key spans several chunks is one min/max over ``extent``: rows
-    (or cheaper stand-ins covering them) with the time column and those of the
-    key columns they have.
-    """
-    time = order[0]
-    group = [*keys, "_chunk"]
-    chunked = rows.withColumn("_chunk", F.floor(F.col(time) / chunk_ms))
-    extent = rows if extent is None else extent
-    spans = extent.groupBy(*[k for k in keys if k in extent.columns]).agg(
-        (F.floor(F.max(time) / chunk_ms) > F.floor(F.min(time) / chunk_ms)).alias("_long")
-    )
-    if spans.where("_long").isEmpty():
-        started = chunked.withColumn("_start", F.lit(""))
-    else:
-        started = chunked.join(_borders(chunked, keys, group, order, fold), group)
-
-    names = schema.fieldNames()
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        state = None
-        for _, continued, piece in _pieces(batches, group):
-            if not continued:
-                state = fold.load(piece.column("_start")[0].as_py())
-            kept, added = fold.visit(piece, state)
-            if kept:
-                out = piece.take(pa.array(kept, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(added[f.name], f.type)
-                        if f.name in added
-                        else out.column(f.name).cast(f.type)
-                        for f in arrow
-                    ],
-                    names=names,
-                )
-
-    return _arranged(started, group, order).mapInArrow(_coalesced(run), schema)
-
-
-def _coalesced(run):
+def coalesced(run: Callable) -> Callable:
     """Join the small pieces of a task into fuller batches."""
 
-    def joined(batches):
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for piece in run(batches):
             held.append(piece)
             rows += piece.num_rows
-            if rows >= 10_000:
+            if rows >= BATCH_ROWS:
                 yield from pa.Table.from_batches(held).combine_chunks().to_batches()
                 held, rows = [], 0
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return joined
-
-
-def _borders(
-    chunked: DataFrame, keys: Sequence[str], group: Sequence[str], order: Sequence[str], fold: Fold
-) -> DataFrame:
-    """State at the start of every chunk: one small row per chunk."""
-    end_schema = T.StructType(
-        [chunked.schema[c] for c in group]
-        + [T.StructField("_start", T.StringType()), T.StructField("_end", T.StringType())]
-    )
-    arrow = to_arrow_schema(end_schema)
-
-    def ends(batches):
-        def row(values, told, state):
-            return pa.RecordBatch.from_pylist(
-                [dict(zip(arrow.names, (*values, told, fold.dump(state))))], schema=arrow
-            )
-
-        values = told = state = None
-        for found, continued, piece in _pieces(batches, group):
-            if not continued:
-                if values is not None:
-                    yield row(values, told, state)
-                values, told = found, piece.column("_start")[0].as_py()
-                state = fold.load(told)
-            fold.visit(piece, state)
-        if values is not None:
-            yield row(values, told, state)
-
-    def run(rows: DataFrame) -> DataFrame:
-        return _arranged(rows, group, order).mapInArrow(_coalesced(ends), end_schema)
-
-    before = Window.partitionBy(*keys).orderBy("_chunk")
-    known = cut_lineage(run(chunked.withColumn("_start", F.lit(""))))
-    while True:
-        told = known.withColumn("_told", F.coalesce(F.lag("_end").over(before), F.lit("")))
-        stale = cut_lineage(
-            told.where(F.col("_told") != F.col("_start")).select(
-                *group, F.col("_told").alias("_start")
-            )
-        )
-        if stale.isEmpty():
-            return known.select(*group, "_start")
-        again = run(chunked.join(stale, list(group)))
-        known = cut_lineage(known.join(stale, list(group), "left_anti").unionByName(again))

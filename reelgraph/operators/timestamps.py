@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from reelgraph import config
-from reelgraph.operators.folds import chunked_fold
+from reelgraph.operators.folds import arranged, coalesced, whole_groups
 
 
 def _step_ms(interval_seconds: float) -> int:
@@ -68,25 +73,100 @@ def scene_changes(scores: DataFrame, threshold: float = config.SCENE_THRESHOLD)
     )
 
 
-class _Spacing:
-    """Keep the first time, then always the next one at least ``spacing`` later."""
+_CHUNK = ["video_id", "_chunk"]
+
+
+class _Chunks:
+    """Distinct times of a run of whole chunks, and of each the next one far enough."""
+
+    def __init__(self, table: pa.Table, cuts: np.ndarray, chunk_ms: int, spacing: int):
+        times = table.column("timestamp_ms").to_numpy()
+        owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        fresh = np.ones(len(times), bool)
+        fresh[1:] = (times[1:] != times[:-1]) | (owner[1:] != owner[:-1])
+        self.times, self.owner = times[fresh], owner[fresh]
+        self.heads = table.column("_chunk").to_numpy()[cuts[:-1]] * chunk_ms
+        # One axis for all chunks, each longer than a chunk and a spacing.
+        self.length = chunk_ms + spacing + 1
+        self.axis = self.times - self.heads[self.owner] + self.owner * self.length
+        count = len(cuts) - 1
+        self.bounds = np.searchsorted(self.owner, np.arange(count + 1))
+        self.after = np.searchsorted(self.axis, self.axis + max(spacing, 1))
+
+    def first_from(self, offsets: np.ndarray) -> np.ndarray:
+        """Of every chunk the first row at an offset from its head or later; its end if none."""
+        place = np.arange(len(offsets)) * self.length + np.clip(offsets, 0, self.length - 1)
+        return np.searchsorted(self.axis, place)
+
+
+def _chunk_maps(chunk_ms: int, spacing: int, arrow: pa.Schema):
+    """A row per chunk: what it keeps last, for every time it may keep first.
 
-    def __init__(self, spacing: int):
-        self.spacing = spacing
+    From each time the next one kept is fixed, so paths are followed by doubling.
+    """
 
-    def load(self, text: str) -> dict:
-        return {"last": int(text) if text else None}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, _CHUNK):
+            chunks = _Chunks(table, cuts, chunk_ms, spacing)
+            ends = chunks.bounds[1:]
+            ahead = np.where(chunks.after < ends[chunks.owner], chunks.after, np.arange(len(chunks.after)))
+            while not np.array_equal(ahead, further := ahead[ahead]):
+                ahead = further
+            # The last kept time lies before the chunk, so no later time can be the first.
+            stop = np.minimum(chunks.first_from(np.full(len(ends), spacing)) + 1, ends)
+            entries = np.arange(len(ahead)) < stop[chunks.owner]
+            offsets = pa.array(np.r_[0, np.cumsum(stop - chunks.bounds[:-1])], pa.int32())
+            lists = (
+                pa.ListArray.from_arrays(offsets, pa.array(x[entries], pa.int64()))
+                for x in (chunks.times, chunks.times[ahead])
+            )
+            heads = pa.array(cuts[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [*(table.column(c).combine_chunks().take(heads) for c in _CHUNK), *lists], schema=arrow
+            )
 
-    def dump(self, state: dict) -> str:
-        return "" if state["last"] is None else str(state["last"])
+    return run
 
-    def visit(self, rows: pa.RecordBatch, state: dict) -> tuple[list[int], dict[str, list]]:
-        kept = []
-        for i, time in enumerate(rows.column("timestamp_ms").to_pylist()):
-            if state["last"] is None or time - state["last"] >= self.spacing:
-                kept.append(i)
-                state["last"] = time
-        return kept, {}
+
+def _compose(spacing: int, arrow: pa.Schema):
+    """The time kept last before every chunk, by applying the chunks' maps in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video = last = None
+        for batch in batches:
+            told = []
+            for found, first, exits in zip(*(batch.column(c).to_pylist() for c in ("video_id", "entries", "exits"))):
+                if found != video:
+                    video, last = found, None
+                told.append(last)
+                at = 0 if last is None else bisect_left(first, last + spacing)
+                last = exits[at] if at < len(exits) else last
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("video_id"), batch.column("_chunk"), pa.array(told, pa.int64())], schema=arrow
+            )
+
+    return run
+
+
+def _kept(chunk_ms: int, spacing: int, arrow: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, _CHUNK):
+            chunks = _Chunks(table, cuts, chunk_ms, spacing)
+            heads = pa.array(cuts[:-1])
+            last = table.column("_last").combine_chunks().take(heads)
+            known = last.is_valid().to_numpy(zero_copy_only=False)
+            told = last.fill_null(0).to_numpy() + spacing - chunks.heads
+            ends = chunks.bounds[1:]
+            at = chunks.first_from(np.where(known, told, 0))
+            kept = np.zeros(len(chunks.times), bool)
+            while len(at := at[at < ends]):
+                kept[at] = True
+                ends = chunks.bounds[1:][chunks.owner[at]]
+                at = chunks.after[at]
+            owners = table.column("video_id").combine_chunks().take(heads).take(pa.array(chunks.owner[kept]))
+            yield pa.RecordBatch.from_arrays([owners, pa.array(chunks.times[kept])], schema=arrow)
+
+    return run
 
 
 def min_spacing_filter(
@@ -95,19 +175,32 @@ def min_spacing_filter(
     chunk_ms: int = 6 * 3_600_000,
 ) -> DataFrame:
     """Distinct times per video, each kept only at ``min_spacing_ms`` or more
-    after the last kept one; negative times count as 0."""
+    after the last kept one; negative times count as 0, points without a video take no part.
+
+    Points are dealt by (video, time chunk). What a chunk keeps depends on the time kept
+    last before it, which can only change which of its first times, up to one spacing into
+    the chunk, is kept first. One pass gives each chunk's exit for every such entry, a list
+    no longer than the spacing has milliseconds; the maps are composed along each video, and
+    a second pass over the same exchange keeps the times. The plan is the same for any number
+    of chunks.
+    """
     spacing = max(0, int(min_spacing_ms))
-    distinct = points.select(
-        "video_id",
-        F.greatest(F.lit(0).cast("bigint"), F.col("timestamp_ms").cast("bigint")).alias(
-            "timestamp_ms"
-        ),
-    ).distinct()
-    schema = T.StructType([distinct.schema["video_id"], T.StructField("timestamp_ms", T.LongType())])
-    return chunked_fold(
-        distinct, ["video_id"], ["timestamp_ms"], max(chunk_ms, spacing + 1), _Spacing(spacing),
-        schema, points,
+    time = F.greatest(F.lit(0).cast("bigint"), F.col("timestamp_ms").cast("bigint"))
+    rows = points.where("video_id is not null").select("video_id", time.alias("timestamp_ms")).withColumn(
+        "_chunk", F.floor(F.col("timestamp_ms") / chunk_ms)
+    ).where("_chunk is not null").repartition(*_CHUNK)
+    video, chunk, number = rows.schema["video_id"], T.StructField("_chunk", T.LongType()), T.ArrayType(T.LongType())
+    maps = T.StructType([video, chunk, T.StructField("entries", number), T.StructField("exits", number)])
+    told = T.StructType([video, chunk, T.StructField("_last", T.LongType())])
+    out = T.StructType([video, T.StructField("timestamp_ms", T.LongType())])
+    ordered = rows.sortWithinPartitions(*_CHUNK, "timestamp_ms")
+    mapped = ordered.mapInArrow(coalesced(_chunk_maps(chunk_ms, spacing, to_arrow_schema(maps))), maps)
+    before = arranged(mapped, ["video_id"], ["_chunk"]).mapInArrow(
+        coalesced(_compose(spacing, to_arrow_schema(told))), told
     )
+    return rows.join(before, _CHUNK).select(*_CHUNK, "timestamp_ms", "_last").sortWithinPartitions(
+        *_CHUNK, "timestamp_ms"
+    ).mapInArrow(coalesced(_kept(chunk_ms, spacing, to_arrow_schema(out))), out)
 
 
 def candidate_timestamps(

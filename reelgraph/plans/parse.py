@@ -41,8 +41,7 @@ def parse_videos(
     usable = gated.where("passed").select("video_id", "frame_id", "timestamp_ms", "quality_score")
     windowed = intervals.frames_in_sections(usable, sections, pad_ms, bucket_ms=bucket_ms)
     members = dedup.near_duplicate_groups(
-        features(windowed), limits, chunk_ms=chunk_ms,
-        extent=frames.select("video_id", "timestamp_ms"),
+        features(windowed), limits, chunk_ms=chunk_ms
     )
     kept = members.where("is_representative").select(
         *scoring.PAIR, "timestamp_ms", "quality_score"

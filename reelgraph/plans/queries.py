@@ -110,12 +110,7 @@ def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicate_groups(
-        usable_features(spark, sf_dir),
-        b.DEDUP,
-        chunk_ms=b.CHUNK_MS,
-        extent=b.frames(spark, sf_dir).select("video_id", "timestamp_ms"),
-    )
+    return dedup.near_duplicate_groups(usable_features(spark, sf_dir), b.DEDUP, chunk_ms=b.CHUNK_MS)
 
 
 @query

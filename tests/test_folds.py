@@ -17,16 +17,34 @@ def plain_spacing(times, spacing):
     return kept
 
 
-@pytest.mark.parametrize("chunk_ms", [60, 1_000_000])
-def test_min_spacing_matches_plain_fold(spark, rows, chunk_ms):
+@pytest.mark.parametrize("spacing", [0, 1, 25, 400])
+@pytest.mark.parametrize("chunk_ms", [7, 60, 1_000_000])
+def test_min_spacing_matches_plain_fold(spark, rows, chunk_ms, spacing):
     rng = random.Random(3)
-    points = [(v, rng.randrange(0, 3000)) for v in range(4) for _ in range(400)]
+    points = [(v, rng.randrange(0, 3000)) for v in (0, 1, 2, None) for _ in range(400)]
+    points += [(5, t) for t in range(0, 3000, 24)] + [(6, 10), (6, 2900), (7, -5), (7, -3), (7, 30)]
     df = spark.createDataFrame(points, "video_id long, timestamp_ms long")
-    got = rows(timestamps.min_spacing_filter(df, 25, chunk_ms))
-    want = [(v, t) for v in range(4) for t in plain_spacing([t for w, t in points if w == v], 25)]
+    got = rows(timestamps.min_spacing_filter(df, spacing, chunk_ms))
+    want = []
+    for v in {v for v, _ in points if v is not None}:
+        times = [max(0, t) for w, t in points if w == v]
+        want += [(v, t) for t in plain_spacing(times, spacing)]
     assert got == sorted(want, key=repr)
 
 
+def test_spacing_needs_as_many_jobs_for_any_number_of_chunks(spark):
+    """A grid just too dense: every chunk depends on all before it."""
+    df = spark.range(0, 40_000).select(F.lit(1).cast("long").alias("video_id"), (F.col("id") * 24).alias("timestamp_ms"))
+    counts = []
+    for chunk_ms in (10**7, 1000):
+        tracker, name = spark.sparkContext.statusTracker(), f"spacing-{chunk_ms}"
+        spark.sparkContext.setJobGroup(name, name)
+        assert timestamps.min_spacing_filter(df, 25, chunk_ms).count() == 20_000
+        counts.append(len(tracker.getJobIdsForGroup(name)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] <= counts[0] + 1
+
+
 def plain_groups(items, window, min_corr, max_bits):
     """items: (t, id, quality, vector, bits) in time order."""
     groups = []
@@ -49,8 +67,8 @@ def plain_groups(items, window, min_corr, max_bits):
     return [(g["rep"][1], tuple(g["ids"])) for g in groups]
 
 
-@pytest.mark.parametrize("chunk_ms", [100, 1_000_000])
-def test_near_duplicate_groups_match_plain_fold(spark, chunk_ms):
+@pytest.mark.parametrize(("chunk_ms", "lead"), [(100, 3), (90, 1), (1_000_000, 3)])
+def test_near_duplicate_groups_match_plain_fold(spark, chunk_ms, lead):
     rng = random.Random(11)
     looks = [([1.0, 0.0], 0), ([1.0, 0.0], 0xFFFF), ([0.0, 1.0], -1), ([0.6, 0.8], 5)]
     data, want = [], {}
@@ -68,7 +86,7 @@ def test_near_duplicate_groups_match_plain_fold(spark, chunk_ms):
     )
     limits = config.DedupLimits(90, 0.92, 6)
     got = {}
-    for r in dedup.near_duplicate_groups(df, limits, chunk_ms=chunk_ms).collect():
+    for r in dedup.near_duplicate_groups(df, limits, chunk_ms=chunk_ms, lead_windows=lead).collect():
         group = got.setdefault(r.section_index, {}).setdefault(r.group_no, [None, []])
         group[0] = r.representative_frame_id
         group[1].append((r.member_no, r.frame_id))
@@ -80,6 +98,73 @@ def test_near_duplicate_groups_match_plain_fold(spark, chunk_ms):
         assert found == groups
 
 
+@pytest.mark.parametrize("max_hamming", [0, 1, 6, 63, 64])
+def test_banded_pairs_match_every_pair(spark, rows, max_hamming):
+    """Bits differ at random places, the sign bit and band edges among them."""
+    rng = random.Random(max_hamming)
+    base = [rng.getrandbits(64) for _ in range(3)] + [0]
+    frames = []
+    for i in range(160):
+        bits = rng.choice(base)
+        for place in rng.sample(range(64), rng.choice([0, 1, 2, 6, 7, 8])):
+            bits ^= 1 << place
+        vector = rng.choice([[1.0, 0.0], [0.6, 0.8], [1.0, 0.0, 0.0], None])
+        frames.append((1, i % 2, i, rng.randrange(0, 400), vector, bits - 2**64 if bits >= 2**63 else bits))
+    frames.append((1, 0, 900, 10, [1.0, 0.0], None))
+    df = spark.createDataFrame(
+        frames, "video_id long, section_index long, frame_id long, timestamp_ms long, "
+        "unit_histogram array<double>, phash long",
+    )
+    got = rows(dedup.duplicate_pairs(df, config.DedupLimits(90, 0.5, max_hamming)),
+               "section_index", "left_frame_id", "right_frame_id", "hash_distance")
+    want = []
+    for _, s, i, t, v, h in frames:
+        for _, s2, i2, t2, v2, h2 in frames:
+            if h is None or h2 is None or s != s2 or (t, i) >= (t2, i2) or t2 - t > 90:
+                continue
+            bits = ((h ^ h2) & (2**64 - 1)).bit_count()
+            alike = v and v2 and len(v) == len(v2) and sum(a * b for a, b in zip(v, v2)) >= 0.5
+            if bits <= max_hamming and alike:
+                want.append((s, i, i2, bits))
+    assert got == sorted(want, key=repr) and (want or max_hamming == 0)
+
+
+def test_no_histogram_in_the_shuffle_of_pairs(spark):
+    df = spark.createDataFrame(
+        [], "video_id long, section_index long, frame_id long, timestamp_ms long, "
+        "unit_histogram array<double>, phash long",
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dedup_plan = dedup.duplicate_pairs(df)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in dedup_plan.splitlines() if "Generate posexplode" in line]
+    assert joins and all("unit_histogram" not in line for line in joins)
+
+
+def test_borders_that_differ_run_again(spark, monkeypatch):
+    """A better frame every half window keeps one group alive far beyond any lead."""
+    rounds = []
+    plain = dedup._same
+    monkeypatch.setattr(dedup, "_same", lambda c, other: rounds.append(other) or plain(c, other))
+    data = [(1, 1, k, k * 45, k / 100, [1.0, 0.0], 0) for k in range(60)] + [(1, 1, 900, 20, 0.5, [0.0, 1.0], 0)]
+    df = spark.createDataFrame(
+        data, "video_id long, section_index long, frame_id long, timestamp_ms long, "
+        "quality_score double, unit_histogram array<double>, phash long",
+    )
+    limits = config.DedupLimits(90, 0.92, 6)
+    got = dedup.near_duplicate_groups(df, limits, chunk_ms=270).collect()
+    assert {(r.group_no, r.frame_id) for r in got} == {(1, k) for k in range(60)} | {(2, 900)}
+    assert {r.member_no for r in got if r.group_no == 1} == set(range(1, 61))
+    # A lead that begins inside the group finds the same representatives: nothing ran again.
+    assert rounds == ["o_"]
+    flat = [(1, 1, k, k * 45, 0.5, [1.0, 0.0], 0) for k in range(60)]
+    again = dedup.near_duplicate_groups(spark.createDataFrame(flat, df.schema), limits, chunk_ms=270, lead_windows=1)
+    assert [len([r for r in again.collect() if r.group_no == n]) for n in range(1, 21)] == [3] * 20
+    assert rounds.count("w_") >= 1
+
+
 def test_rank_in_key_splits_hot_keys(spark, rows):
     rng = random.Random(5)
     data = [(0 if i % 3 else i % 7, rng.randrange(20) / 10, i) for i in range(3000)]
