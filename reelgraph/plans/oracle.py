@@ -257,7 +257,7 @@ QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY timestamp_ms) <= 5
 SQL["segments_overlapping"] = with_ctes(
     """
 SELECT s.video_id, w.sentence_index AS section_index, s.sentence_index
-FROM sentences s JOIN sentences w ON s.video_id = w.video_id AND w.sentence_index % 2 = 0
+FROM sentences s JOIN sentences w ON s.video_id = w.video_id
  AND s.end_seconds >= w.start_seconds - 5 AND s.start_seconds <= w.end_seconds + 12
 """,
     "sentences",

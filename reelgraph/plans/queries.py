@@ -30,7 +30,7 @@ from reelgraph.operators import (
 )
 from reelgraph.plans import bindings as b
 from reelgraph.plans import parse
-from reelgraph.session import shared_dir
+from reelgraph.session import cut_lineage, shared_dir
 from reelgraph.sources import artifacts, images, inventory
 from reelgraph.streaming import jobs
 
@@ -93,6 +93,12 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def members_of(spark: SparkSession, sf_dir: str, inside: DataFrame) -> DataFrame:
+    """Duplicate groups of the passed frames among gated and windowed ones."""
+    passed = inside.where("passed").drop("passed", "failures", "quality_reason")
+    return dedup.near_duplicate_groups(b.features(spark, sf_dir, passed), b.DEDUP, chunk_ms=b.CHUNK_MS)
+
+
 def usable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passed frames per section with the features duplicates are judged by."""
     passed = quality.with_quality_score(
@@ -203,11 +209,14 @@ def find_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames meet their sections once; what was outside and what was a duplicate follow."""
     frames = b.frames(spark, sf_dir)
-    evaluated = intervals.relevant_frames(
-        quality.quality_gate(frames), b.sections(spark, sf_dir), b.PAD_MS, bucket_ms=b.BUCKET_MS
+    gated = quality.with_quality_score(quality.quality_gate(frames)).select(
+        "video_id", "frame_id", "timestamp_ms", "quality_score", "event_type", "passed", "quality_reason"
     )
-    report = dedup.dedup_frame_report(members(spark, sf_dir))
+    inside = cut_lineage(windowed(spark, sf_dir, gated))
+    evaluated = inside.select("video_id", "frame_id", "passed", "quality_reason").distinct()
+    report = dedup.dedup_frame_report(members_of(spark, sf_dir, inside))
     kept = report.where(F.col("dedup_status") == "kept").select(
         "video_id", "section_index", "frame_id"
     )
@@ -258,7 +267,7 @@ def bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def segments_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentences = b.sentences(spark, sf_dir)
-    windows = sentences.where(F.col("sentence_index") % 2 == 0).select(
+    windows = sentences.select(
         "video_id",
         F.col("sentence_index").alias("section_index"),
         (F.col("start_seconds") - 5).alias("start_seconds"),
