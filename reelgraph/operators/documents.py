@@ -187,7 +187,7 @@ def unique_names(entries: DataFrame) -> DataFrame:
     """File name per (video_id, object_key): the key's safe name, with the
     position of its first use appended where an earlier key has that name.
 
-    entries: video_id, object_key, position (from 0).
+    entries: video_id, object_key, position (from 0, each once in a video).
     """
     scope = ["video_id"]
     first = entries.groupBy(*scope, "object_key").agg(F.min("position").alias("position"))
@@ -202,22 +202,29 @@ def unique_names(entries: DataFrame) -> DataFrame:
         .withColumn("suffixed", suffixed)
         .withColumn("_later", F.col("position") > F.col("_owner"))
     )
-    # A key moves if an earlier one has its name. A moved key's new name may be what a later
-    # key is called; that key moves as well, and so on. Positions rise along such a chain.
-    moved = judged.where("_later").select(*scope, "object_key")
-    wave = judged.where("_later")
-    while True:
-        taken = wave.select(*scope, F.col("suffixed").alias("name"), F.col("position").alias("_by"))
-        wave = cut_lineage(
-            judged.where("NOT _later")
-            .join(taken, [*scope, "name"])
-            .where("_by < position")
-            .select(*judged.columns)
-            .distinct()
+    # A key moves if an earlier one has its name, or if an earlier moved key's new name is
+    # its name. So each key depends on one before it at most, and moves if the first of its
+    # chain does. Every round lets a key look twice as far up its chain.
+    taken = judged.select(
+        *scope, F.col("suffixed").alias("name"), F.col("position").alias("_by"),
+        F.col("object_key").alias("_up"), F.col("_later").alias("_moved"),
+    )
+    links = cut_lineage(
+        judged.where("NOT _later").join(taken, [*scope, "name"]).where("_by < position")
+        .groupBy(*scope, "object_key").agg(F.max_by(F.struct("_up", "_moved"), F.struct("_moved", "_by")).alias("l"))
+        .select(*scope, "object_key", "l.*")
+    )
+    while not links.where("NOT _moved AND _up IS NOT NULL").isEmpty():
+        ahead = links.select(
+            *scope, F.col("object_key").alias("_up"), F.col("_up").alias("_next"), F.col("_moved").alias("_there")
+        )
+        moves = F.col("_moved") | F.coalesce("_there", F.lit(False))
+        links = cut_lineage(
+            links.join(ahead, [*scope, "_up"], "left").select(
+                *scope, "object_key", F.when(~moves, F.col("_next")).alias("_up"), moves.alias("_moved")
+            )
         )
-        if wave.isEmpty():
-            break
-        moved = moved.union(wave.select(*scope, "object_key"))
+    moved = judged.where("_later").select(*scope, "object_key").union(links.where("_moved").select(*scope, "object_key"))
     marked = moved.distinct().withColumn("_moved", F.lit(True))
     return judged.join(marked, [*scope, "object_key"], "left").select(
         *scope, "object_key", "position",

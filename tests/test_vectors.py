@@ -328,6 +328,41 @@ def test_name_clashes_follow_each_other(spark, rows):
     ]
 
 
+def plain_names(keys):
+    used = {}
+    for position, key in enumerate(keys):
+        if key in used:
+            continue
+        name = key.rsplit("/", 1)[-1]
+        if name in used.values():
+            stem, suffix = name.rsplit(".", 1)
+            name = f"{stem}_{position:03d}.{suffix}"
+        used[key] = name
+    return used
+
+
+def test_names_of_a_long_chain(spark, rows, monkeypatch):
+    """A thousand keys of which each is named what the one before it moves to; half as many
+    in a chain that nothing moves; rounds grow with the logarithm."""
+    keys, stem = ["a/x.jpg", "b/x.jpg"], "x_001"
+    while len(keys) < 1000:
+        keys.append(f"k{len(keys)}/{stem}.jpg")
+        stem = f"{stem}_{len(keys) - 1:03d}"
+    stem = "y"
+    for n in range(len(keys), 1500):
+        keys.append(f"k{n}/{stem}.jpg")
+        stem = f"{stem}_{n:03d}"
+    keys += ["b/x.jpg", "z/q.jpg", "w/q.jpg"]
+    rounds, plain = [], documents.cut_lineage
+    monkeypatch.setattr(documents, "cut_lineage", lambda df: rounds.append(1) or plain(df))
+    entries = spark.createDataFrame(
+        [("v", k, p) for p, k in enumerate(keys)], "video_id string, object_key string, position int"
+    )
+    got = dict(rows(documents.unique_names(entries), "object_key", "local_name"))
+    assert got == plain_names(keys)
+    assert len(rounds) <= 2 + 11
+
+
 def test_token_counts_by_json_kind(spark):
     odd = '{"usage":{"prompt_tokens":"3.7","input_tokens":9,"completion_tokens":true}}'
     big = '{"usage":{"prompt_tokens":9007199254740993,"completion_tokens":2.9,"total_tokens":" 7 "}}'
