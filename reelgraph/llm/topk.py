@@ -1,21 +1,27 @@
 """Exact top-k search by inner product: a ball tree per shard, branch and bound.
 
-Vectors become integers, ``floor(scale * x)``, dealt into shards of about ``SHARD_ROWS``
+Vectors become integers, ``floor(scale * x)``, held as doubles, which have them exactly at
+any size, and dealt into shards of about ``SHARD_ROWS``
 by a number given in the order of writing, so that copies spread. Each shard builds a ball
 tree: a node has a centre, a radius and the least id below it, and no vector below it
 scores more than ``q . centre + |q| * radius``. Queries come in blocks. A first pass
 searches one shard per block; its k-th scores, which every other shard shares from the
 start, are lower bounds that cut whole subtrees. Nodes are visited in the order of their
 bounds and search ends at the first that cannot beat the k-th score; at an equal bound a
-node is still entered if it holds an id small enough to win the tie. Scores are exact
-integers, so the answer is that of comparing all pairs.
+node is still entered if it holds an id small enough to win the tie. Bounds are rounded
+upwards by more than their error, which goes with the lengths of the vectors and not with
+the bound itself. Scores are exact integers, so the answer is that of comparing all pairs:
+in doubles where every product and sum is below 2 ** 53, in 64-bit integers below 2 ** 63,
+and beyond that in whole numbers of any size, worked out for those vectors alone whose
+score in doubles, with its error, reaches the k-th.
 
 The query set grows with the table. Queries are sent to every shard, ``queries x shards``
 rows, never queries times vectors, and stream past its tree: a task holds the vectors of one
 shard and one Arrow batch of queries.
 
-Defined cases: a vector that is null, holds a null or a non-finite component, or whose
-scores could leave 63 bits takes no part, nor does a row with a null id; vectors of
+Defined cases: a vector that is null or holds a null or a non-finite component (also after
+scaling) takes no part, nor does a row with a null id; a pair whose score is no 64-bit
+integer cannot be returned and is left out, its vectors stay for others; vectors of
 different lengths never meet; equal rows (id and vector) count once; rows of one id with
 different vectors are queries and candidates each, but not of each other; ties go to the
 smaller id; fewer than k candidates give all of them; an empty table gives no rows; other
@@ -37,20 +43,24 @@ from reelgraph.llm.common import Shared
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 512
 LEAF = 64
+#: Relative error of sums in doubles, with room to spare for a million components.
+MARGIN = 1e-9
 
 FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
 def prepare(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): integer vectors of the rows that take part, equal rows once."""
-    v = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull() & finite).select(
-        F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")
+    """(vec_id, v): whole-number vectors of the rows that take part, equal rows once."""
+    def whole(x):
+        y = F.lit(float(scale)) * x.cast("double")
+        # From 2 ** 52 on a double is a whole number.
+        return F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(y)
+
+    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(
+        F.col(vec_id).cast("long").alias("vec_id"), F.transform(vector, whole).alias("v")
     )
-    largest = F.aggregate("v", F.lit(0.0), lambda acc, x: F.greatest(acc, F.abs(x.cast("double"))))
-    fits = largest * largest * F.greatest(F.size("v"), F.lit(1)) < F.lit(2.0**62)
-    return rows.where(fits).dropDuplicates(["vec_id", "v"])
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return rows.where(finite).dropDuplicates(["vec_id", "v"])
 
 
 class BallTree:
@@ -61,7 +71,7 @@ class BallTree:
         order = np.arange(len(ids))
         self.spans: list[tuple[int, int]] = []
         self.children: list[tuple[int, int] | None] = []
-        points = vectors.astype(np.float64)
+        points = vectors
         todo = [(0, len(ids), -1, 0)]
         while todo:
             first, last, parent, side = todo.pop()
@@ -92,20 +102,61 @@ class BallTree:
             for (a, b), c in zip(self.spans, self.centres, strict=True)
         ])
         self.least = np.array([self.ids[a:b].min() for a, b in self.spans])
-        largest = float(np.abs(points).max()) if points.size else 0.0
-        # Products and sums below 2 ** 53 are exact in doubles, which multiply faster.
-        self.exact = points if largest**2 * max(1, points.shape[1]) < 2.0**52 else None
+        self.lengths = np.linalg.norm(self.centres, axis=1)
+        self.largest = float(np.abs(points).max()) if points.size else 0.0
+        self.integers: np.ndarray | None = None
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds, one row per query, one column per node, rounded upwards."""
-        q = queries.astype(np.float64)
-        bound = q @ self.centres.T + np.linalg.norm(q, axis=1)[:, None] * self.radii[None, :]
-        return np.floor(bound + np.abs(bound) * 1e-9 + 1e-6)
+        q = queries
+        length = np.linalg.norm(q, axis=1)[:, None]
+        spread = length * self.radii[None, :]
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = q @ self.centres.T + spread + (length * self.lengths[None, :] + spread) * MARGIN + 1e-6
+        return np.where(np.isnan(bound), np.inf, np.floor(bound))
+
+    def scorer(self, query: np.ndarray):
+        """Exact scores of a slice of the rows: (first, last, least) -> (rows, whole numbers).
+
+        Rows that score less than ``least`` may be left out.
+        """
+        most = self.largest * float(np.abs(query).max(initial=0.0)) * max(1, len(query))
+        if most < 2.0**52:
+            def doubles(first: int, last: int, least: int):
+                scores = self.vectors[first:last] @ query
+                rows = np.flatnonzero(scores >= least)
+                return rows.tolist(), scores[rows].astype(np.int64).tolist()
+
+            return doubles
+        if most < 2.0**62 and self.largest < 2.0**62 and np.abs(query).max() < 2.0**62:
+            if self.integers is None:
+                self.integers = self.vectors.astype(np.int64)
+            own = query.astype(np.int64)
+
+            def integers(first: int, last: int, least: int):
+                scores = self.integers[first:last] @ own
+                rows = np.flatnonzero(scores >= least)
+                return rows.tolist(), scores[rows].tolist()
+
+            return integers
+        whole = [int(x) for x in query.tolist()]
+
+        def any_size(first: int, last: int, least: int):
+            block = self.vectors[first:last]
+            # What overflows, and so compares false, is worked out as well.
+            with np.errstate(over="ignore", invalid="ignore"):
+                error = (np.abs(block) @ np.abs(query)) * MARGIN
+                rows = np.flatnonzero(~(block @ query + error < float(least) - 1.0)).tolist()
+            scores = [sum(int(x) * y for x, y in zip(block[i].tolist(), whole, strict=True)) for i in rows]
+            fit = [(i, x) for i, x in zip(rows, scores, strict=True) if -(2**63) <= x < 2**63 and x >= least]
+            return [i for i, _ in fit], [x for _, x in fit]
+
+        return any_size
 
     def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: tuple[int, int]) -> list:
         """The k best (score, -id) that beat or equal ``floor``, found from the best node on."""
         best: list[tuple[int, int]] = []
-        q = query.astype(np.float64) if self.exact is not None else query
+        scores_of = self.scorer(query)
         heap = [(-bound[0], 0)]
         while heap:
             up, node = heapq.heappop(heap)
@@ -121,10 +172,8 @@ class BallTree:
                     heapq.heappush(heap, (-bound[child], child))
                 continue
             first, last = self.spans[node]
-            table = self.exact if self.exact is not None else self.vectors
-            scores = (table[first:last] @ q).astype(np.int64)
-            for i in np.flatnonzero(scores >= limit[0]).tolist():
-                found = (int(scores[i]), -int(self.ids[first + i]))
+            for i, score in zip(*scores_of(first, last, limit[0]), strict=True):
+                found = (score, -int(self.ids[first + i]))
                 if found[1] == -own or found < floor:
                     continue
                 if len(best) < k:
@@ -145,7 +194,9 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], bool, pa.Rec
 
 
 def _vectors(rows: pa.RecordBatch, dims: int) -> np.ndarray:
-    return rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows.num_rows, dims)
+    return rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(
+        np.float64, copy=False
+    ).reshape(rows.num_rows, dims)
 
 
 def _search_shards(k: int):
@@ -182,57 +233,6 @@ def _search_shards(k: int):
     return run
 
 
-def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: tuple[int, int]) -> list:
-        """The k best (score, -id) that beat or equal ``floor``, found from the best node on."""
-        best: list[tuple[int, int]] = []
-        q = query.astype(np.float64) if self.exact is not None else query
-        heap = [(-bound[0], 0)]
-        while heap:
-            up, node = heapq.heappop(heap)
-            limit = best[0] if len(best) == k else floor
-            limit = max(limit, floor)
-            if -up < limit[0]:
-                break
-            if -up == limit[0] and -int(self.least[node]) < limit[1]:
-                continue
-            pair = self.children[node]
-            if pair:
-                for child in pair:
-                    heapq.heappush(heap, (-bound[child], child))
-                continue
-            first, last = self.spans[node]
-            table = self.exact if self.exact is not None else self.vectors
-            scores = (table[first:last] @ q).astype(np.int64)
-            for i in np.flatnonzero(scores >= limit[0]).tolist():
-                found = (int(scores[i]), -int(self.ids[first + i]))
-                if found[1] == -own or found < floor:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, found)
-                elif found > best[0]:
-                    heapq.heapreplace(best, found)
-        return best
-
-
-def _search_shard(k: int):
-    def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(shard) and len(queries):
-            tree = BallTree(np.stack(shard["v"].to_numpy()).astype(np.int64), shard["vec_id"].to_numpy())
-            for first in range(0, len(queries), 256):
-                part = queries.iloc[first:first + 256]
-                q = np.stack(part["q"].to_numpy()).astype(np.int64)
-                bounds = tree.bounds(q)
-                rows = zip(part["own"], part["asked"], part["kth"], part["kth_id"], strict=True)
-                for i, (own, row, kth, kth_id) in enumerate(rows):
-                    floor = (int(kth), -int(kth_id))
-                    for score, minus in tree.search(q[i], int(own), bounds[i], k, floor):
-                        out.append((own, row, -minus, score))
-        return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
-
-    return run
-
-
 def search(vectors: DataFrame, k: int, is_query, vec_id: str = "vec_id", vector: str = "embedding",
            scale: int = 256, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score) of every row for which ``is_query(vec_id)`` holds."""

@@ -193,6 +193,46 @@ def test_top_k_streams_queries_past_a_shard():
     assert {r["query_id"]: r["vec_id"] for r in rows} == {0: 1, **{i: 7 for i in range(1, 7)}, 7: 6}
 
 
+def test_no_bound_is_below_its_best_score():
+    """Tight clouds far out and queries nearly at right angles to them, at every size."""
+    draw = np.random.default_rng(8)
+    for power in (4, 12, 20, 26, 31, 45):
+        for _ in range(6):
+            far = np.floor(draw.normal(size=8) * 2.0**power)
+            cloud = np.floor(far + draw.normal(size=(90, 8)) * draw.choice([0, 1, 50]))
+            tree = topk.BallTree(cloud, np.arange(90), leaf=4)
+            q = draw.normal(size=(20, 8))
+            q = np.floor((q - np.outer(q @ far, far) / max(1.0, far @ far)) * 2.0**power)
+            bounds = tree.bounds(q)
+            for row, query in enumerate(q.tolist()):
+                scores = [sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in tree.vectors.tolist()]
+                for node, (a, b) in enumerate(tree.spans):
+                    assert bounds[row, node] >= max(scores[a:b])
+
+
+def test_top_k_of_vectors_of_any_size(spark):
+    """Scores of 53 and of 63 bits and products beyond both, some of which cancel out."""
+    draw = np.random.default_rng(9)
+    rows = [(0, [1.0, 2.0, 0.0]), (1, [3.0, 1.0, 0.0]), (2, [1e10, 1.0, 0.0]), (3, [1e30, 0.0, 1.0]), (4, [0.0, 4.0, 9.0])]
+    rows += [(5, [1e18, -1e18, 0.0]), (6, [1e18, 1e18, 0.5]), (7, [-0.0, 1e12, 3e12]), (8, [2e12, 0.0, -1e12]), (9, [1e300] * 3)]
+    for i in range(10, 200):
+        rows.append((i, [float(x) for x in draw.normal(size=3) * 10.0 ** draw.integers(0, 13)]))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for name in ("row", "v", "shard", "dims", "score", "rank", "query_id"):
+        table = table.withColumn(name, F.lit("clash"))
+    got = defaultdict(list)
+    for r in topk.search(table, 5, lambda i: i % 2 == 0, shard_rows=40, block_queries=2).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    whole = {i: [int(np.floor(256 * x)) if abs(256 * x) < 2.0**52 else int(256 * x) for x in v] for i, v in rows}
+    for q in range(0, 200, 2):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v, strict=True)) for i, v in whole.items() if i != q}
+        fit = sorted((-s, i) for i, s in scores.items() if -(2**63) <= s < 2**63)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(fit)], q
+    three = spark.createDataFrame([(i, v[:2]) for i, v in rows[:3]], "vec_id long, embedding array<double>")
+    best = {r["rank"]: (r.vec_id, r.score) for r in topk.search(three, 5, lambda i: i == 0).collect()}
+    assert best == {1: (2, 256 * 256 * (10**10 + 2)), 2: (1, 256 * 256 * 5)}
+
+
 def test_top_k_with_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0]), (7, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in topk.search(one, 5, lambda i: i == 0).collect()] == [(0, 7)]
