@@ -98,7 +98,7 @@ def _at_levels(rows: DataFrame, levels: Column, start: Column, end: Column, widt
     touched = F.when(F.col("_level") == WHOLE, F.array(F.lit(0).cast("bigint"))).otherwise(
         F.sequence(F.floor(start / own), F.greatest(F.floor(start / own), F.floor(end / own)))
     )
-    return leveled.withColumn("_b", F.explode(touched)).withColumn("_part", F.pmod(part, _parts(F.col("_level"))))
+    return leveled.withColumn("_b", F.explode(touched)).withColumn("_part", F.pmod(part, _parts(F.col("_level"))).cast("int"))
 
 
 def frames_in_sections(

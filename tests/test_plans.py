@@ -21,7 +21,12 @@ def test_no_nested_loops(spark, name):
 
 
 def test_top_n_limits_before_the_shuffle(spark):
-    assert plan(QUERIES["top_n_display"](spark, SF)).count("WindowGroupLimit") == 2
+    """In the plan of tables too large to broadcast; small ones meet without any shuffle."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(QUERIES["top_n_display"](spark, SF)).count("WindowGroupLimit") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_scan_reads_only_needed_columns(spark):
