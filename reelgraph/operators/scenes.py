@@ -105,6 +105,29 @@ def normalize_detections(
     )
 
 
+def fill_image_size(detections: DataFrame) -> DataFrame:
+    """Sizes of images whose detector gave none, from the largest box corner in the frame.
+
+    ``detections``: normalised, with one size per frame; width or height of 1 or less counts
+    as missing, and then neither becomes smaller than the corners. Rows with a size pass by
+    without a shuffle; the corners of the others are combined before it.
+    """
+    missing = (F.col("width") <= 1) | (F.col("height") <= 1)
+    without = detections.where(missing)
+    corners = without.groupBy(F.col("frame_id").alias("_frame")).agg(
+        F.max("mx2").alias("_right"), F.max("my2").alias("_bottom")
+    )
+    kinds = detections.schema
+
+    def grown(size: str, corner: str) -> Column:
+        return F.greatest(F.col(size), F.ceil(F.coalesce(corner, F.lit(0.0)))).cast(kinds[size].dataType)
+
+    filled = without.join(corners, F.col("frame_id") == F.col("_frame")).withColumns(
+        {"width": grown("width", "_right"), "height": grown("height", "_bottom")}
+    )
+    return detections.where(~missing).unionByName(filled.drop("_frame", "_right", "_bottom"))
+
+
 def _related(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """First pair per (frame, from, relation, to) in detection order.
 

@@ -907,3 +907,16 @@ WHERE video_id % 7 > 0 AND (video_id % 3 > 0 OR frame_id % 2 = 0)
 SQL["artifact_tables"] = """
 SELECT doc_id AS video_id, lang, md5(text) AS text_md5 FROM documents
 """
+SQL["image_sizes"] = """
+WITH d AS (
+  SELECT l_orderkey AS frame_id, l_suppkey % 50 * 12.0 + l_quantity * 6 AS x2, l_partkey % 40 * 9.0 + l_quantity * 5 AS y2
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+)
+SELECT frame_id,
+       CASE frame_id % 4 WHEN 0 THEN greatest(1, CAST(ceil(max(x2)) AS BIGINT))
+            WHEN 1 THEN greatest(960, CAST(ceil(max(x2)) AS BIGINT)) ELSE 960 END AS width,
+       CASE frame_id % 4 WHEN 1 THEN greatest(1, CAST(ceil(max(y2)) AS BIGINT))
+            WHEN 0 THEN greatest(540, CAST(ceil(max(y2)) AS BIGINT)) ELSE 540 END AS height,
+       count(*) AS detections
+FROM d GROUP BY frame_id
+"""

@@ -57,7 +57,9 @@ def parse_videos(
         detections,
         found,
     )
-    scored = scoring.match_score(pairs, graphs, detections, signs, synonyms)
+    scored = scoring.match_score(
+        pairs, graphs, scenes.fill_image_size(detections), signs, synonyms, counted=detections
+    )
     missed = scoring.default_match(pairs, graphs, signs).join(
         kept.drop("quality_score"), list(scoring.PAIR)
     )

@@ -662,6 +662,20 @@ def scene_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations(spark, sf_dir).withColumn("relation_no", F.col("relation_no").cast("bigint"))
 
 
+@query
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes per frame where a quarter of the images lacks a width, another a height."""
+    f = F.col("frame_id")
+    raw = b.raw_detections(spark, sf_dir).withColumns({
+        "width": F.when(f % 4 != 0, F.col("width")), "height": F.when(f % 4 == 1, F.lit(0)).otherwise(F.col("height")),
+    })
+    sized = scenes.fill_image_size(scenes.normalize_detections(raw, b.SYNONYMS))
+    return sized.groupBy("frame_id").agg(
+        F.max("width").cast("bigint").alias("width"), F.max("height").cast("bigint").alias("height"),
+        F.count(F.lit(1)).alias("detections"),
+    )
+
+
 def order_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.frame_scenes(
         b.order_frames(spark, sf_dir), b.detections(spark, sf_dir), relations(spark, sf_dir)

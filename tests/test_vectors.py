@@ -487,3 +487,18 @@ def test_label_export(spark, rows, tmp_path):
     assert rows(image_rows, "stem", "suffix") == [("one", ".jpg")]
     assert rows(files) == [("one",)]
     assert rows(lines, "stem", "line_no") == [("one", 0), ("one", 1)]
+
+
+def test_image_size_from_the_largest_corner(spark, rows):
+    data = [
+        (1, 1, 10.0, 10.0, 90.2, 40.0, 0, 0), (1, 2, 0.0, 0.0, 20.0, 120.5, None, 0),
+        (2, 1, 0.0, 0.0, 700.0, 30.0, 640, 0), (3, 1, 0.0, 0.0, 700.0, 30.0, 640, 360), (4, 1, -5.0, -5.0, -1.0, -1.0, 0, 0),
+    ]
+    raw = spark.createDataFrame(
+        [(f, n, "cup", 0.5, *rest) for f, n, *rest in data], "frame_id long, det_no long, label string, "
+        "confidence double, x1 double, y1 double, x2 double, y2 double, width int, height int",
+    )
+    sized = scenes.fill_image_size(scenes.normalize_detections(raw, None))
+    assert rows(sized.select("frame_id", "width", "height").distinct()) == [
+        (1, 91, 121), (2, 700, 30), (3, 640, 360), (4, 1, 1),
+    ]
