@@ -337,6 +337,19 @@ SELECT c_custkey AS id,
        coalesce(max(epoch_us(ts) // 1000), 1704067200000) AS updated_at
 FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey
 """
+SQL["unknown_updates"] = """
+SELECT user_id AS id, event_id AS seq, CASE WHEN event_type <> 'view' THEN event_type END AS status,
+       'unknown_id' AS reason
+FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 > 0)
+"""
+SQL["job_permissions"] = with_ctes(
+    """
+SELECT id, status IN ('uploaded', 'completed', 'completed_with_warnings', 'failed', 'deleting') AS deletable,
+       status NOT IN ('deleting', 'queued', 'processing') AS parseable
+FROM catalogue
+""",
+    "catalogue",
+)
 SQL["fail_interrupted"] = with_ctes(
     """
 SELECT * REPLACE (CASE WHEN status = 'processing' THEN 'failed' ELSE status END AS status),

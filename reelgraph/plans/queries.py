@@ -337,6 +337,22 @@ def apply_job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def unknown_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates set aside because no video has their id; every fifth video is unknown."""
+    known = b.customer_jobs(spark, sf_dir).where(F.col("id") % 5 > 0)
+    odd = catalogue.unknown_updates(known, b.field_updates(spark, sf_dir))
+    return odd.select("id", "seq", "status", "reason")
+
+
+@query
+def job_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which jobs may be deleted, and which may be parsed again."""
+    return b.catalogue(spark, sf_dir).select(
+        "id", catalogue.deletable("status").alias("deletable"), catalogue.parseable("status").alias("parseable")
+    )
+
+
 @query
 def fail_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(b.ORIGIN_MS).cast("bigint")
