@@ -9,7 +9,8 @@ sizes) that of more fragments than that at least one holds equal segments. Sizes
 classes whose bounds grow by half; a class has more fragments than its largest possible
 difference, and a set so large that a partner may lie in the next class is cut for that
 class too. Sets that share a segment are joined to families by components over
-(set, smallest set of the segment), so that no pair is made.
+(set, smallest set of the segment), so that no pair is made. Keys of segments are combined
+in chunks of a task, cross the network once and are kept where two sets meet.
 
 Counting. The sets of a family are dealt into blocks; each pair of blocks is one group.
 There the order is cut again, partial overlaps are counted per fragment for all pairs of
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.llm.common import Shared
@@ -51,6 +52,10 @@ BLOCK_SETS = 256
 BLOCK_GRAMS = 1 << 19
 #: Distinct n-grams of one fragment while overlaps are counted.
 FRAGMENT = 4_096
+#: Keys that a task combines before they are shuffled.
+CHUNK_KEYS = 1 << 20
+#: Sets a task remembers, so that equal ones are cut once.
+SEEN_SETS = 200_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -173,20 +178,30 @@ def segment_keys(grams: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]
 
 
 def describe(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, cuts) of every row; a cut is (need, keys)."""
+    """(doc_id, n_shingles, set_a, set_b, cuts) of every row; a cut is (need, keys).
+
+    Of equal sets at least one row has the cuts; others of its task may have none.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         grams = Grams(n)
+        seen: set[bytes] = set()
         for part in each_part(batches):
             sizes, first, second, cuts = [], [], [], []
-            for content in part.column(1).to_pylist():
+            for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 own = grams.of(content)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 sizes.append(len(own))
                 first.append(int.from_bytes(digest[:8], "little", signed=True))
                 second.append(int.from_bytes(digest[8:], "little", signed=True))
+                if doc is None or digest in seen:  # An equal set of this task has given its keys.
+                    cuts.append([])
+                    continue
                 cuts.append(segment_keys(own, percent))
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(digest)
             inner = [keys.view(np.int64) for own in cuts for _, keys in own]
             flat = np.concatenate(inner) if inner else np.zeros(0, np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, inner)]), pa.int32()), pa.array(flat))
@@ -207,6 +222,56 @@ def describe(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
     )
 
 
+def _node(set_a: str, cut: str):
+    """A set and its cut as one number; the set keeps 63 bits."""
+    return F.expr(f"shiftleft(shiftright({set_a}, 1), 1)").bitwiseOR(F.col(cut).cast("long"))
+
+
+KEYS = "key long, node long"
+
+
+def _chunk_keys(inside: bool):
+    """Rows (key, node) of the cuts of sets, by chunks of about ``CHUNK_KEYS`` keys.
+
+    A key's smallest node in a chunk stands for the others (a key of very many sets is one
+    row a chunk); with ``inside`` the rows of all nodes of keys that a chunk holds twice.
+    """
+    def flush(keys: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+        key = np.concatenate(keys)
+        node = np.repeat(np.array(nodes, np.int64), sizes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        if inside:
+            fresh = first | np.concatenate([[True], node[1:] != node[:-1]])
+            key, node, first = key[fresh], node[fresh], first[fresh]
+            taken = ~(first & np.concatenate([first[1:], [True]]))
+        else:
+            taken = first
+        return pa.RecordBatch.from_arrays([pa.array(key[taken]), pa.array(node[taken])], names=["key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        nodes: list[int] = []
+        sizes: list[int] = []
+        held = 0
+        for part in each_part(batches):
+            for set_a, cuts in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for cut, own in enumerate(cuts.values or ()):
+                    flat = own["keys"].values.to_numpy()
+                    keys.append(flat)
+                    nodes.append(set_a >> 1 << 1 | cut)
+                    sizes.append(len(flat))
+                    held += len(flat)
+                if held >= CHUNK_KEYS:
+                    yield flush(keys, nodes, sizes)
+                    keys, nodes, sizes, held = [], [], [], 0
+        if keys:
+            yield flush(keys, nodes, sizes)
+
+    return run
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Common n-grams of every pair: partial counts per fragment of the order, summed."""
     both = left + right
@@ -277,27 +342,37 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
     sets = shared.save(
         named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")), "sets"
     )
-    cut = named.select("set_a", F.posexplode("cuts").alias("cut", "of"))
-    exploded = cut.select("set_a", "cut", "of.need", F.explode("of.keys").alias("key"))
-    shares = exploded.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
-    shares = shares.where("low != high").select(F.col("key").alias("shared_key"), "low")
+    cuts = named.select("set_a", "cuts")
+    # Keys cross the network once: one row of a key per chunk, sorted into runs.
+    run = Window.partitionBy("key")
+    probes = cuts.mapInArrow(_chunk_keys(False), KEYS)
+    met = probes.withColumn("low", F.min("node").over(run)).withColumn("high", F.max("node").over(run))
+    beyond = shared.save(met.where("low != high").select("key", "node"), "met")
+    inside = cuts.mapInArrow(_chunk_keys(True), KEYS)
+    # Keys that meet in a chunk only make other sets of that chunk members of the key.
+    rows = shared.save(beyond.union(inside).distinct(), "shared_keys")
+    shared.drop("met")
+    needs = shared.save(
+        named.select("set_a", F.posexplode("cuts").alias("cut", "of"))
+        .select(_node("set_a", "cut").alias("_node"), F.col("of.need").alias("need")).distinct(),
+        "needs",
+    )
     # A linked set shares more keys than a passage gives: sets with fewer go.
-    rows = shared.save(
-        exploded.join(shares.drop("low"), F.col("key") == F.col("shared_key"))
-        .select("set_a", "cut", "need", "key").distinct(),
-        "shared_keys",
+    counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    enough = counted.join(needs, F.col("node") == F.col("_node")).where("n >= need").select("_node")
+    left = rows.join(enough, F.col("node") == F.col("_node")).select(
+        "key", F.expr("shiftright(node, 1)").alias("set_a")
     )
-    enough = rows.groupBy("set_a", "cut").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
-    enough = enough.where("n >= need").select(F.col("set_a").alias("_set"), F.col("cut").alias("_cut"))
-    left = rows.join(enough, (F.col("set_a") == F.col("_set")) & (F.col("cut") == F.col("_cut")))
     lows = left.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
     lows = lows.where("low != high").select(F.col("key").alias("shared_key"), "low")
     edges = left.join(lows, F.col("key") == F.col("shared_key")).select(
         F.col("set_a").alias("a"), F.col("low").alias("b")
     ).distinct()
     families = shared.save(connected(edges), "families")
+    shared.drop("shared_keys")
+    shared.drop("needs")
     members = shared.save(
-        sets.join(families, F.col("set_a") == F.col("node")).select("rep", "size", F.col("component").alias("family")),
+        sets.join(families, F.expr("shiftright(set_a, 1)") == F.col("node")).select("rep", "size", F.col("component").alias("family")),
         "members",
     )
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("grams"))
