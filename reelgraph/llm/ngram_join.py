@@ -48,8 +48,8 @@ from reelgraph.llm.word_scores import each_part
 #: Growth of size classes.
 GROWTH = 1.5
 #: Sets and n-grams in a block, on average.
-BLOCK_SETS = 256
-BLOCK_GRAMS = 1 << 19
+BLOCK_SETS = 512
+BLOCK_GRAMS = 1 << 20
 #: Distinct n-grams of one fragment while overlaps are counted.
 FRAGMENT = 4_096
 #: Keys that a task combines before they are shuffled.
@@ -295,15 +295,17 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _links(percent: int):
+def _links(n: int, percent: int):
+    grams = Grams(n)
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         same = bool((frame["side"] == 2).any())
         lefts = frame[frame["side"] != 1]
         rights = lefts if same else frame[frame["side"] == 1]
         out: list[tuple[int, int]] = []
         if len(lefts) and len(rights):
-            a = [np.frombuffer(s, "<u8") for s in lefts["grams"]]
-            b = a if same else [np.frombuffer(s, "<u8") for s in rights["grams"]]
+            a = [grams.of(t) for t in lefts["text"]]
+            b = a if same else [grams.of(t) for t in rights["text"]]
             common = overlaps(a, b)
             union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common
             at, to = np.nonzero(100 * common >= percent * union)
@@ -336,8 +338,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
          text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     shared = Shared(docs.sparkSession)
-    table = shared.save(describe(docs, n, percent, doc_id, text), "described")
-    named = table.where("doc_id is not null and n_shingles > 0")
+    described = shared.save(describe(docs, n, percent, doc_id, text), "described")
+    named = described.where("doc_id is not null and n_shingles > 0")
+    table = shared.save(described.drop("cuts"), "table")
     # The representative of equal sets: their smallest id.
     sets = shared.save(
         named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size")), "sets"
@@ -357,6 +360,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
         .select(_node("set_a", "cut").alias("_node"), F.col("of.need").alias("need")).distinct(),
         "needs",
     )
+    shared.drop("described")
     # A linked set shares more keys than a passage gives: sets with fewer go.
     counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     enough = counted.join(needs, F.col("node") == F.col("_node")).where("n >= need").select("_node")
@@ -384,17 +388,16 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
         "rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     )
     source = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    # One kind of join at every size: the side that is not the text grows with it.
-    grams = source.join(placed.hint("merge"), "rep").mapInArrow(
-        _gram_rows(n), "rep long, family long, blocks int, block int, grams binary"
-    )
+    # One kind of join at every size: the side that is not the text grows with it. Texts go
+    # to the blocks, as they take less room than the hashes of their n-grams.
+    texts = source.join(placed.hint("merge"), "rep")
     # A block meets itself and every other one once: (smaller, larger).
-    met = grams.select("rep", "family", "block", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = texts.select("rep", "family", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select(
-        "rep", "family", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "rep", "family", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    links = met.groupBy("family", "i", "j").applyInPandas(_links(percent), "a long, b long")
+    links = met.groupBy("family", "i", "j").applyInPandas(_links(n, percent), "a long, b long")
     linked = connected(links)
     resolved = sets.join(linked, F.col("rep") == F.col("node"), "left").select(
         F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("component", "rep").alias("component")
@@ -406,15 +409,3 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
         F.when(F.col("n_shingles") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
-
-def _gram_rows(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(n)
-        for part in each_part(batches, 64):
-            held = [grams.of(t).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(c) for c in ("rep", "family", "blocks", "block")] + [pa.array(held, pa.binary())],
-                names=["rep", "family", "blocks", "block", "grams"],
-            )
-
-    return run
