@@ -38,12 +38,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.llm.common import Shared
 from reelgraph.llm.components import connected
-from reelgraph.llm.word_scores import each_part
+from reelgraph.llm.word_scores import WordHashes, Words, each_part
 
 #: Growth of size classes.
 GROWTH = 1.5
@@ -70,35 +71,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """Sorted distinct n-gram hashes of texts; hashes of words stay in a bounded table."""
-
-    def __init__(self, n: int, table: int = 400_000):
-        import xxhash
-
-        self.n, self.limit, self.hash = n, table, xxhash.xxh64_intdigest
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        hashes = list(map(known.get, words))
-        if None in hashes:
-            if len(known) > self.limit:
-                known.clear()
-            for k, h in enumerate(hashes):
-                if h is None:
-                    word = words[k]
-                    hashes[k] = self.hash(word)
-                    if len(word) <= 64:
-                        known[word] = hashes[k]
-        h = np.array(hashes, np.uint64)
-        n = min(self.n, len(h))
-        out = np.full(len(h) - n + 1, len(words) < self.n, np.uint64)
-        for k in range(n):
-            out = out * _STEP + h[k:len(h) - n + 1 + k]
-        return np.unique(mix(out))
+    """Sorted distinct n-gram hashes of texts."""
+
+    def __init__(self, n: int):
+        self.n, self.known = n, WordHashes()
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        words = Words(pc.ascii_lower(texts.cast(pa.string())))
+        hashes = self.known.of(words)
+        bounds = words.offsets.tolist()
+        full = np.zeros(max(0, len(hashes) - self.n + 1), np.uint64)
+        for k in range(self.n):
+            full = full * _STEP + hashes[k:len(hashes) - self.n + 1 + k]
+        full = mix(full)
+        return [
+            np.unique(full[a:b - self.n + 1]) if b - a >= self.n else self._short(hashes[a:b])
+            for a, b in zip(bounds, bounds[1:])
+        ]
+
+    def _short(self, hashes: np.ndarray) -> np.ndarray:
+        """The whole sequence of a text with fewer words, marked as such; none without words."""
+        out = np.ones(min(len(hashes), 1), np.uint64)
+        for h in hashes:
+            out = out * _STEP + h
+        return mix(out)
 
 
 def size_class(size: int) -> int:
@@ -189,8 +185,7 @@ def describe(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> D
         seen: set[bytes] = set()
         for part in each_part(batches):
             sizes, first, second, cuts = [], [], [], []
-            for doc, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                own = grams.of(content)
+            for doc, own in zip(part.column(0).to_pylist(), grams.of(part.column(1)), strict=True):
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 sizes.append(len(own))
                 first.append(int.from_bytes(digest[:8], "little", signed=True))
@@ -304,8 +299,8 @@ def _links(n: int, percent: int):
         rights = lefts if same else frame[frame["side"] == 1]
         out: list[tuple[int, int]] = []
         if len(lefts) and len(rights):
-            a = [grams.of(t) for t in lefts["text"]]
-            b = a if same else [grams.of(t) for t in rights["text"]]
+            a = grams.of(pa.array(lefts["text"], pa.string()))
+            b = a if same else grams.of(pa.array(rights["text"], pa.string()))
             common = overlaps(a, b)
             union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - common
             at, to = np.nonzero(100 * common >= percent * union)

@@ -31,16 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from reelgraph.llm.common import Shared
 from reelgraph.llm.ngram_join import mix
-from reelgraph.llm.word_scores import each_part, words_of
+from reelgraph.llm.word_scores import WordHashes, Words, each_part, words_of
 
 WINDOW = 13
 PHRASE = 4
+#: Texts read at once.
+TEXTS = 1_024
 #: Distinct stretches of one anchor in one part of a shard, on average.
 PART_STRETCHES = 256
 #: Stretches of one shard, on average.
@@ -49,29 +52,6 @@ SHARD_STRETCHES = 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes:
-    """64-bit hashes of words, kept in a bounded table."""
-
-    def __init__(self, table: int = 400_000):
-        import xxhash
-
-        self.limit, self.hash = table, xxhash.xxh64_intdigest
-        self.known: dict[bytes, int] = {}
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) > self.limit:
-                known.clear()
-            for k, h in enumerate(found):
-                if h is None:
-                    found[k] = self.hash(words[k])
-                    if len(words[k]) <= 64:
-                        known[words[k]] = found[k]
-        return np.array(found, np.uint64)
-
-
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words."""
     out = np.zeros(max(0, len(words) - n + 1), np.uint64)
@@ -80,34 +60,36 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor places of a document, and for every window the number of its anchor.
+def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every anchor: its text, its phrase hash, and its first and last window.
 
     The leftmost smallest phrase hash of a window; hash and place are compared together.
+    Windows are numbered by the place of their first word in ``words``.
     """
-    if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    phrases = run_hashes(words, PHRASE)
-    width = window - PHRASE + 1
-    windows = np.lib.stride_tricks.sliding_window_view(phrases, width)
-    place = np.arange(len(windows)) + windows.argmin(axis=1)
-    fresh = np.concatenate([[True], place[1:] != place[:-1]])
-    return place[fresh], np.cumsum(fresh) - 1
+    starts, owner = words.starts(window)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none, none
+    phrases = run_hashes(hashes, PHRASE)
+    windows = np.lib.stride_tricks.sliding_window_view(phrases, window - PHRASE + 1)
+    place = (np.arange(len(windows)) + windows.argmin(axis=1))[starts]
+    fresh = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
+    last = np.concatenate([np.nonzero(fresh)[0][1:], [len(starts)]]) - 1
+    return owner[fresh], phrases[place[fresh]], starts[fresh], starts[last]
 
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in each_part(batches):
-            found = []
-            for text in part.column(1).to_pylist():
-                words = hashes.of(words_of(text))
-                places, _ = anchors(words, window)
-                found.append(run_hashes(words, PHRASE)[places].view(np.int64) if len(places) else places)
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        known = WordHashes()
+        for part in each_part(batches, TEXTS):
+            words = Words(part.column(1))
+            owner, keys, _, _ = anchors(words, known.of(words), window)
+            offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                [
+                    part.column(0), part.column(2),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
+                ],
                 names=["doc_id", "digest", "anchors"],
             )
 
@@ -117,28 +99,29 @@ def _anchor_rows(window: int):
 def _stretch_rows(window: int):
     """Rows (anchor, stretch, first word, doc) of the anchors listed for a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in each_part(batches, 64):
-            docs, digests, keys, texts, firsts = [], [], [], [], []
-            columns = [part.column(c).to_pylist() for c in ("doc_id", "digest", "text", "places")]
-            for doc, digest, text, listed in zip(*columns, strict=True):
-                words = words_of(text)
-                coded = hashes.of(words)
-                places, owner = anchors(coded, window)
-                phrases = run_hashes(coded, PHRASE).view(np.int64)
-                first_window = np.searchsorted(owner, np.arange(len(places)))
-                last_window = np.searchsorted(owner, np.arange(len(places)), side="right") - 1
-                for k in set(listed):
-                    start, end = int(first_window[k]), int(last_window[k]) + window
-                    docs.append(doc)
-                    digests.append(digest)
-                    keys.append(int(phrases[places[k]]))
-                    texts.append(b" ".join(words[start:end]))
-                    firsts.append(start)
+        known = WordHashes()
+        for part in each_part(batches, TEXTS):
+            words = Words(part.column("text"))
+            owner, keys, first, last = anchors(words, known.of(words), window)
+            lists = part.column("places")
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            taken = np.unique(np.searchsorted(owner, row) + lists.flatten().to_numpy())
+            owner, keys, first, last = owner[taken], keys[taken], first[taken], last[taken]
+            # One space between words; a stretch is cut out of that by bytes.
+            ends = np.cumsum(pc.binary_length(words.flat).to_numpy().astype(np.int64) + 1)
+            begins = np.concatenate([[0], ends[:-1]])
+            joined = b" ".join(words.flat.cast(pa.binary()).to_pylist())
+            texts = [
+                joined[a:b] for a, b in zip(
+                    begins[first].tolist(), (ends[last + window - 1] - 1).tolist(), strict=True
+                )
+            ]
+            rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(docs, pa.int64()), pa.array(digests, pa.int64()), pa.array(keys, pa.int64()),
-                    pa.array(texts, pa.binary()), pa.array(firsts, pa.int64()),
+                    part.column("doc_id").take(rows), part.column("digest").take(rows),
+                    pa.array(keys.view(np.int64)), pa.array(texts, pa.binary()),
+                    pa.array(first - words.offsets[owner]),
                 ],
                 names=["doc_id", "digest", "anchor", "stretch", "first"],
             )
@@ -152,22 +135,20 @@ STRETCHES = "doc_id long, digest long, anchor long, stretch binary, first long"
 def _part_rows(window: int):
     """Deals a stretch to the parts of its anchor in which its windows fall."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         names = ["anchor", "stretch", "low", "high"]
+        known = WordHashes()
         for part in each_part(batches, 4096):
-            rows, parts = [], []
-            for row, (count, stretch) in enumerate(zip(
-                part.column("parts").to_pylist(), part.column("stretch").to_pylist(), strict=True
-            )):
-                if count == 1:
-                    rows.append(row)
-                    parts.append(0)
-                    continue
-                own = run_hashes(hashes.of(stretch.split()), window) % np.uint64(count)
-                for p in np.unique(own).tolist():
-                    rows.append(row)
-                    parts.append(p)
-            taken = part.take(pa.array(rows, pa.int64()))
+            counts = part.column("parts").to_numpy(zero_copy_only=False).astype(np.int64)
+            several = np.nonzero(counts > 1)[0]
+            rows, parts = np.nonzero(counts == 1)[0], np.zeros(int((counts == 1).sum()), np.int64)
+            if len(several):
+                words = Words(part.column("stretch").take(pa.array(several)))
+                starts, owner = words.starts(window)
+                owner = several[owner]
+                own = run_hashes(known.of(words), window)[starts] % counts[owner].astype(np.uint64)
+                dealt = np.unique(np.stack([owner, own.astype(np.int64)]), axis=1)
+                rows, parts = np.concatenate([rows, dealt[0]]), np.concatenate([parts, dealt[1]])
+            taken = part.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
                 [taken.column(c) for c in names] + [taken.column("parts"), pa.array(parts, pa.int32())],
                 names=[*names, "parts", "part"],
@@ -176,32 +157,56 @@ def _part_rows(window: int):
     return run
 
 
+def same_windows(codes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in an order that puts equal ones together, and where each kind begins.
+
+    Grouped by hash, then compared word for word; kinds whose hashes meet are told apart.
+    """
+    hashes = run_hashes(mix(codes.astype(np.uint64) + np.uint64(1)), window)[starts]
+    order = np.argsort(hashes, kind="stable")
+    hashes, at = hashes[order], starts[order]
+    first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    lead = at[np.nonzero(first)[0][np.cumsum(first) - 1]]
+    if all((codes[at + k] == codes[lead + k]).all() for k in range(window)):
+        return order, np.nonzero(first)[0]
+    order = np.lexsort([codes[starts + k] for k in range(window)])
+    at = starts[order]
+    first = np.ones(len(at), bool)
+    first[1:] = np.any([codes[at[1:] + k] != codes[at[:-1] + k] for k in range(window)], axis=0)
+    return order, np.nonzero(first)[0]
+
+
 def _locate(window: int):
+    """Confirms windows that two documents hold, compiles them, and streams the stretches.
+
+    Only the automaton says where a window lies and which id holds it first.
+    """
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        codes: dict[bytes, int] = {}
-        stretches = [
-            tuple(codes.setdefault(w, len(codes)) for w in bytes(s).split()) for s in frame["stretch"]
-        ]
-        held: dict[tuple[int, ...], list[int]] = {}
-        for words, low, high in zip(stretches, frame["low"].tolist(), frame["high"].tolist(), strict=True):
-            for at in range(len(words) - window + 1):
-                bounds = held.setdefault(words[at:at + window], [low, high])
-                bounds[0], bounds[1] = min(bounds[0], low), max(bounds[1], high)
-        confirmed = {w: b[0] for w, b in held.items() if b[0] != b[1]}
+        words = Words(pa.array(frame["stretch"], pa.binary()))
+        low, high = frame["low"].to_numpy(), frame["high"].to_numpy()
+        starts, owner = words.starts(window)
         out: list[tuple] = []
-        if confirmed:
+        if len(starts):
+            order, first = same_windows(words.codes, starts, window)
+            lowest = np.minimum.reduceat(low[owner[order]], first)
+            confirmed = lowest != np.maximum.reduceat(high[owner[order]], first)
+        if len(starts) and confirmed.any():
+            codes = words.codes.tolist()
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for words, low in confirmed.items():
-                automaton.add_word(words, low)
+            leads = starts[order[first[confirmed]]]
+            for at, least in zip(leads.tolist(), lowest[confirmed].tolist(), strict=True):
+                automaton.add_word(tuple(codes[at:at + window]), least)
             automaton.make_automaton()
-            for anchor, stretch, words, high in zip(
-                frame["anchor"].tolist(), frame["stretch"], stretches, frame["high"].tolist(), strict=True
-            ):
-                places = [(end - window + 1, low) for end, low in automaton.iter(words) if low < high]
+            bounds = words.offsets.tolist()
+            for row, (anchor, stretch, most) in enumerate(zip(
+                frame["anchor"].tolist(), frame["stretch"], high.tolist(), strict=True
+            )):
+                found = automaton.iter(tuple(codes[bounds[row]:bounds[row + 1]]))
+                places = [(end - window + 1, least) for end, least in found if least < most]
                 if places:
-                    out.append((anchor, bytes(stretch), [p for p, _ in places], [low for _, low in places]))
+                    out.append((anchor, stretch, [p for p, _ in places], [least for _, least in places]))
         return pd.DataFrame(out, columns=["anchor", "stretch", "at", "lows"])
 
     return run

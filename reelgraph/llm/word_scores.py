@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words whose values a task keeps at most.
 WORD_TABLE = 300_000
@@ -54,6 +55,61 @@ class WordSums:
         return out
 
 
+class Words:
+    """Words of texts, one after the other, as numbers of a dictionary of their own.
+
+    Arrow splits and numbers them: ASCII white space, exactly the six characters, separates.
+    """
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        full = pc.greater(pc.binary_length(flat), 0)
+        # Words before each text; white space at either end leaves an empty word.
+        before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
+        self.offsets = before[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+        self.flat = flat.filter(full)
+        coded = self.flat.dictionary_encode()
+        self.codes = coded.indices.to_numpy().astype(np.int64)
+        self.values = coded.dictionary
+
+    def starts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places where n words of one text begin, and the number of that text."""
+        counts = np.maximum(np.diff(self.offsets) - n + 1, 0)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        skipped = self.offsets[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]])
+        return np.arange(len(owner)) + skipped[owner], owner
+
+
+class WordHashes:
+    """64-bit hashes of words; those of short words stay in a bounded table."""
+
+    def __init__(self, table: int = 100_000):
+        self.limit = table
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.found = pa.array([], pa.string()), np.zeros(0, np.uint64)
+
+    def of(self, words: Words) -> np.ndarray:
+        import xxhash
+
+        at = pc.index_in(words.values, value_set=self.known)
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        own = np.zeros(len(fresh), np.uint64)
+        own[~fresh] = self.found[at.drop_null().to_numpy()]
+        if fresh.any():
+            values = words.values.filter(pa.array(fresh))
+            texts = values.cast(pa.binary()).to_pylist()
+            own[fresh] = added = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+            if len(self.known) > self.limit:
+                self._clear()
+            short = pc.less_equal(pc.binary_length(values), WORD_LONGEST)
+            self.known = pa.concat_arrays([self.known, values.filter(short)])
+            self.found = np.concatenate([self.found, added[short.to_numpy(zero_copy_only=False)]])
+        return own[words.codes]
+
+
 def each_part(batches: Iterator[pa.RecordBatch], texts: int = TEXTS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, texts):
