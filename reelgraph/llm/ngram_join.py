@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.llm.common import Shared
 from reelgraph.llm.components import connected
-from reelgraph.llm.word_scores import WordHashes, Words, each_part
+from reelgraph.llm.word_scores import Words, each_part, mix
 
 #: Growth of size classes.
 GROWTH = 1.5
@@ -58,27 +58,19 @@ CHUNK_KEYS = 1 << 20
 #: Sets a task remembers, so that equal ones are cut once.
 SEEN_SETS = 200_000
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_SECOND = np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    x = (x ^ (x >> np.uint64(27))) * _SECOND
-    return x ^ (x >> np.uint64(31))
 
 
 class Grams:
     """Sorted distinct n-gram hashes of texts."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, WordHashes()
+        self.n = n
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         words = Words(pc.ascii_lower(texts.cast(pa.string())))
-        hashes = self.known.of(words)
+        hashes = words.hashes()
         bounds = words.offsets.tolist()
         full = np.zeros(max(0, len(hashes) - self.n + 1), np.uint64)
         for k in range(self.n):

@@ -12,10 +12,11 @@ Confirming and compiling. Equal stretches are one row with the smallest and the
 that hold them. They are dealt into shards by anchor; an anchor with many stretches is
 split by its windows' hashes, each stretch going to the parts that its windows fall in. In
 a shard, windows that two documents hold are confirmed word for word, with the smallest id
-that holds each, and compiled into an Aho-Corasick automaton over words.
+that holds each, joined to passages (longest runs with the same smallest id) and compiled
+into an Aho-Corasick automaton over words.
 
 Locating. Every stretch streams through its shard's automaton, which gives all places of
-confirmed windows at once; the documents of a stretch take those with a smaller id. Ranges
+confirmed passages at once; the documents of a stretch take those with a smaller id. Ranges
 are gathered per document and cut from its text.
 
 Defined cases: a null text has no words; shorter texts than a window lose nothing; texts
@@ -37,8 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from reelgraph.llm.common import Shared
-from reelgraph.llm.ngram_join import mix
-from reelgraph.llm.word_scores import WordHashes, Words, each_part, words_of
+from reelgraph.llm.word_scores import Words, each_part, mix, words_of
 
 WINDOW = 13
 PHRASE = 4
@@ -60,7 +60,7 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every anchor: its text, its phrase hash, and its first and last window.
 
     The leftmost smallest phrase hash of a window; hash and place are compared together.
@@ -70,7 +70,7 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none, none.view(np.uint64), none, none
-    phrases = run_hashes(hashes, PHRASE)
+    phrases = run_hashes(words.hashes(), PHRASE)
     windows = np.lib.stride_tricks.sliding_window_view(phrases, window - PHRASE + 1)
     place = (np.arange(len(windows)) + windows.argmin(axis=1))[starts]
     fresh = np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])
@@ -80,10 +80,8 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for part in each_part(batches, TEXTS):
-            words = Words(part.column(1))
-            owner, keys, _, _ = anchors(words, known.of(words), window)
+            owner, keys, _, _ = anchors(Words(part.column(1)), window)
             offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -99,21 +97,22 @@ def _anchor_rows(window: int):
 def _stretch_rows(window: int):
     """Rows (anchor, stretch, first word, doc) of the anchors listed for a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for part in each_part(batches, TEXTS):
             words = Words(part.column("text"))
-            owner, keys, first, last = anchors(words, known.of(words), window)
+            owner, keys, first, last = anchors(words, window)
             lists = part.column("places")
             row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             taken = np.unique(np.searchsorted(owner, row) + lists.flatten().to_numpy())
             owner, keys, first, last = owner[taken], keys[taken], first[taken], last[taken]
             # One space between words; a stretch is cut out of that by bytes.
-            ends = np.cumsum(pc.binary_length(words.flat).to_numpy().astype(np.int64) + 1)
-            begins = np.concatenate([[0], ends[:-1]])
-            joined = b" ".join(words.flat.cast(pa.binary()).to_pylist())
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(words.flat).to_numpy().astype(np.int64) + 1)])
+            lists = pa.ListArray.from_arrays(pa.array(words.offsets, pa.int32()), words.flat)
+            joined = b" ".join(pc.binary_join(lists, " ").cast(pa.binary()).filter(
+                pa.array(np.diff(words.offsets) > 0)
+            ).to_pylist())
             texts = [
                 joined[a:b] for a, b in zip(
-                    begins[first].tolist(), (ends[last + window - 1] - 1).tolist(), strict=True
+                    sizes[first].tolist(), (sizes[last + window] - 1).tolist(), strict=True
                 )
             ]
             rows = pa.array(owner)
@@ -136,7 +135,6 @@ def _part_rows(window: int):
     """Deals a stretch to the parts of its anchor in which its windows fall."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "stretch", "low", "high"]
-        known = WordHashes()
         for part in each_part(batches, 4096):
             counts = part.column("parts").to_numpy(zero_copy_only=False).astype(np.int64)
             several = np.nonzero(counts > 1)[0]
@@ -145,7 +143,7 @@ def _part_rows(window: int):
                 words = Words(part.column("stretch").take(pa.array(several)))
                 starts, owner = words.starts(window)
                 owner = several[owner]
-                own = run_hashes(known.of(words), window)[starts] % counts[owner].astype(np.uint64)
+                own = run_hashes(words.hashes(), window)[starts] % counts[owner].astype(np.uint64)
                 dealt = np.unique(np.stack([owner, own.astype(np.int64)]), axis=1)
                 rows, parts = np.concatenate([rows, dealt[0]]), np.concatenate([parts, dealt[1]])
             taken = part.take(pa.array(rows))
@@ -177,9 +175,11 @@ def same_windows(codes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np
 
 
 def _locate(window: int):
-    """Confirms windows that two documents hold, compiles them, and streams the stretches.
+    """Confirms windows that two documents hold, joins them to passages, compiles those and
+    streams the stretches.
 
-    Only the automaton says where a window lies and which id holds it first.
+    A passage is a longest run of confirmed windows of one stretch that the same id holds
+    first. Only the automaton says where passages lie.
     """
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
@@ -192,21 +192,33 @@ def _locate(window: int):
             order, first = same_windows(words.codes, starts, window)
             lowest = np.minimum.reduceat(low[owner[order]], first)
             confirmed = lowest != np.maximum.reduceat(high[owner[order]], first)
-        if len(starts) and confirmed.any():
+            kind = np.zeros(len(starts), np.int64)
+            kind[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+            least = lowest[kind]
+            # A stretch whose last holder is a window's first loses nothing by that window.
+            taken = np.nonzero(confirmed[kind] & (least < high[owner]))[0]
+            owner, least, starts = owner[taken], least[taken], starts[taken]
+        if len(starts):
+            fresh = np.concatenate([
+                [True], (np.diff(taken) > 1) | (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
+            ])
+            begins = np.nonzero(fresh)[0]
+            sizes = np.diff(np.append(begins, len(starts)))
             codes = words.codes.tolist()
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            leads = starts[order[first[confirmed]]]
-            for at, least in zip(leads.tolist(), lowest[confirmed].tolist(), strict=True):
-                automaton.add_word(tuple(codes[at:at + window]), least)
+            for at, size, held in zip(starts[begins].tolist(), sizes.tolist(), least[begins].tolist(), strict=True):
+                automaton.add_word(tuple(codes[at:at + size + window - 1]), (size, held))
             automaton.make_automaton()
             bounds = words.offsets.tolist()
             for row, (anchor, stretch, most) in enumerate(zip(
                 frame["anchor"].tolist(), frame["stretch"], high.tolist(), strict=True
             )):
-                found = automaton.iter(tuple(codes[bounds[row]:bounds[row + 1]]))
-                places = [(end - window + 1, least) for end, least in found if least < most]
+                places: dict[int, int] = {}
+                for end, (size, held) in automaton.iter(tuple(codes[bounds[row]:bounds[row + 1]])):
+                    if held < most:
+                        places.update(dict.fromkeys(range(end - window - size + 2, end - window + 2), held))
                 if places:
-                    out.append((anchor, stretch, [p for p, _ in places], [least for _, least in places]))
+                    out.append((anchor, stretch, list(places), list(places.values())))
         return pd.DataFrame(out, columns=["anchor", "stretch", "at", "lows"])
 
     return run

@@ -13,6 +13,15 @@ WORD_TABLE = 300_000
 WORD_LONGEST = 64
 TEXTS = 256
 
+_FIRST = np.uint64(0xBF58476D1CE4E5B9)
+_SECOND = np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _FIRST
+    x = (x ^ (x >> np.uint64(27))) * _SECOND
+    return x ^ (x >> np.uint64(31))
+
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of a text as bytes: ASCII white space, exactly the six characters, separates."""
@@ -73,6 +82,19 @@ class Words:
         self.codes = coded.indices.to_numpy().astype(np.int64)
         self.values = coded.dictionary
 
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the words: mixed sums of one mixed number per byte and place."""
+        if not len(self.values):
+            return np.zeros(0, np.uint64)
+        _, bounds, data = self.values.buffers()
+        at = self.values.offset
+        bounds = np.frombuffer(bounds, np.int32)[at:at + len(self.values) + 1].astype(np.int64)
+        own = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]].astype(np.uint64)
+        begins = bounds[:-1] - bounds[0]
+        place = np.arange(len(own)) - np.repeat(begins, np.diff(bounds))
+        own += (place.astype(np.uint64) + np.uint64(1)) << np.uint64(8)
+        return mix(np.add.reduceat(mix(own), begins))[self.codes]
+
     def starts(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places where n words of one text begin, and the number of that text."""
         counts = np.maximum(np.diff(self.offsets) - n + 1, 0)
@@ -81,35 +103,6 @@ class Words:
         return np.arange(len(owner)) + skipped[owner], owner
 
 
-class WordHashes:
-    """64-bit hashes of words; those of short words stay in a bounded table."""
-
-    def __init__(self, table: int = 100_000):
-        self.limit = table
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.found = pa.array([], pa.string()), np.zeros(0, np.uint64)
-
-    def of(self, words: Words) -> np.ndarray:
-        import xxhash
-
-        at = pc.index_in(words.values, value_set=self.known)
-        fresh = at.is_null().to_numpy(zero_copy_only=False)
-        own = np.zeros(len(fresh), np.uint64)
-        own[~fresh] = self.found[at.drop_null().to_numpy()]
-        if fresh.any():
-            values = words.values.filter(pa.array(fresh))
-            texts = values.cast(pa.binary()).to_pylist()
-            own[fresh] = added = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
-            if len(self.known) > self.limit:
-                self._clear()
-            short = pc.less_equal(pc.binary_length(values), WORD_LONGEST)
-            self.known = pa.concat_arrays([self.known, values.filter(short)])
-            self.found = np.concatenate([self.found, added[short.to_numpy(zero_copy_only=False)]])
-        return own[words.codes]
-
-
 def each_part(batches: Iterator[pa.RecordBatch], texts: int = TEXTS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, texts):

@@ -543,3 +543,27 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (103, 101)]
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 103: 100}
+
+
+def test_windows_whose_hashes_meet(monkeypatch):
+    codes = np.array([0, 1, 2, 0, 1, 3, 0, 1, 2])
+    starts = np.array([0, 3, 6])
+    kinds = substring_dedup.same_windows(codes, starts, 3)
+    assert sorted(map(len, np.split(kinds[0], kinds[1][1:]))) == [1, 2]
+    monkeypatch.setattr(substring_dedup, "run_hashes", lambda words, n: np.zeros(len(words) - n + 1, np.uint64))
+    order, first = substring_dedup.same_windows(codes, starts, 3)
+    assert sorted(sorted(k.tolist()) for k in np.split(order, first[1:])) == [[0, 2], [1]]
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    from reelgraph.llm.word_scores import Words
+
+    texts = pa.array(["x", None, " a  b\t", "", "\x0bA é a\x1cb", "b a "])
+    words = Words(texts.slice(1))
+    assert words.offsets.tolist() == [0, 0, 2, 2, 5, 7]
+    assert words.flat.to_pylist() == ["a", "b", "A", "é", "a\x1cb", "b", "a"]
+    hashes = words.hashes()
+    assert hashes[0] == hashes[6] and hashes[1] == hashes[5] and len(set(hashes.tolist())) == 5
+    assert words.starts(2)[0].tolist() == [0, 2, 3, 5] and words.starts(2)[1].tolist() == [1, 3, 3, 4]
