@@ -134,7 +134,7 @@ STRETCHES = "doc_id long, digest long, anchor long, stretch binary, first long"
 def _part_rows(window: int):
     """Deals a stretch to the parts of its anchor in which its windows fall."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "stretch", "low", "high"]
+        names = ["anchor", "stretch", "stretch_key", "low", "high"]
         for part in each_part(batches, 4096):
             counts = part.column("parts").to_numpy(zero_copy_only=False).astype(np.int64)
             several = np.nonzero(counts > 1)[0]
@@ -210,16 +210,17 @@ def _locate(window: int):
                 automaton.add_word(tuple(codes[at:at + size + window - 1]), (size, held))
             automaton.make_automaton()
             bounds = words.offsets.tolist()
-            for row, (anchor, stretch, most) in enumerate(zip(
-                frame["anchor"].tolist(), frame["stretch"], high.tolist(), strict=True
-            )):
+            # A passage found in a stretch is made of its own windows: others have none.
+            rows = np.unique(owner)
+            keys = frame[["anchor", "stretch_key"]].to_numpy()[rows].tolist()
+            for row, (anchor, key), most in zip(rows.tolist(), keys, high[rows].tolist(), strict=True):
                 places: dict[int, int] = {}
                 for end, (size, held) in automaton.iter(tuple(codes[bounds[row]:bounds[row + 1]])):
                     if held < most:
                         places.update(dict.fromkeys(range(end - window - size + 2, end - window + 2), held))
                 if places:
-                    out.append((anchor, stretch, list(places), list(places.values())))
-        return pd.DataFrame(out, columns=["anchor", "stretch", "at", "lows"])
+                    out.append((anchor, key, list(places), list(places.values())))
+        return pd.DataFrame(out, columns=["anchor", "stretch_key", "at", "lows"])
 
     return run
 
@@ -252,7 +253,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared.drop("anchors")
     shared.drop("recurring")
     stretches = shared.save(
-        source.join(places.hint("merge"), ["doc_id", "digest"]).mapInArrow(_stretch_rows(window), STRETCHES), "stretches"
+        source.join(places.hint("merge"), ["doc_id", "digest"]).mapInArrow(_stretch_rows(window), STRETCHES)
+        .withColumn("stretch_key", F.xxhash64("stretch")),
+        "stretches",
     )
     shared.drop("places")
     distinct = shared.save(
@@ -264,21 +267,20 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.max("high").alias("_high"),
     ).where("_low != _high")
     dealt = distinct.join(counts, F.col("anchor") == F.col("_anchor")).select(
-        "anchor", "stretch", "low", "high", "parts"
+        "anchor", "stretch", F.xxhash64("stretch").alias("stretch_key"), "low", "high", "parts"
     ).mapInArrow(
-        _part_rows(window), "anchor long, stretch binary, low long, high long, parts int, part int"
+        _part_rows(window),
+        "anchor long, stretch binary, stretch_key long, low long, high long, parts int, part int",
     )
     shards = max(1, -(-distinct.count() // SHARD_STRETCHES))
     shard = F.pmod(F.xxhash64("anchor", "part"), F.lit(shards))
     found = dealt.withColumn("shard", shard).groupBy("shard").applyInPandas(
-        _locate(window), "anchor long, stretch binary, at array<long>, lows array<long>"
+        _locate(window), "anchor long, stretch_key long, at array<int>, lows array<long>"
     )
     key = ["anchor", "stretch_key"]
-    located = shared.save(
-        found.select("anchor", F.xxhash64("stretch").alias("stretch_key"), "at", "lows"), "located"
-    )
+    located = shared.save(found, "located")
     shared.drop("distinct")
-    places_of = stretches.select("doc_id", "digest", "anchor", F.xxhash64("stretch").alias("stretch_key"), "first")
+    places_of = stretches.select("doc_id", "digest", "anchor", "stretch_key", "first")
     hits = places_of.join(located, key).select(
         "doc_id", "digest",
         F.transform(
