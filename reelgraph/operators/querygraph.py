@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,12 +69,37 @@ def validate_query_graphs(df: DataFrame, graph: str) -> DataFrame:
     ``graph`` names a JSON text column. Checks run in order of appearance,
     nodes before edges; the first broken rule is the reason. Types are strict:
     ``1`` or ``"true"`` is no boolean, ``"0.5"`` no weight.
+
+    Each graph is read and judged in one expression, whose parts are bound, so that no
+    filter or projection above it makes Spark read the text again.
     """
-    ids = F.transform("_nodes", lambda n: n["id"])
+    read = bind(F.try_parse_json(graph), lambda g: F.struct(
+        (g.isNull() | (r.kind(g) != "object")).alias("missing"),
+        F.transform(r.items(g, "nodes"), _node).alias("nodes"),
+        F.transform(r.items(g, "edges"), _edge).alias("edges"),
+    ))
+    named = bind(read, lambda x: F.struct(
+        x["missing"].alias("missing"), x["nodes"].alias("nodes"), x["edges"].alias("edges"),
+        F.transform(x["nodes"], lambda n: n["id"]).alias("ids"),
+    ))
+
+    def told(x: Column, reason: Column) -> Column:
+        return F.struct(
+            reason.alias("reason"),
+            *[F.when(reason.isNull(), F.transform(x[c], lambda n: n.dropFields("is_object"))).alias(c)
+              for c in ("nodes", "edges")],
+        )
+
+    judged = bind(named, lambda x: bind(_fault(x), lambda reason: told(x, reason)))
+    return df.withColumn("_read", judged).select(*df.columns, "_read.*")
+
+
+def _fault(graph: Column) -> Column:
+    """The first rule that a graph of ``missing``, ``nodes``, ``edges`` and ``ids`` breaks."""
 
     def node_fault(n: Column, i: Column) -> Column:
         blank = (n["id"] == "") | (n["label"] == "") | (n["role"] == "")
-        seen = F.array_position(F.col("_ids"), n["id"]) <= i
+        seen = F.array_position(graph["ids"], n["id"]) <= i
         rule = (
             F.when(~n["is_object"], F.lit("query_graph_node_not_object"))
             .when(blank, F.lit("query_graph_node_incomplete"))
@@ -84,7 +109,7 @@ def validate_query_graphs(df: DataFrame, graph: str) -> DataFrame:
 
     def edge_fault(e: Column) -> Column:
         blank = (e["from"] == "") | (e["relation"] == "") | (e["to"] == "")
-        known = F.array_contains("_ids", e["from"]) & F.array_contains("_ids", e["to"])
+        known = F.array_contains(graph["ids"], e["from"]) & F.array_contains(graph["ids"], e["to"])
         rule = (
             F.when(~e["is_object"], F.lit("query_graph_edge_not_object"))
             .when(blank, F.lit("query_graph_edge_incomplete"))
@@ -92,43 +117,27 @@ def validate_query_graphs(df: DataFrame, graph: str) -> DataFrame:
         )
         return _common(e, "query_graph_edge", rule)
 
-    reason = F.coalesce(
-        F.when(
-            F.col("_graph").isNull() | (r.kind(F.col("_graph")) != "object"),
-            F.lit("query_graph_missing"),
-        ),
-        F.when(F.coalesce(F.size("_nodes"), F.lit(0)) <= 0, F.lit("query_graph_nodes_empty")),
-        _first(F.transform("_nodes", node_fault)),
-        F.when(F.col("_edges").isNull(), F.lit("query_graph_edges_not_list")),
-        _first(F.transform("_edges", edge_fault)),
-    )
-    valid = F.col("reason").isNull()
-    return (
-        df.withColumn("_graph", F.try_parse_json(graph))
-        .withColumn("_nodes", F.transform(r.items(F.col("_graph"), "nodes"), _node))
-        .withColumn("_edges", F.transform(r.items(F.col("_graph"), "edges"), _edge))
-        .withColumn("_ids", ids)
-        .withColumn("reason", reason)
-        .withColumn(
-            "nodes", F.when(valid, F.transform("_nodes", lambda n: n.dropFields("is_object")))
-        )
-        .withColumn(
-            "edges", F.when(valid, F.transform("_edges", lambda e: e.dropFields("is_object")))
-        )
-        .drop("_graph", "_nodes", "_edges", "_ids")
+    return F.coalesce(
+        F.when(graph["missing"], F.lit("query_graph_missing")),
+        F.when(F.coalesce(F.size(graph["nodes"]), F.lit(0)) <= 0, F.lit("query_graph_nodes_empty")),
+        _first(F.transform(graph["nodes"], node_fault)),
+        F.when(graph["edges"].isNull(), F.lit("query_graph_edges_not_list")),
+        _first(F.transform(graph["edges"], edge_fault)),
     )
 
 
 def graph_nodes(valid: DataFrame, *keys: str) -> DataFrame:
-    return valid.select(*keys, F.posexplode("nodes").alias("node_no", "n")).select(
-        *keys, "node_no", "n.*"
-    )
+    return _items(valid, keys, "nodes", "node_no")
 
 
 def graph_edges(valid: DataFrame, *keys: str) -> DataFrame:
-    return valid.select(*keys, F.posexplode("edges").alias("edge_no", "e")).select(
-        *keys, "edge_no", "e.*"
-    )
+    return _items(valid, keys, "edges", "edge_no")
+
+
+def _items(valid: DataFrame, keys: Sequence[str], items: str, number: str) -> DataFrame:
+    """One row per item. A plain explode would filter on the array first, below what makes it."""
+    every = valid.select(*keys, F.posexplode_outer(items).alias(number, "_item"))
+    return every.where(F.col(number).isNotNull()).select(*keys, number, "_item.*")
 
 
 def graph_terms(nodes: Column | str) -> Column:
