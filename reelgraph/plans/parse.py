@@ -33,7 +33,7 @@ def parse_videos(
     """Gate, window, group, score and rank, each step on what the last one kept.
 
     frames carry their quality measures; sections carry start_ms, end_ms,
-    graph_id and frame_type; ``features`` adds unit_histogram and phash to frame
+    graph_id and frame_type; ``features`` adds histogram and phash to frame
     rows; detections are normalised. Frames without a detector result rank
     behind with score 0.
     """
