@@ -224,9 +224,9 @@ def repair_section_ranges(sections: DataFrame, block_rows: int = 1_000) -> DataF
 
 def retry_set(bad: DataFrame, max_attempts: int = config.MAX_STRUCTURE_ATTEMPTS) -> DataFrame:
     """Rejected answers worth another attempt, with feedback for the model."""
+    again = keep_where(bad.where(F.col("attempt") < max_attempts), F.col("reason").startswith("query_graph"))
     return (
-        bad.where(F.col("reason").startswith("query_graph") & (F.col("attempt") < max_attempts))
-        .withColumn("feedback", F.concat(F.lit("validation error: "), F.col("reason")))
+        again.withColumn("feedback", F.concat(F.lit("validation error: "), F.col("reason")))
         .withColumn("attempt", F.col("attempt") + 1)
     )
 
