@@ -32,6 +32,9 @@ HSV_BINS = (8, 4, 4)
 HASH_SIDE, HASH_BLOCK = 32, 8
 # --- end of fixed values ----------------------------------------------------
 
+#: Measures that leave Python at once; a batch of an Arrow stream may hold 10 000 images.
+MEASURED_ROWS = 256
+
 
 def read_frame_images(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """Images below several roots: object_key and the pixel struct ``image``.
@@ -140,13 +143,13 @@ def _measure(height: int, width: int, channels: int, data: bytes) -> tuple:
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = FEATURES.fieldNames()
     for images in batches:
-        rows = [
-            _measure(int(h), int(w), int(c), d)
-            for h, w, c, d in zip(
-                images["height"], images["width"], images["nChannels"], images["data"]
-            )
-        ]
-        yield pd.DataFrame(rows, columns=names)
+        for first in range(0, len(images), MEASURED_ROWS):
+            some = images.iloc[first : first + MEASURED_ROWS]
+            rows = [
+                _measure(int(h), int(w), int(c), d)
+                for h, w, c, d in zip(some["height"], some["width"], some["nChannels"], some["data"])
+            ]
+            yield pd.DataFrame(rows, columns=names)
 
 
 def image_features(images: DataFrame, image: str = "image") -> DataFrame:
