@@ -53,9 +53,15 @@ def normalize_label(
     plain = normalize_label_plain(value)
     if not synonyms:
         return plain
-    return F.coalesce(
-        lookup(synonyms, plain), lookup(synonyms, F.replace(plain, F.lit(" "), F.lit("_"))), plain
-    )
+    def known(label: Column, name: Column) -> Column:
+        return (
+            F.when(label.isin(*synonyms), lookup(synonyms, label))
+            .when(name.isin(*synonyms), lookup(synonyms, name))
+            .otherwise(label)
+        )
+
+    # A set tells most labels apart from the vocabulary; its map is searched in order.
+    return bind(plain, lambda x: bind(F.replace(x, F.lit(" "), F.lit("_")), lambda name: known(x, name)))
 
 
 def normalize_id(value: Column | str) -> Column:

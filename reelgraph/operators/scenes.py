@@ -87,8 +87,10 @@ def normalize_detections(
     mask = Box(*[F.col(m) for m in MASK_BOX])
     cx, cy = g.box_center(mask)
     bbox_area = filled("bbox_area_ratio", g.box_area_ratio(Box.of(""), F.col("width"), F.col("height")))
+    # A generator computes the label once; a filter on a plain column would do so again below.
+    label = F.explode(F.array(text.normalize_label("label", synonyms)))
     return (
-        boxed.withColumn("label", text.normalize_label("label", synonyms))
+        boxed.withColumn("label", label)
         .withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
         .withColumn("bbox_area_ratio", bbox_area)
         .withColumn("area", filled("mask_area_ratio", F.col("bbox_area_ratio")))
