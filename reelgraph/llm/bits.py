@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgraph.llm.ngram_join import mix
@@ -27,13 +27,22 @@ _BASE = 0xD6E8FEB86659FD93
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bit_table(hashes: DataFrame, column: str) -> bytes:
-    """The bit table of a long column, built by Spark's bitmap aggregate."""
-    # Spark numbers bits from 1.
-    cell = F.pmod(F.col(column), F.lit(BITS)) + 1
-    rows = hashes.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(cell).alias("row")).agg(
+def _cell(column: Column) -> Column:
+    """The bit of a hash; Spark numbers bits from 1."""
+    return F.pmod(column, F.lit(BITS)) + 1
+
+
+def _bit_rows(hashes: DataFrame, column: str) -> DataFrame:
+    """(row, bits): the bit table of a long column, built by Spark's bitmap aggregate."""
+    cell = _cell(F.col(column))
+    return hashes.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(cell).alias("row")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits")
-    ).toArrow()
+    )
+
+
+def bit_table(hashes: DataFrame, column: str) -> bytes:
+    """The bit table of a long column."""
+    rows = _bit_rows(hashes, column).toArrow()
     table = bytearray(BITS // 8)
     for row, bits in zip(rows.column("row").to_pylist(), rows.column("bits").to_pylist(), strict=True):
         first = (row - 1) * _ROW_BITS // 8
@@ -47,6 +56,21 @@ def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def rows_that_may_join(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose key may be among ``keys``, so that an exact join shuffles few others.
+
+    The bit table is broadcast, 1 MiB at most; rows with a null key go.
+    """
+    cell = _cell(F.xxhash64(column))
+    place = F.bitmap_bit_position(cell)
+    table = _bit_rows(keys.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("_hash")), "_hash")
+    table = table.select(F.col("row").alias("_row"), F.col("bits").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    known = F.getbit(byte, (place % 8).cast("int")) == 1
+    held = rows.where(F.col(column).isNotNull()).join(F.broadcast(table), F.bitmap_bucket_number(cell) == F.col("_row"))
+    return held.where(known).drop("_row", "_bits")
+
+
 def _powers(base: int) -> np.ndarray:
     out = np.full(SLICE + 1, base, np.uint64)
     out[0] = 1

@@ -12,6 +12,7 @@ from reelgraph.llm import (
     decontaminate, lexical_rank, ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans,
     sharding, spelling, substring_dedup, topk, toxicity,
 )
+from reelgraph.llm.bits import rows_that_may_join
 from reelgraph.llm.common import read_table
 from reelgraph.llm.oracle import SQL  # noqa: F401
 
@@ -105,7 +106,8 @@ def _predicted(scored: DataFrame, least: float) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _training(spark, sf_dir, "toxic")
-    model = toxicity.train(docs.join(labels, "key"))
+    # Without it the whole texts of all documents would be shuffled, not those with labels alone.
+    model = toxicity.train(rows_that_may_join(docs, labels, "key").join(labels, "key"))
     return _predicted(toxicity.score(read_table(spark, sf_dir, "documents"), model), 0.5)
 
 

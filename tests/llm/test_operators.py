@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgraph.llm import (
-    components, ngram_join, packing, pieces, quality_classifier, quality_rules, secret_scans, sharding,
+    bits, components, ngram_join, packing, pieces, quality_classifier, quality_rules, queries, secret_scans, sharding,
     substring_dedup, topk, toxicity,
 )
 
@@ -296,6 +296,34 @@ def test_toxicity_backs_off_in_one_class(spark):
     assert set(others) == {"^^^^z"} and others["^^^^z"] == pytest.approx(np.log(0.75 * 2 / 5))
 
 
+def test_only_rows_that_may_join_are_shuffled(spark):
+    rows = spark.range(-5_000, 5_000).selectExpr("id key", "'t' text").unionByName(
+        spark.createDataFrame([(None, "t")], "key long, text string")
+    )
+    keys = spark.range(-5_000, 5_000, 100).selectExpr("id key").unionByName(
+        spark.createDataFrame([(None,), (70_000,)], "key long")
+    )
+    passed = bits.rows_that_may_join(rows, keys, "key")
+    assert passed.columns == ["key", "text"]
+    kept = [r.key for r in passed.collect()]
+    assert set(range(-5_000, 5_000, 100)) <= set(kept) and len(kept) == len(set(kept)) < 150
+    assert passed.join(keys, "key").count() == 100
+    assert bits.rows_that_may_join(rows, keys.limit(0), "key").isEmpty()
+
+
+def test_toxicity_shuffles_texts_with_labels_alone(spark, documents, tmp_path, monkeypatch):
+    documents([(i, "some words") for i in range(2_000)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 2_000, 100).selectExpr("id doc_id", "1 quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda joined: seen.append(joined) or toxicity.Model(toxicity.Ratios(np.zeros(0, np.int64), np.zeros(0)), (0.0, 0.0), 0.0))
+    queries.op4_toxicity(spark, str(tmp_path))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+    assert sorted(r.key for r in seen[0].collect()) == sorted(
+        i for i in range(0, 2_000, 100) if zlib.crc32(str(i).encode()) % 5
+    )
+
+
 def test_toxicity_without_labels(spark, documents):
     docs = documents([(1, "some text"), (2, None)])
     none = docs.select(F.col("doc_id").alias("key"), "text", F.lit(1).alias("label")).limit(0)
