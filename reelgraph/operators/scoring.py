@@ -70,15 +70,16 @@ def best_objects(detections: DataFrame) -> DataFrame:
 
 def labels_compatible(query: Column, found: Column) -> Column:
     """Equal, one inside the other, or enough shared words."""
-    q, f = F.array_distinct(F.split(query, " ")), F.array_distinct(F.split(found, " "))
-    shared = F.size(F.array_intersect(q, f))
+    # Most labels share no word: words are counted only for those that do.
+    words = F.split(query, " "), F.split(found, " ")
+    q, f = (F.array_distinct(w) for w in words)
     smaller = F.least(F.size(q), F.size(f))
-    enough = (smaller <= 2) | (shared / F.greatest(F.lit(1), smaller) >= 0.5)
+    enough = (smaller <= 2) | (F.size(F.array_intersect(q, f)) / F.greatest(F.lit(1), smaller) >= 0.5)
     return (
         (query == found)
         | F.contains(found, query)
         | F.contains(query, found)
-        | ((shared > 0) & enough)
+        | (F.arrays_overlap(*words) & enough)
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelgraph import config
 from reelgraph.operators import dedup, intervals, quality, ranking, scenes, scoring
+from reelgraph.session import cut_lineage
 
 
 class Parsed(NamedTuple):
@@ -29,13 +30,17 @@ def parse_videos(
     limits: config.DedupLimits = config.DEDUP,
     bucket_ms: int = intervals.BUCKET_MS,
     chunk_ms: int = 6 * 3_600_000,
+    counted: DataFrame | None = None,
 ) -> Parsed:
     """Gate, window, group, score and rank, each step on what the last one kept.
 
     frames carry their quality measures; sections carry start_ms, end_ms,
     graph_id and frame_type; ``features`` adds histogram and phash to frame
     rows; detections are normalised. Frames without a detector result rank
-    behind with score 0.
+    behind with score 0. ``counted``: rows with frame_id to count instead of the detections.
+
+    What several steps read is written once: the kept pairs, the detections of their frames
+    (others cannot reach a match), and the matches, which ranks read twice.
     """
     gated = quality.with_quality_score(quality.quality_gate(frames))
     usable = gated.where("passed").select("video_id", "frame_id", "timestamp_ms", "quality_score")
@@ -46,24 +51,27 @@ def parse_videos(
     kept = members.where("is_representative").select(
         *scoring.PAIR, "timestamp_ms", "quality_score"
     )
-    pairs = kept.join(
+    pairs = cut_lineage(kept.join(
         sections.select("video_id", "section_index", "graph_id", "frame_type"),
         ["video_id", "section_index"],
+    ))
+    shown = cut_lineage(
+        detections.join(pairs.select("frame_id"), "frame_id", "left_semi").select("frame_id", *scoring.THING)
     )
-    seen = detections.select("frame_id").distinct()
-    found = scenes.scene_relations(detections)
+    counted = shown if counted is None else counted
+    seen = shown.select("frame_id").distinct()
+    found = scenes.scene_relations(shown, counted=counted)
     signs = scenes.frame_scenes(
         frames.select("frame_id", "blur_score").join(seen, "frame_id", "left_semi"),
-        detections,
+        shown,
         found,
     )
     scored = scoring.match_score(
-        pairs, graphs, scenes.fill_image_size(detections), signs, synonyms, counted=detections
-    )
-    missed = scoring.default_match(pairs, graphs, signs).join(
-        kept.drop("quality_score"), list(scoring.PAIR)
+        pairs, graphs, scenes.fill_image_size(shown), signs, synonyms, counted=counted
     )
-    ranked = ranking.rank_frames(scoring.all_matches(scored, missed))
+    times = pairs.select(*scoring.PAIR, "timestamp_ms").dropDuplicates(list(scoring.PAIR))
+    missed = scoring.default_match(pairs, graphs, signs).join(times, list(scoring.PAIR))
+    ranked = ranking.rank_frames(cut_lineage(scoring.all_matches(scored, missed)))
     best = ranking.best_frame_per_section(
         ranked.select(
             *scoring.PAIR, "score", F.col("rank").alias("position"),
