@@ -8,9 +8,12 @@ Candidates. Two sets with ``100 * common >= percent * union`` differ in so few n
 sizes) that of more fragments than that at least one holds equal segments. Sizes fall into
 classes whose bounds grow by half; a class has more fragments than its largest possible
 difference, and a set so large that a partner may lie in the next class is cut for that
-class too. Sets that share a segment are joined to families by components over
-(set, smallest set of the segment), so that no pair is made. Keys of segments are combined
-in chunks of a task, cross the network once and are kept where two sets meet.
+class too. Keys of segments are combined in chunks of a task, cross the network once, a
+part of them at a time, and are kept where two sets meet. Two linked sets share ``need`` of
+them at least, so the rarest key they share is not among the last ``need - 1`` of either
+when a set's keys go from rare to common. Those are left out: passages that many texts have
+hold no families together. Sets that share one of the others are joined to families by
+components over (set, smallest set of the segment), so that no pair is made.
 
 Counting. The sets of a family are dealt into blocks; each pair of blocks is one group.
 There the order is cut again, partial overlaps are counted per fragment for all pairs of
@@ -55,6 +58,8 @@ BLOCK_GRAMS = 1 << 20
 FRAGMENT = 4_096
 #: Keys that a task combines before they are shuffled.
 CHUNK_KEYS = 1 << 20
+#: Parts of the keys that are shuffled one after the other: only one is on disk at a time.
+KEY_PARTS = 4
 #: Sets a task remembers, so that equal ones are cut once.
 SEEN_SETS = 200_000
 
@@ -217,11 +222,12 @@ def _node(set_a: str, cut: str):
 KEYS = "key long, node long"
 
 
-def _chunk_keys(inside: bool):
+def _chunk_keys(inside: bool, part: int = 0, parts: int = 1):
     """Rows (key, node) of the cuts of sets, by chunks of about ``CHUNK_KEYS`` keys.
 
     A key's smallest node in a chunk stands for the others (a key of very many sets is one
     row a chunk); with ``inside`` the rows of all nodes of keys that a chunk holds twice.
+    Of ``parts`` parts of the keys only ``part`` is given.
     """
     def flush(keys: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
         key = np.concatenate(keys)
@@ -242,14 +248,16 @@ def _chunk_keys(inside: bool):
         nodes: list[int] = []
         sizes: list[int] = []
         held = 0
-        for part in each_part(batches):
-            for set_a, cuts in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+        for rows in each_part(batches):
+            for set_a, cuts in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
                 for cut, own in enumerate(cuts.values or ()):
                     flat = own["keys"].values.to_numpy()
+                    held += len(flat)  # All parts have the same chunks.
+                    if parts > 1:
+                        flat = flat[flat % parts == part]
                     keys.append(flat)
                     nodes.append(set_a >> 1 << 1 | cut)
                     sizes.append(len(flat))
-                    held += len(flat)
                 if held >= CHUNK_KEYS:
                     yield flush(keys, nodes, sizes)
                     keys, nodes, sizes, held = [], [], [], 0
@@ -259,6 +267,28 @@ def _chunk_keys(inside: bool):
     return run
 
 
+def family_edges(keys: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets that hold together what may be linked.
+
+    ``keys`` (key, node, need): the keys a cut shares with others, and how many of them a
+    linked set has at least. Of a cut's keys the ``need - 1`` commonest are left out; the
+    order is that of all sets, so two linked ones keep the rarest key of both.
+    """
+    held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_held")).where("_held > 1")
+    held = held.select(F.col("key").alias("_key"), "_held")
+    own = Window.partitionBy("node")
+    ranked = keys.join(held, F.col("key") == F.col("_key")).select(
+        "key", "node", "need", F.row_number().over(own.orderBy("_held", "key")).alias("_place"),
+        F.count(F.lit(1)).over(own).alias("_n"),
+    )
+    left = ranked.where("_place <= _n - need + 1").select("key", F.expr("shiftright(node, 1)").alias("set_a"))
+    lows = left.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
+    lows = lows.where("low != high").select(F.col("key").alias("shared_key"), "low")
+    return left.join(lows, F.col("key") == F.col("shared_key")).select(
+        F.col("set_a").alias("a"), F.col("low").alias("b")
+    ).distinct()
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Common n-grams of every pair: partial counts per fragment of the order, summed."""
     both = left + right
@@ -335,13 +365,16 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
     cuts = named.select("set_a", "cuts")
     # Keys cross the network once: one row of a key per chunk, sorted into runs.
     run = Window.partitionBy("key")
-    probes = cuts.mapInArrow(_chunk_keys(False), KEYS)
-    met = probes.withColumn("low", F.min("node").over(run)).withColumn("high", F.max("node").over(run))
-    beyond = shared.save(met.where("low != high").select("key", "node"), "met")
+    beyond = []
+    for part in range(KEY_PARTS):
+        probes = cuts.mapInArrow(_chunk_keys(False, part, KEY_PARTS), KEYS)
+        met = probes.withColumn("low", F.min("node").over(run)).withColumn("high", F.max("node").over(run))
+        beyond.append(shared.save(met.where("low != high").select("key", "node"), f"met{part}"))
     inside = cuts.mapInArrow(_chunk_keys(True), KEYS)
     # Keys that meet in a chunk only make other sets of that chunk members of the key.
-    rows = shared.save(beyond.union(inside).distinct(), "shared_keys")
-    shared.drop("met")
+    rows = shared.save(functools.reduce(DataFrame.union, beyond, inside).distinct(), "shared_keys")
+    for part in range(KEY_PARTS):
+        shared.drop(f"met{part}")
     needs = shared.save(
         named.select("set_a", F.posexplode("cuts").alias("cut", "of"))
         .select(_node("set_a", "cut").alias("_node"), F.col("of.need").alias("need")).distinct(),
@@ -350,18 +383,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, doc_id: str = "doc_id",
     shared.drop("described")
     # A linked set shares more keys than a passage gives: sets with fewer go.
     counted = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    enough = counted.join(needs, F.col("node") == F.col("_node")).where("n >= need").select("_node")
-    left = rows.join(enough, F.col("node") == F.col("_node")).select(
-        "key", F.expr("shiftright(node, 1)").alias("set_a")
+    enough = counted.join(needs, F.col("node") == F.col("_node")).where("n >= need").select("_node", "need")
+    left = shared.save(
+        rows.join(enough, F.col("node") == F.col("_node")).select("key", "node", "need"), "enough"
     )
-    lows = left.groupBy("key").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
-    lows = lows.where("low != high").select(F.col("key").alias("shared_key"), "low")
-    edges = left.join(lows, F.col("key") == F.col("shared_key")).select(
-        F.col("set_a").alias("a"), F.col("low").alias("b")
-    ).distinct()
-    families = shared.save(connected(edges), "families")
     shared.drop("shared_keys")
     shared.drop("needs")
+    edges = family_edges(left)
+    families = shared.save(connected(edges), "families")
+    shared.drop("enough")
     members = shared.save(
         sets.join(families, F.expr("shiftright(set_a, 1)") == F.col("node")).select("rep", "size", F.col("component").alias("family")),
         "members",

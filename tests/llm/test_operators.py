@@ -545,6 +545,49 @@ def test_ngram_join(documents, monkeypatch, n, percent):
     assert got == plain_join(texts, n, percent)
 
 
+def test_a_common_passage_makes_no_family(documents, monkeypatch):
+    """Texts that have a passage in common, in pairs of copies: only the copies are compared."""
+    families = []
+
+    class Seen(ngram_join.Shared):
+        def save(self, df, name):
+            out = super().save(df, name)
+            if name == "members":
+                families.extend(r["count"] for r in out.groupBy("family").count().collect())
+            return out
+
+    monkeypatch.setattr(ngram_join, "Shared", Seen)
+    passage, texts = prose(700, 90), {}
+    for k in range(40):
+        own = prose(701 + k, 210)
+        texts[2 * k] = " ".join(passage + own)
+        texts[2 * k + 1] = " ".join([*passage, *own[:-1], "changed"])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+           ngram_join.join(documents(list(texts.items())), 5, 80).collect()}
+    assert got == plain_join(texts, 5, 80)
+    assert sorted(families) == [2] * 40  # The passage alone would make one of 80.
+
+
+def test_parts_of_the_keys_are_all_keys(monkeypatch):
+    """The same rows from the same chunks, whatever part of the keys is asked for."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "CHUNK_KEYS", 100)
+    draw = np.random.default_rng(16)
+    kind = pa.list_(pa.struct([("need", pa.int32()), ("keys", pa.list_(pa.int64()))]))
+    cuts = [[{"need": 1, "keys": (np.unique(draw.integers(-20, 20, 25)) * 2**57 + 7 * k % 4).tolist()}] for k in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(0, 120, 2)), pa.array([*cuts[:30], [], *cuts[31:]], kind)],
+                                       names=["set_a", "cuts"])
+
+    def rows(*of):
+        return sorted(r for out in ngram_join._chunk_keys(False, *of)([batch])
+                      for r in zip(*out.to_pydict().values(), strict=True))
+
+    dealt = [rows(k, 4) for k in range(4)]
+    assert all(dealt)
+    assert sorted(sum(dealt, [])) == rows()
+
+
 def test_ngram_join_nulls_and_repeated_rows(documents):
     rows = [(4, "a b c d"), (4, "a b c d"), (2, "A b c d"), (None, "a b c d"), (9, None), (None, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(documents(rows)).collect()), key=repr)
