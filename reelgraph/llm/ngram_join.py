@@ -255,11 +255,13 @@ def _chunk_keys(inside: bool, part: int = 0, parts: int = 1):
                     held += len(flat)  # All parts have the same chunks.
                     if parts > 1:
                         flat = flat[flat % parts == part]
-                    keys.append(flat)
-                    nodes.append(set_a >> 1 << 1 | cut)
-                    sizes.append(len(flat))
+                    if len(flat):
+                        keys.append(flat)
+                        nodes.append(set_a >> 1 << 1 | cut)
+                        sizes.append(len(flat))
                 if held >= CHUNK_KEYS:
-                    yield flush(keys, nodes, sizes)
+                    if keys:
+                        yield flush(keys, nodes, sizes)
                     keys, nodes, sizes, held = [], [], [], 0
         if keys:
             yield flush(keys, nodes, sizes)
